@@ -39,67 +39,65 @@ CLOSES_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot",
 STOP = frozenset("table ul ol dl td th div section article aside body html button".split())
 
 
-class Node:
-    __slots__ = ("tag", "tokens", "parent", "kids", "text", "depth")
-
-    def __init__(self, tag, parent=None, tokens=frozenset(), text=""):
-        self.tag, self.parent, self.tokens, self.text = tag, parent, tokens, text
-        self.kids: list[Node] = []
-        self.depth = parent.depth + 1 if parent else 0
-        if parent:
-            parent.kids.append(self)
-
-
 class Parser(HTMLParser):
+    """Nodes in document order as parallel lists: tag, class tokens, parent, text. The root is node 0."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = Node("#root")
-        self.at = self.root
-        self.nodes = [self.root]
+        self.tags, self.tokens, self.parent, self.texts = ["#root"], [()], [-1], [""]
+        self.at = 0
+
+    def _add(self, tag: str, tokens=(), text: str = "") -> None:
+        self.tags.append(tag)
+        self.tokens.append(tokens)
+        self.parent.append(self.at)
+        self.texts.append(text)
 
     def _close(self, tags) -> None:
         n = self.at
-        while n.parent is not None and n.tag not in STOP:
-            if n.tag in tags:
-                self.at = n.parent
-                return
-            n = n.parent
-        if n.parent is not None and n.tag in tags:
-            self.at = n.parent
+        while n > 0 and self.tags[n] not in tags and self.tags[n] not in STOP:
+            n = self.parent[n]
+        if n > 0 and self.tags[n] in tags:
+            self.at = self.parent[n]
 
     def handle_starttag(self, tag, attrs):
         if tag in CLOSES_P:
-            self._close({"p"})
+            self._close(_P)
         if tag in CLOSES:
             self._close(CLOSES[tag])
-        tokens = frozenset(t for k, v in attrs if v and k in ("class", "id", "role") for t in re.split(r"[^a-z0-9]+", v.lower()) if t)
-        node = Node(tag, self.at, tokens)
-        self.nodes.append(node)
+        tokens = ()
+        if attrs:
+            tokens = tuple(t for k, v in attrs if v and k in ("class", "id", "role") for t in _TOKEN.findall(v.lower()))
+        self._add(tag, tokens)
         if tag not in VOID:
-            self.at = node
+            self.at = len(self.tags) - 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.at.tag == tag:
-            self.at = self.at.parent
+        if tag not in VOID:
+            self.at = self.parent[self.at]
 
     def handle_endtag(self, tag):
         n = self.at
-        while n.parent is not None and n.tag != tag:
-            n = n.parent
-        if n.parent is not None:
-            self.at = n.parent
+        while n > 0 and self.tags[n] != tag:
+            n = self.parent[n]
+        if n > 0:
+            self.at = self.parent[n]
 
     def handle_data(self, data):
-        self.nodes.append(Node("#text", self.at, text=data))
+        self._add("#text", (), data)
+
 
+_P = frozenset({"p"})
+_TOKEN = re.compile("[a-z0-9]+")
 
-def parse(html: str) -> list[Node]:
+
+def parse(html: str) -> Parser:
     """The page's nodes in document order, the root first; a child comes after its parent."""
     p = Parser()
     p.feed(html)
     p.close()
-    return p.nodes
+    return p
 
 
 # ---------------------------------------------------------------- features
@@ -133,77 +131,95 @@ NAMES = [
     "sibling_chars",
     "sibling_same",
 ]
-_AT = {n: i for i, n in enumerate(NAMES)}
-
-
-def features(nodes: list[Node]) -> np.ndarray:
-    n = len(nodes)
-    index = {id(x): i for i, x in enumerate(nodes)}
-    parent = np.array([index[id(x.parent)] if x.parent else -1 for x in nodes])
-    chars, linked, stops, under, paragraph = (np.zeros(n) for _ in range(5))
-    out = np.zeros((n, len(NAMES)), np.float32)
-    tag_at = {t: _AT[f"tag_{t}"] for t in TAGS}
-    in_cols = [_AT[f"in_{t}"] for t in TAGS[:7]]
-    silent_at, up = _AT["in_silent"], slice(_AT["up_menu"], _AT["up_menu"] + len(TOKENS))
-    own = _AT["own_menu"]
-    for i, x in enumerate(nodes):
-        row = out[i]
-        p = parent[i]
-        tag = x.tag
-        if p >= 0:
-            above = out[p]
-            row[in_cols] = above[in_cols]
-            row[silent_at] = above[silent_at]
-            row[up] = above[up]
-        if tag in SILENT:
-            row[tag_at["silent"]] = row[silent_at] = 1
-        elif tag in tag_at:
-            row[tag_at[tag]] = 1
-            if tag in TAGS[:7]:
-                row[_AT[f"in_{tag}"]] = 1
-        elif len(tag) == 2 and tag[0] == "h" and tag[1].isdigit():
-            row[tag_at["h"]] = 1
-        for k, kind in enumerate(_KINDS.values()):
-            if x.tokens & kind:
-                row[own + k] = 1
-                row[up.start + k] = 1
-        if tag == "#text" and not row[silent_at]:
-            chars[i] = len("".join(x.text.split()))
-            stops[i] = x.text.count(".") + x.text.count(",")
-    anchors = np.array([x.tag == "a" for x in nodes])
-    ps = np.array([x.tag == "p" for x in nodes])
-    for i in range(n - 1, 0, -1):
-        if anchors[i]:
-            linked[i] = chars[i]
-        if ps[i]:
-            paragraph[i] = chars[i]
+_TAG_BIT = {t: 1 << i for i, t in enumerate(TAGS)}
+_TAG_BIT |= {t: _TAG_BIT["silent"] for t in SILENT} | {f"h{i}": _TAG_BIT["h"] for i in range(1, 7)}
+_SILENT_BIT = 1 << 7
+_KIND_BIT: dict[str, int] = {}
+for _i, _words in enumerate(TOKENS.values()):
+    for _w in _words.split():
+        _KIND_BIT[_w] = _KIND_BIT.get(_w, 0) | 1 << _i
+
+
+def features(pages: list[Parser]) -> np.ndarray:
+    """One row per node of all pages, in order."""
+    tag, own, within, kinds, chars, stops, parent, depth, kids, place, same, first = ([] for _ in range(12))
+    for page in pages:
+        base = len(tag)
+        seen: dict[tuple[int, str], int] = {}
+        for i, (name, tokens, up, text) in enumerate(zip(page.tags, page.tokens, page.parent, page.texts)):
+            bit = _TAG_BIT.get(name, 0)
+            kind = 0
+            for t in tokens:
+                kind |= _KIND_BIT.get(t, 0)
+            inside = (bit & 127) | (_SILENT_BIT if name in SILENT else 0)
+            c = s = d = 0
+            if i:
+                p = base + up
+                inside |= within[p]
+                d = depth[p] + 1
+                place.append(kids[p])
+                kids[p] += 1
+                key = (up, name)
+                seen[key] = seen.get(key, 0) + 1
+                if text and not inside & _SILENT_BIT:
+                    c = len(text) - text.count(" ") - text.count("\n")
+                    s = text.count(".") + text.count(",")
+                kinds.append(kind | kinds[p])
+            else:
+                p = base
+                place.append(0)
+                kinds.append(kind)
+            tag.append(bit)
+            own.append(kind)
+            within.append(inside)
+            chars.append(c)
+            stops.append(s)
+            parent.append(p)
+            depth.append(d)
+            kids.append(0)
+            first.append(base)
+        same += [seen.get((up, name), 1) for up, name in zip(page.parent, page.tags)]
+    n = len(tag)
+    linked, paragraph, under = [0] * n, [0] * n, [0] * n
+    a_bit, p_bit = _TAG_BIT["a"], _TAG_BIT["p"]
+    for i in range(n - 1, -1, -1):
         p = parent[i]
-        chars[p] += chars[i]
-        linked[p] += linked[i]
-        paragraph[p] += paragraph[i]
-        stops[p] += stops[i]
+        if p == i:
+            continue
+        c = chars[i]
+        if c:
+            if tag[i] & a_bit:
+                linked[i] = c
+            elif tag[i] & p_bit:
+                paragraph[i] = c
+            chars[p] += c
+            linked[p] += linked[i]
+            paragraph[p] += paragraph[i]
+            stops[p] += stops[i]
         under[p] += under[i] + 1
-    col = lambda name: out[:, _AT[name]]
+    out = np.empty((n, len(NAMES)), np.float32)
+    col = 0
+    for bits, width in ((tag, len(TAGS)), (within, 8), (own, len(TOKENS)), (kinds, len(TOKENS))):
+        out[:, col : col + width] = np.array(bits)[:, None] >> np.arange(width) & 1
+        col += width
+    chars, linked, paragraph, stops, under, parent, kids = map(np.array, (chars, linked, paragraph, stops, under, parent, kids))
     some = np.maximum(chars, 1)
-    col("depth")[:] = [x.depth for x in nodes]
-    col("log_chars")[:] = np.log1p(chars)
-    col("link_share")[:] = linked / some
-    col("page_share")[:] = chars / max(chars[0], 1)
-    col("density")[:] = np.log1p(chars / (under + 1))
-    col("punctuation")[:] = stops / some
-    col("p_share")[:] = paragraph / some
-    col("kids")[:] = [min(50, len(x.kids)) for x in nodes]
-    up_chars = np.where(parent >= 0, chars[parent], chars)
-    col("sibling_chars")[:] = chars / np.maximum(up_chars, 1)
-    for x in nodes:
-        if x.kids:
-            same: dict[str, int] = {}
-            for k in x.kids:
-                same[k.tag] = same.get(k.tag, 0) + 1
-            for j, k in enumerate(x.kids):
-                r = out[index[id(k)]]
-                r[_AT["place"]] = j / len(x.kids)
-                r[_AT["sibling_same"]] = min(50, same[k.tag])
+    siblings = np.maximum(kids[parent], 1)
+    for x in (
+        depth,
+        np.log1p(chars),
+        linked / some,
+        chars / np.maximum(chars[np.array(first, np.int64)], 1),
+        np.log1p(chars / (under + 1)),
+        stops / some,
+        paragraph / some,
+        np.minimum(kids, 50),
+        np.array(place) / siblings,
+        chars / np.maximum(chars[parent], 1),
+        np.minimum(same, 50),
+    ):
+        out[:, col] = x
+        col += 1
     return out
 
 
@@ -363,31 +379,31 @@ class _Writer:
 
 
 def training_pages(pages: int = TRAIN_PAGES, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the nodes of generated pages. An element is main text if most of what it holds is."""
+    """Features and labels of the nodes of generated pages. An element is main text if it holds any; a run, if most of it is."""
     w = _Writer(seed)
     xs, ys = [], []
     for _ in range(pages):
-        nodes = parse(w.page())
-        index = {id(n): i for i, n in enumerate(nodes)}
-        good, size = np.zeros(len(nodes)), np.zeros(len(nodes))
+        page = parse(w.page())
+        n = len(page.tags)
+        good, size = np.zeros(n), np.zeros(n)
         inside = False
-        for i, n in enumerate(nodes):
-            if n.tag != "#text":
+        for i in range(n):
+            if page.tags[i] != "#text":
                 continue
-            for part in re.split("([\x02\x03])", n.text):
+            for part in re.split("([\x02\x03])", page.texts[i]):
                 if part in ("\x02", "\x03"):
                     inside = part == "\x02"
                 else:
                     size[i] += len(part)
                     good[i] += len(part) * inside
-            n.text = n.text.replace("\x02", "").replace("\x03", "")
-        for i in range(len(nodes) - 1, 0, -1):
-            p = index[id(nodes[i].parent)]
-            good[p] += good[i]
-            size[p] += size[i]
-        label = (good > 0) & (2 * good >= np.where([n.tag == "#text" for n in nodes], size, 0))
+            page.texts[i] = page.texts[i].replace("\x02", "").replace("\x03", "")
+        run = np.array([t == "#text" for t in page.tags])
+        for i in range(n - 1, 0, -1):
+            good[page.parent[i]] += good[i]
+            size[page.parent[i]] += size[i]
+        label = (good > 0) & (2 * good >= np.where(run, size, 0))
         used = size > 0
-        xs.append(features(nodes)[used])
+        xs.append(features([page])[used])
         ys.append(label[used].astype(float))
     return np.concatenate(xs), np.concatenate(ys)
 
@@ -397,71 +413,76 @@ def train(pages: int = TRAIN_PAGES, seed: int = SEED) -> Boosted:
 
 
 # ---------------------------------------------------------------- decoding
-def decode(nodes: list[Node], margin: np.ndarray) -> np.ndarray:
+def decode(parent: list[int], margin: np.ndarray) -> list[bool]:
     """The likeliest labels in which a node is main text only if its parent is; the root always may be.
 
-    off[v] is the log-likelihood of v and all below it as not main text, best[v] that of v's better way
-    under a parent that is.
+    off[v] is the log-likelihood of v and all below it as not main text, on[v] that of v as main text
+    with the better of the two for each node below it.
     """
-    index = {id(n): i for i, n in enumerate(nodes)}
-    parent = np.array([index[id(n.parent)] if n.parent else -1 for n in nodes])
-    yes, no = -np.logaddexp(0, -margin), -np.logaddexp(0, margin)
-    on, off = yes.copy(), no.copy()
-    take = np.zeros(len(nodes), bool)
-    for i in range(len(nodes) - 1, 0, -1):
+    on, off = (-np.logaddexp(0, -margin)).tolist(), (-np.logaddexp(0, margin)).tolist()
+    take = [True] * len(parent)
+    for i in range(len(parent) - 1, 0, -1):
+        p = parent[i]
         take[i] = on[i] > off[i]
-        on[parent[i]] += max(on[i], off[i])
-        off[parent[i]] += off[i]
-    take[0] = True
-    for i in range(1, len(nodes)):
-        take[i] &= take[parent[i]]
+        on[p] += max(on[i], off[i])
+        off[p] += off[i]
+    for i in range(1, len(parent)):
+        take[i] = take[i] and take[parent[i]]
     return take
 
 
-def text_of(nodes: list[Node], keep: np.ndarray) -> str:
+def text_of(page: Parser, keep: list[bool]) -> str:
     """The kept runs; a block's start and end, kept or not, end the block before."""
     blocks: list[str] = []
     held: list[str] = []
 
     def end():
-        t = " ".join("".join(held).split())
-        if t:
-            blocks.append(t)
-        held.clear()
-
-    index = {id(n): i for i, n in enumerate(nodes)}
-    stack: list[tuple[Node, bool]] = [(nodes[0], False)]
-    while stack:
-        n, closing = stack.pop()
-        if closing:
-            end()
+        if held:
+            t = " ".join("".join(held).split())
+            if t:
+                blocks.append(t)
+            held.clear()
+
+    open_: list[int] = []
+    tags, parent = page.tags, page.parent
+    for i in range(1, len(tags)):
+        while open_ and open_[-1] != parent[i]:
+            if tags[open_.pop()] in BLOCK:
+                end()
+        tag = tags[i]
+        if tag == "#text":
+            if keep[i]:
+                held.append(page.texts[i])
             continue
-        if n.tag == "#text":
-            if keep[index[id(n)]]:
-                held.append(n.text)
-            continue
-        if n.tag == "br":
+        if tag == "br":
             held.append(" ")
-        if n.tag in BLOCK:
+        elif tag in BLOCK:
             end()
-            stack.append((n, True))
-        stack += [(k, False) for k in reversed(n.kids) if k.tag not in SILENT]
+        open_.append(i)
     end()
     return "\n".join(blocks)
 
 
-def main_text(html: str | None, model: Boosted) -> str:
-    if not html:
-        return ""
-    nodes = parse(html)
-    return text_of(nodes, decode(nodes, model.margin(features(nodes))))
+#: Pages whose nodes go through the trees together.
+AT_ONCE = 64
+
+
+def main_texts(htmls: list[str | None], model: Boosted) -> list[str]:
+    out: list[str] = []
+    for at in range(0, len(htmls), AT_ONCE):
+        pages = [parse(h or "") for h in htmls[at : at + AT_ONCE]]
+        margin = model.margin(features(pages))
+        ends = np.cumsum([len(p.tags) for p in pages])
+        for page, stop in zip(pages, ends):
+            out.append(text_of(page, decode(page.parent, margin[stop - len(page.tags) : stop])))
+    return out
 
 
 # ---------------------------------------------------------------- the job
 def _extracted(model: Boosted):
     def run(batches):
         for b in batches:
-            texts = [main_text(h, model) for h in b.column("html").to_pylist()]
+            texts = main_texts(b.column("html").to_pylist(), model)
             arrays = [b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=["page_id", "url", "text", "n_chars"])
 
