@@ -148,3 +148,94 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def text_or_empty(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit(""))
+
+
+# ---------------------------------------------------------------- words of many texts at once
+_IS_WORD = np.ones(256, bool)
+_IS_WORD[list(SPACE)] = False
+#: Bytes that are hashed at a time.
+_STRIDE = 1 << 18
+
+
+class TextWords:
+    """The words of a column of texts, as byte ranges of its buffer; no object per word.
+
+    start, stop: byte range of each word in data; first: index of each text's first word (one more at
+    the end); a null text has no words.
+    """
+
+    def __init__(self, texts):
+        import pyarrow as pa
+
+        if isinstance(texts, pa.ChunkedArray):
+            texts = texts.combine_chunks()
+        texts = texts.cast(pa.large_binary()).fill_null(b"")
+        _, offsets, data = texts.buffers()
+        at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        base, end = (int(at[0]), int(at[-1])) if len(texts) else (0, 0)
+        self.data = np.frombuffer(data, np.uint8)[base:end] if end > base else np.zeros(0, np.uint8)
+        self.offsets = at - base if len(texts) else np.zeros(1, np.int64)
+        inside = _IS_WORD[self.data]
+        begins, ends = inside.copy(), inside.copy()
+        begins[1:] &= ~inside[:-1]
+        ends[:-1] &= ~inside[1:]
+        cut = self.offsets[(self.offsets > 0) & (self.offsets < len(inside))]  # a text ends a word
+        begins[cut] = inside[cut]
+        ends[cut - 1] = inside[cut - 1]
+        self.start = np.flatnonzero(begins)
+        self.stop = np.flatnonzero(ends) + 1
+        self.first = np.searchsorted(self.start, self.offsets)
+
+    def counts(self) -> np.ndarray:
+        return np.diff(self.first)
+
+    def hashes(self, seed: int) -> np.ndarray:
+        """64 bits of each word: a polynomial over random byte values, mixed."""
+        values, step, back, mix = _hash_tables(seed)
+        out = np.empty(len(self.start), np.uint64)
+        i = 0
+        while i < len(out):
+            low = int(self.start[i])
+            j = max(i + 1, int(np.searchsorted(self.stop, low + _STRIDE, side="right")))
+            size = int(self.stop[j - 1]) - low
+            power, inverse = _powers(seed, size)
+            sums = np.empty(size + 1, np.uint64)
+            sums[0] = 0
+            np.cumsum(values[self.data[low : low + size]] * power[:size], out=sums[1:])
+            s = self.start[i:j] - low
+            out[i:j] = (sums[self.stop[i:j] - low] - sums[s]) * inverse[s]
+            i = j
+        out += (self.stop - self.start).astype(np.uint64) * mix
+        out ^= out >> np.uint64(32)
+        out *= mix
+        return out ^ (out >> np.uint64(29))
+
+
+_TABLES: dict[int, tuple] = {}
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _hash_tables(seed: int) -> tuple:
+    if seed not in _TABLES:
+        step = xxhash.xxh3_64_intdigest(b"step", seed) & ~7 | 5
+        mix = xxhash.xxh3_64_intdigest(b"mix", seed) | 1
+        values = np.array([xxhash.xxh3_64_intdigest(b"b%d" % b, seed) for b in range(256)], np.uint64)
+        _TABLES[seed] = values, step, pow(step, -1, 1 << 64), np.uint64(mix)
+    return _TABLES[seed]
+
+
+def _powers(seed: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    found = _POWERS.get(seed)
+    if found is None or len(found[0]) < size:
+        _, step, back, _ = _hash_tables(seed)
+        n = max(size, _STRIDE + 1)
+        made = []
+        for r in (step, back):
+            p = np.full(n, r, np.uint64)
+            p[0] = 1
+            made.append(np.cumprod(p))
+        found = made[0], made[1]
+        if n > 4 * _STRIDE:  # for one huge word only
+            return found
+        _POWERS[seed] = found
+    return found

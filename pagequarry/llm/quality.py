@@ -18,9 +18,10 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from pagequarry.llm.common import SPACE, hash_cache, multipliers, window_hashes, word_hashes
+from pagequarry.llm.common import SPACE, TextWords, multipliers, window_hashes
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
@@ -29,7 +30,6 @@ WINDOW = 5
 SAMPLE_ROWS, SAMPLE_CHARS = 1000, 20_000
 
 _COEF = multipliers(WINDOW, 21)
-_CACHE: list = []
 
 
 # ---------------------------------------------------------------- base measures
@@ -38,7 +38,7 @@ class Measured:
 
     __slots__ = ("raw", "words", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
-    def __init__(self, text: str | None):
+    def __init__(self, text: str | None, may_repeat: bool = True):
         text = text or ""
         self.raw = raw = text.encode()
         self.words = raw.split()
@@ -48,7 +48,7 @@ class Measured:
         lines = [x for x in raw.split(b"\n") if x.strip(SPACE)]
         self.n_lines = len(lines)
         self.n_dup_lines = len(lines) - len(set(lines))
-        self.n_repeat_words = repeat_words(self.words)
+        self.n_repeat_words = repeat_words(self.words) if may_repeat else 0
 
     @property
     def base_failed(self) -> bool:
@@ -57,25 +57,46 @@ class Measured:
 
 def repeat_words(words: list[bytes]) -> int:
     """Words that lie in a 5-word window which the text holds twice or more."""
-    if len(words) <= WINDOW:
-        return 0
-    if not _CACHE:
-        _CACHE.append(hash_cache(seed=5))
-    h = window_hashes(word_hashes(words, _CACHE[0]), WINDOW, _COEF)
-    order = np.argsort(h, kind="stable")
-    s = h[order]
-    same = s[1:] == s[:-1]
-    if not same.any():
-        return 0
-    maybe = np.zeros(len(h), bool)
-    maybe[order[1:][same]] = maybe[order[:-1][same]] = True
-    at = np.flatnonzero(maybe).tolist()
-    count = Counter(tuple(words[i : i + WINDOW]) for i in at)  # equal hashes are checked on the words
-    covered = np.zeros(len(words), bool)
-    for i in at:
-        if count[tuple(words[i : i + WINDOW])] > 1:
-            covered[i : i + WINDOW] = True
-    return int(covered.sum())
+    windows = list(zip(*(words[i:] for i in range(WINDOW))))
+    count = Counter(windows)
+    covered = bytearray(len(words))
+    for i, w in enumerate(windows):
+        if count[w] > 1:
+            covered[i : i + WINDOW] = b"\1" * WINDOW
+    return sum(covered)
+
+
+def may_repeat(texts: pa.Array) -> np.ndarray:
+    """Which texts hold two windows of equal hash: all that repeat one, and almost no others."""
+    w = TextWords(texts)
+    counts = w.counts()
+    owner = np.repeat(np.arange(len(counts)), counts)
+    n = max(0, len(owner) - WINDOW + 1)
+    at = np.flatnonzero(owner[:n] == owner[len(owner) - n :])
+    doc = owner[at]
+    h = window_hashes(w.hashes(5), WINDOW, _COEF)[at] + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    order = np.argsort(h)
+    h, doc = h[order], doc[order]
+    out = np.zeros(len(counts), bool)
+    out[doc[1:][(h[1:] == h[:-1]) & (doc[1:] == doc[:-1])]] = True
+    return out
+
+
+#: Bytes of text, and texts, whose windows are hashed together.
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 4096
+
+
+def measured(texts: pa.Array):
+    """A Measured for each text, in order."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        base = int(sizes[at - 1]) if at else 0
+        end = min(at + SLICE_ROWS, max(at + 1, int(np.searchsorted(sizes, base + SLICE_BYTES))))
+        part = texts.slice(at, end - at)
+        for text, maybe in zip(part.to_pylist(), may_repeat(part).tolist()):
+            yield Measured(text, maybe)
+        at = end
 
 
 # ---------------------------------------------------------------- the rules
@@ -131,8 +152,7 @@ def _tried(batches):
     seconds = np.zeros(len(RULES))
     masks: Counter = Counter()
     for b in batches:
-        for t in b.column(0).to_pylist():
-            m = Measured(t)
+        for m in measured(b.column(0)):
             if m.base_failed:
                 continue
             mask = 0
@@ -188,8 +208,7 @@ def _judged(order: list[str]):
     def run(batches):
         for b in batches:
             cols: list[list] = [[] for _ in range(len(_LONGS) + 2)]
-            for t in b.column(1).to_pylist():
-                m = Measured(t)
+            for m in measured(b.column(1)):
                 failed = m.base_failed
                 for c, name in zip(cols, _LONGS):
                     c.append(getattr(m, name))
@@ -211,8 +230,7 @@ def _passed(order: list[str]):
     def run(batches):
         for b in batches:
             ok = []
-            for t in b.column("text").to_pylist():
-                m = Measured(t)
+            for m in measured(b.column("text")):
                 ok.append(not m.base_failed and verdict(m, order) is None)
             yield b.filter(pa.array(ok, pa.bool_()))
 
