@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
+from pyspark.sql import types as T
 
 from pagequarry.functions.text import any_of, contains_any, fold
 from pagequarry.schemas import NON_CONTENT, SEARCH_LOOPS
@@ -119,7 +120,7 @@ def path_segments(c: Column) -> Column:
     return F.size(F.filter(F.split(path(c), "/"), lambda x: x != ""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def urljoin_udf(base, href):
     """Full resolution, with dot segments."""
     from urllib.parse import urljoin

@@ -1,4 +1,6 @@
 """All registered queries and their SQL."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from pagequarry.plans import discovery, imports, pages, reports  # noqa: F401
+from pagequarry.plans.base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -8,6 +8,7 @@ from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import types as T
 
 from pagequarry.functions import urls
 
@@ -17,7 +18,7 @@ def robots_sitemaps(body: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(body, F.lit("")), F.lit(r"(?im)^\s*sitemap\s*:\s*(\S+)"), F.lit(1))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _allowed(robots: pd.Series, url: pd.Series, agent: pd.Series) -> pd.Series:
     parsers: dict[str, RobotFileParser | None] = {}
 
@@ -65,14 +66,17 @@ def xml_locs(raw: bytes | None) -> tuple[bool, list[str]]:
     return root.tag.rpartition("}")[2] == "sitemapindex", [x for x in locs if x]
 
 
-@F.udf("struct<is_index: boolean, locs: array<string>>")
+_LOCS = T.StructType([T.StructField("is_index", T.BooleanType()), T.StructField("locs", T.ArrayType(T.StringType()))])
+
+
+@F.udf(_LOCS)
 def xml_locs_udf(raw):
     return xml_locs(bytes(raw) if raw is not None else None)
 
 
 def loc_values(xml: Column) -> Column:
     """loc values of an XML text by built-ins: well-formed or not, namespaces or not."""
-    return F.transform(F.regexp_extract_all(xml, F.lit(r"<(?:\w+:)?loc>\s*([^<]*?)\s*</(?:\w+:)?loc>"), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(xml, F.lit(r"<(?:\w+:)?loc>\s*([^<]*?)\s*</(?:\w+:)?loc>"), F.lit(1)), lambda x: F.trim(x))
 
 
 def sitemap_urls(seeds: DataFrame, files: DataFrame, cap: int, depth: int = 2) -> DataFrame:

@@ -13,6 +13,7 @@ import zipfile
 from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 ENCODINGS = ("utf-8-sig", "utf-8", "cp1252", "latin-1")
@@ -130,7 +131,7 @@ def raw_rows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("raw_rows").load(path)
 
 
-@F.udf("array<array<string>>")
+@F.udf(T.ArrayType(T.ArrayType(T.StringType())))
 def rows_of(path, content):
     return [[str(c) for c in r] for r in reader_for(path)(bytes(content))]
 
