@@ -12,6 +12,11 @@ def any_of(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests, F.lit(False))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body names it and wherever the plan moves it."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
 def contains_any(c: Column, words) -> Column:
     """One of the words occurs in c (c folded already)."""
     return any_of([c.contains(w) for w in words])

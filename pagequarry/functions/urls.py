@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 from pyspark.sql import types as T
 
-from pagequarry.functions.text import any_of, contains_any, fold
+from pagequarry.functions.text import any_of, contains_any, fold, let
 from pagequarry.schemas import NON_CONTENT, SEARCH_LOOPS
 
 _URL = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
@@ -43,12 +43,16 @@ def core_host(c: Column) -> Column:
 
 def same_org(url: Column, base: Column) -> Column:
     """The URL's host is the base's, or lies below it."""
-    h, b = core_host(url), core_host(base)
-    return (h != "") & (b != "") & ((h == b) | F.endswith(h, F.concat(F.lit("."), b)))
+    both = F.struct(core_host(url).alias("h"), core_host(base).alias("b"))
+    return let(both, lambda x: (x["h"] != "") & (x["b"] != "") & ((x["h"] == x["b"]) | F.endswith(x["h"], F.concat(F.lit("."), x["b"]))))
 
 
 def canonical(c: Column) -> Column:
     """Without fragment and parameters, scheme and host in lower case, no slash at the end; the query stays."""
+    return let(c, _canonical)
+
+
+def _canonical(c: Column) -> Column:
     p = F.regexp_replace(F.regexp_replace(path(c), ";[^/]*$", ""), "/+$", "")
     front = F.when(scheme(c) != "", F.concat(scheme(c), F.lit(":"))).otherwise("")
     place = F.when(authority(c) != "", F.concat(F.lit("//"), authority(c))).otherwise("")
@@ -82,6 +86,10 @@ def looks_like_search(c: Column) -> Column:
 
 def valid_result(url: Column, base: Column, searched: Column) -> Column:
     """May be a hit: a page of the organisation that is no file, not the search itself and no other search."""
+    return let(url, lambda u: _valid_result(u, base, searched))
+
+
+def _valid_result(url: Column, base: Column, searched: Column) -> Column:
     low = F.lower(path(url))
     return (
         F.coalesce(url != "", F.lit(False))
