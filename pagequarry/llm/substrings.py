@@ -25,6 +25,7 @@ stay; an empty table gives an empty table; other columns are carried by `clean`.
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from pagequarry.llm.common import hash_cache, multipliers, stored, window_hashes, word_hashes
+from pagequarry.llm.common import TextWords, multipliers, stored, window_hashes
 
 WINDOW = 13
 #: Rows of the sketch, and how many cells it has for each window of the corpus.
@@ -41,11 +42,10 @@ DEPTH, SPARE = 2, 8
 #: Bytes of text in a block, and documents in it at most.
 BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 8192
 #: Cells of all blocks that one merging task takes.
-SHARD_CELLS = 6_000_000
+SHARD_CELLS = 3_000_000
 LAST = np.iinfo(np.int64).max
 
 _COEF = [multipliers(WINDOW, seed) for seed in (11, 12)]
-_CACHE: dict[int, object] = {}
 
 
 # ---------------------------------------------------------------- packed columns of integers
@@ -113,22 +113,19 @@ def _table(rows: bytes) -> pa.Table:
 
 
 class Windows:
-    """The windows of a block: word lists per document, a 64-bit hash per window, doc and start of each."""
+    """The windows of a block: a 64-bit hash for each (two lanes of them if asked), its doc and first word."""
 
     def __init__(self, rows: bytes, lanes: int = 1):
         self.table = _table(rows)
         ids = self.table.column("doc_id").to_pylist()
         self.ids = np.array([LAST if i is None else int(i) for i in ids], np.int64)
-        self.words = [(t or "").encode().split() for t in self.table.column("text").to_pylist()]
-        counts = [max(0, len(w) - WINDOW + 1) for w in self.words]
-        self.doc = np.repeat(np.arange(len(counts)), counts)
-        self.first = np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
-        self.lane = [self._lane(i) for i in range(lanes)]
-
-    def _lane(self, i: int) -> np.ndarray:
-        cache = _CACHE.setdefault(i, hash_cache(seed=i))
-        parts = [window_hashes(word_hashes(w, cache), WINDOW, _COEF[i]) for w in self.words if len(w) >= WINDOW]
-        return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        self.words = TextWords(self.table.column("text"))
+        counts = self.words.counts()
+        owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+        n = max(0, len(owner) - WINDOW + 1)
+        self.at = np.flatnonzero(owner[:n] == owner[len(owner) - n :])  # the first word of each window
+        self.doc = owner[self.at]
+        self.lane = [window_hashes(self.words.hashes(i), WINDOW, _COEF[i])[self.at] for i in range(lanes)]
 
     def cells(self, row: int, bits: int) -> np.ndarray:
         by = multipliers(DEPTH, 13)[row]
@@ -141,10 +138,7 @@ class Windows:
             got = replies.get(row)
             if not got:
                 return np.zeros(0, np.int64)
-            known = np.sort(np.concatenate(got))
-            c = self.cells(row, bits)
-            at = np.minimum(np.searchsorted(known, c), len(known) - 1)
-            ok &= known[at] == c
+            ok[ok] = _among(self.cells(row, bits)[ok], np.sort(np.concatenate(got)))
         return np.flatnonzero(ok)
 
     def keyed(self, suspects: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -159,6 +153,18 @@ class Windows:
         return h1[new], h2[new], d[new], index
 
 
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each x is among the sorted known ones: a bit per hashed value settles most, a search the rest."""
+    bits = max(16, int(len(known)).bit_length() + 3)
+    by, shift = np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - bits)
+    seen = np.zeros(1 << bits, bool)
+    seen[(known * by) >> shift] = True
+    ok = seen[(x * by) >> shift]
+    some = x[ok]
+    ok[ok] = known[np.minimum(np.searchsorted(known, some), len(known) - 1)] == some
+    return ok
+
+
 # ---------------------------------------------------------------- pass 1: the sketch
 def _sketch(bits: int, shards: int):
     def run(batches):
@@ -272,12 +278,12 @@ def _group(t: pa.Table) -> pa.Table:
 
 
 # ---------------------------------------------------------------- pass 3: removal
-def _gone(w: Windows, replies, answers, bits: int) -> list[np.ndarray]:
-    """Per document a mask of the words to remove."""
-    masks = [np.zeros(len(x), bool) for x in w.words]
+def _gone(w: Windows, replies, answers, bits: int) -> np.ndarray:
+    """A mask of the block's words to remove."""
+    gone = np.zeros(len(w.words.start), bool)
     suspects = w.suspects(replies, bits)
     if not len(suspects):
-        return masks
+        return gone
     h1, h2, low, index = w.keyed(suspects)
     if answers:
         g1 = np.concatenate([_unpack(a["h1"], True) for a in answers])
@@ -292,10 +298,10 @@ def _gone(w: Windows, replies, answers, bits: int) -> list[np.ndarray]:
         back = np.empty(len(a), np.int64)
         back[order] = np.cumsum(new) - 1
         low = least[back[: len(h1)]]
-    hit = suspects[w.ids[w.doc[suspects]] > low[index]]
-    for d, start in zip(w.doc[hit], hit - w.first[w.doc[hit]]):
-        masks[d][start : start + WINDOW] = True
-    return masks
+    hit = w.at[suspects[w.ids[w.doc[suspects]] > low[index]]]
+    for i in range(WINDOW):
+        gone[hit + i] = True
+    return gone
 
 
 def _removed(bits: int, keep_rows: bool, schema: pa.Schema | None):
@@ -304,16 +310,17 @@ def _removed(bits: int, keep_rows: bool, schema: pa.Schema | None):
             for rows, got, answers in zip(b.column("rows"), b.column("cells").to_pylist(), b.column("answers").to_pylist()):
                 replies = _replies(got)
                 w = Windows(rows.as_py(), lanes=2 if len(replies) == DEPTH else 1)
-                masks = _gone(w, replies, answers, bits)
+                gone = _gone(w, replies, answers, bits)
                 if keep_rows:
-                    yield from _cleaned(w, masks, schema)
+                    yield from _cleaned(w, gone, schema)
                     continue
-                left = [b" ".join(np.array(x, object)[~m]) if m.any() else b" ".join(x) for x, m in zip(w.words, masks)]
+                removed = _per_doc(w, gone)
+                left = _left(w, gone, removed, np.arange(len(removed)))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([None if i == LAST else i for i in w.ids.tolist()], pa.int64()),
-                        pa.array([len(x) for x in w.words], pa.int64()),
-                        pa.array([int(m.sum()) for m in masks], pa.int64()),
+                        pa.array(w.words.counts(), pa.int64()),
+                        pa.array(removed, pa.int64()),
                         pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string()),
                     ],
                     names=["doc_id", "n_words", "n_removed", "kept_sha256"],
@@ -322,17 +329,40 @@ def _removed(bits: int, keep_rows: bool, schema: pa.Schema | None):
     return run
 
 
-def _cleaned(w: Windows, masks: list[np.ndarray], schema: pa.Schema):
+def _per_doc(w: Windows, gone: np.ndarray) -> np.ndarray:
+    sums = np.concatenate(([0], np.cumsum(gone)))
+    return sums[w.words.first[1:]] - sums[w.words.first[:-1]]
+
+
+def _left(w: Windows, gone: np.ndarray, removed: np.ndarray, docs: np.ndarray):
+    """The words that are left of each of these documents, joined by single spaces."""
+    first, at = w.words.first, w.words.offsets
+    for d in docs:
+        words = w.words.data[at[d] : at[d + 1]].tobytes().split()
+        if removed[d]:
+            words = itertools.compress(words, ~gone[first[d] : first[d + 1]])
+        yield b" ".join(words)
+
+
+def _cleaned(w: Windows, gone: np.ndarray, schema: pa.Schema):
     """The rows, with the text of those that lose words replaced by the words that are left."""
-    texts = w.table.column("text").to_pylist()
-    new = [b" ".join(np.array(x, object)[~m]).decode() if m.any() else t for x, m, t in zip(w.words, masks, texts)]
-    at = w.table.schema.get_field_index("text")
-    t = w.table.set_column(at, "text", pa.array(new, w.table.schema.field("text").type)).combine_chunks()
-    if "n_chars" in t.column_names:
-        kind = t.schema.field("n_chars").type
-        old = t.column("n_chars").to_pylist()
-        counts = [len(n) if m.any() else o for n, m, o in zip(new, masks, old)]
-        t = t.set_column(t.schema.get_field_index("n_chars"), "n_chars", pa.array(counts, kind))
+    removed = _per_doc(w, gone)
+    changed = np.flatnonzero(removed)
+    t = w.table.combine_chunks()
+    if len(changed):
+        new = dict(zip(changed.tolist(), (x.decode() for x in _left(w, gone, removed, changed))))
+        mask = pa.array(removed > 0)
+
+        def put(name: str, values: list) -> None:
+            nonlocal t
+            field = t.schema.field(name)
+            column = t.column(name).combine_chunks()
+            column = pc.replace_with_mask(column, mask, pa.array(values, field.type))
+            t = t.set_column(t.schema.get_field_index(name), field, column)
+
+        put("text", [new[d] for d in changed.tolist()])
+        if "n_chars" in t.column_names:
+            put("n_chars", [len(new[d]) for d in changed.tolist()])
     yield from t.select([f.name for f in schema]).cast(schema).to_batches()
 
 
@@ -346,8 +376,9 @@ def _plan(docs: DataFrame):
     parts = narrow.mapInArrow(_sketch(bits, shards), "block long, row int, shard int, cells binary")
     merged = parts.groupBy("row", "shard").applyInArrow(_merge, "block long, row int, cells binary")
     found = stored(merged, "repeated", "uncompressed")
+    # Both joins shuffle the same blocks for the same kind of join, so that Spark does it once.
     per_block = found.groupBy("block").agg(F.collect_list(F.struct("row", "cells")).alias("cells"))
-    asked = narrow.join(per_block, "block").mapInArrow(_ask(bits, shards), _ASKED)
+    asked = narrow.join(per_block, "block", "left").mapInArrow(_ask(bits, shards), _ASKED)
     answers = asked.groupBy("shard").applyInArrow(_group, _ASKED)
     told = answers.groupBy("block").agg(F.collect_list(F.struct("h1", "h2", "low")).alias("answers"))
     return narrow.join(per_block.join(told, "block", "left"), "block", "left"), bits
