@@ -97,6 +97,8 @@ def _cuts(rows: DataFrame, want: dict[int, float]) -> dict[int, Cut]:
         F.sum("size").alias("w"), *[f(d).alias(f"{n}_{d}") for d in (*DIMS, "__tie", "__id") for n, f in (("lo", F.min), ("hi", F.max))]
     )
     stats = {r["__part"]: r.asDict() for r in stats.collect()}
+    if not stats:
+        return {}
     whole = {d: max(1, max(s[f"hi_{d}"] for s in stats.values()) - min(s[f"lo_{d}"] for s in stats.values())) for d in DIMS}
     state = {}
     for p, s in stats.items():
