@@ -30,7 +30,11 @@ def visible(html: Column) -> Column:
 
 def runs(html: Column) -> Column:
     """Text runs, trimmed, without empty ones."""
-    parts = F.split(visible(html), "<[^>]*>")
+    return pieces(visible(html))
+
+
+def pieces(markup: Column) -> Column:
+    parts = F.split(markup, "<[^>]*>")
     return F.filter(F.transform(parts, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
 
 
@@ -44,7 +48,7 @@ def title(html: Column) -> Column:
 
 def headings(html: Column) -> Column:
     found = F.regexp_extract_all(visible(html), F.lit(r"(?is)<h[123]\b[^>]*>(.*?)</h[123]\s*>"), F.lit(1))
-    return F.transform(found, lambda x: collapse(decode(F.regexp_replace(x, "<[^>]*>", ""))))
+    return F.transform(found, lambda x: decode(F.array_join(pieces(x), " ")))
 
 
 def hrefs(html: Column) -> Column:

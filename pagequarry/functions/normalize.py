@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from pagequarry.functions.text import collapse
 from pagequarry.functions.urls import prefer_https
-from pagequarry.schemas import INVALID_NUMBERS, INVALID_WEBSITES, STATES
+from pagequarry.schemas import INVALID_WEBSITES, STATES
 
 
 def state(c: Column) -> Column:
@@ -22,20 +22,22 @@ def integer(c: Column) -> Column:
     digits = F.regexp_replace(s, "[^0-9.-]", "")
     number = digits.try_cast("double")
     whole = F.when(number < 0, F.ceil(number)).otherwise(F.floor(number))
-    return F.when(~F.lower(s).isin(*INVALID_NUMBERS), whole.try_cast("int"))
+    return F.when(~F.lower(s).isin(*INVALID_WEBSITES), whole.try_cast("int"))
 
 
 def website(c: Column) -> Column:
     """struct(url, searchable): an absolute URL with a plausible host, or ('', false)."""
-    s = collapse(F.regexp_replace(F.coalesce(c, F.lit("")), "[\"']", ""))
+    bare = F.trim(F.coalesce(c, F.lit("")))
+    s = collapse(F.regexp_replace(F.regexp_replace(bare, '^"+|"+$', ""), "^'+|'+$", ""))
     bad = F.lower(s).isin(*INVALID_WEBSITES) | s.contains("†") | s.contains("‡")
     full = (
         F.when(s.startswith("//"), F.concat(F.lit("https:"), s))
-        .when(s.rlike("(?i)^https?://"), s)
+        .when(s.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), s)
         .otherwise(F.concat(F.lit("https://"), s))
     )
     full = F.regexp_replace(full, r"[ .,\s]+$", "")
-    name = F.regexp_extract(full, r"(?i)^https?://(?:[^/?#@]*@)?([^/?#:]*)", 1)
+    name = F.regexp_extract(full, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
+    name = F.regexp_replace(name, r"^\.+|\.+$", "")
     good = ~bad & name.rlike(r"(?i)^[^.\s]+(\.[^.\s]+)*\.[a-z]{2,63}$")
     return F.struct(F.when(good, full).otherwise("").alias("url"), good.alias("searchable"))
 

@@ -52,7 +52,7 @@ def snippet(text: Column, phrase: str, around: int = 200) -> Column:
     cut = F.substring(text, start + 1, F.greatest(end - start, F.lit(0)))
     head = F.when(start > 0, "...").otherwise("")
     tail = F.when(end < F.length(text), "...").otherwise("")
-    return F.when(at < 0, collapse(F.substring(text, 1, 400))).otherwise(F.concat(head, collapse(cut), tail))
+    return F.when(at < 0, collapse(F.substring(text, 1, 2 * around))).otherwise(collapse(F.concat(head, cut, tail)))
 
 
 def escape_html(c: Column) -> Column:

@@ -37,8 +37,8 @@ def query(c: Column) -> Column:
 
 
 def core_host(c: Column) -> Column:
-    """Host without one leading www. and without dots at its ends."""
-    return F.regexp_replace(F.regexp_replace(host(c), r"^www\.", ""), r"^\.+|\.+$", "")
+    """Host without dots at its ends and without one leading www."""
+    return F.regexp_replace(F.regexp_replace(host(c), r"^\.+|\.+$", ""), r"^www\.", "")
 
 
 def same_org(url: Column, base: Column) -> Column:
@@ -49,7 +49,7 @@ def same_org(url: Column, base: Column) -> Column:
 
 def canonical(c: Column) -> Column:
     """Without fragment and parameters, scheme and host in lower case, no slash at the end; the query stays."""
-    return let(c, _canonical)
+    return let(F.trim(c), _canonical)
 
 
 def _canonical(c: Column) -> Column:
@@ -76,6 +76,7 @@ def join(base: Column, href: Column) -> Column:
 
 
 def prefer_https(c: Column) -> Column:
+    c = F.trim(F.coalesce(c, F.lit("")))
     local = host(c).isin("localhost", "127.0.0.1", "::1", "[::1]")
     return F.when((scheme(c) == "http") & ~local, F.regexp_replace(c, "^[hH][tT][tT][pP]:", "https:")).otherwise(c)
 
@@ -119,7 +120,7 @@ def site_query(phrase: Column, base: Column) -> Column:
 
 def filename_title(c: Column) -> Column:
     """The last part of the path, else the host, else the URL, with - and _ as spaces."""
-    last = F.regexp_extract(F.regexp_replace(path(c), "/+$", ""), "([^/]*)$", 1)
+    last = F.regexp_extract(path(c), "([^/]*)$", 1)
     name = F.when(last != "", last).when(host(c) != "", host(c)).otherwise(c)
     return F.translate(name, "-_", "  ")
 

@@ -157,4 +157,4 @@ def log_lines(events: DataFrame) -> DataFrame:
 
 def analyse_match(hit: dict) -> dict:
     """Hook for a model's opinion on a hit; nothing is plugged in, so it has none."""
-    return {"relevance": None, "reason": None, "model": None}
+    return {"is_likely_match": None, "confidence": None, "explanation": None}

@@ -59,8 +59,7 @@ def hits(pages: DataFrame, phrase: str) -> DataFrame:
     scored = parsed(pages).withColumn("score", score(F.col("title"), F.col("headings"), F.col("body"), F.col("url"), phrase))
     found = scored.where(F.col("score").isNotNull())
     found = found.withColumn("snippet", X.snippet(F.col("body"), phrase)).withColumn("matched_terms", F.array(F.lit(phrase)))
-    title = F.when(F.col("title") != "", F.col("title")).otherwise(U.filename_title(F.col("url")))
-    return found.withColumn("title", F.substring(title, 1, 500)).drop("body", "headings")
+    return found.withColumn("title", F.substring("title", 1, 500)).drop("body", "headings")
 
 
 def best_hits(found: DataFrame, keys: list[str], k: int, seq: str = "seq") -> DataFrame:

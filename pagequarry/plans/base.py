@@ -123,7 +123,7 @@ def sql_host(x: str) -> str:
 
 
 def sql_core(x: str) -> str:
-    return rf"regexp_replace(regexp_replace({sql_host(x)}, '^www\.', ''), '^\.+|\.+$', '', 'g')"
+    return rf"regexp_replace(regexp_replace({sql_host(x)}, '^\.+|\.+$', '', 'g'), '^www\.', '')"
 
 
 def sql_canonical(x: str) -> str:
@@ -150,6 +150,11 @@ def sql_fold(x: str) -> str:
     return f"replace(lower({x}), 'ß', 'ss')"
 
 
+def sql_runs(x: str) -> str:
+    """Text runs between tags, trimmed, empty ones dropped, joined by a space."""
+    return rf"array_to_string(list_filter(list_transform(string_split_regex({x}, '<[^>]*>'), lambda y: regexp_replace(y, '^\s+|\s+$', '', 'g')), lambda y: y <> ''), ' ')"
+
+
 _VISIBLE = "html"
 for _tag in ("script", "style", "noscript", "svg"):
     _VISIBLE = rf"regexp_replace({_VISIBLE}, '<{_tag}\b[^>]*>.*?</{_tag}\s*>', '', 'gis')"
@@ -160,8 +165,8 @@ PARSED = rf"""v AS (SELECT page_id, url, html, {VISIBLE} AS vis FROM pages),
 b AS (SELECT page_id, url, html, vis,
   {sql_collapse(sql_decode(r"regexp_replace(regexp_extract(html, '<title\b[^>]*>(.*?)</title\s*>', 1, 'is'), '<[^>]*>', '', 'g')"))} AS title,
   list_transform(regexp_extract_all(vis, '<h[123]\b[^>]*>(.*?)</h[123]\s*>', 1, 'is'),
-    lambda x: {sql_collapse(sql_decode("regexp_replace(x, '<[^>]*>', '', 'g')"))}) AS headings,
-  {sql_decode(r"array_to_string(list_filter(list_transform(string_split_regex(vis, '<[^>]*>'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), ' ')")} AS body
+    lambda x: {sql_decode(sql_runs('x'))}) AS headings,
+  {sql_decode(sql_runs('vis'))} AS body
   FROM v)"""
 
 #: Links of each page: page_id, url, seq (from 0), href as written.
@@ -189,5 +194,6 @@ def sql_snippet(x: str, phrase: str, around: int = 200) -> str:
     q = phrase.lower().replace("ß", "ss").replace("'", "''")
     at = f"(strpos({sql_fold(x)}, '{q}') - 1)"
     start, end = f"greatest({at} - {around}, 0)", f"least({at} + {len(phrase) + around}, length({x}))"
-    return f"""CASE WHEN {at} < 0 THEN {sql_collapse(f"substring({x}, 1, 400)")} ELSE concat(CASE WHEN {start} > 0 THEN '...' ELSE '' END,
-    {sql_collapse(f"substring({x}, {start} + 1, {end} - {start})")}, CASE WHEN {end} < length({x}) THEN '...' ELSE '' END) END"""
+    cut = sql_collapse(f"""concat(CASE WHEN {start} > 0 THEN '...' ELSE '' END, substring({x}, {start} + 1, {end} - {start}),
+    CASE WHEN {end} < length({x}) THEN '...' ELSE '' END)""")
+    return f"""CASE WHEN {at} < 0 THEN {sql_collapse(f"substring({x}, 1, 400)")} ELSE {cut} END"""

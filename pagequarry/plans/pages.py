@@ -151,7 +151,7 @@ _NAMED = "CASE page_id % 4 WHEN 0 THEN url || '/a-b_c.pdf' WHEN 1 THEN regexp_ex
 
 @query(
     f"""WITH o AS (SELECT page_id, {_NAMED} AS u FROM pages), t AS (SELECT page_id, u,
-    regexp_extract(regexp_replace({sql_part('u', 3)}, '/+$', ''), '([^/]*)$', 1) AS last FROM o)
+    regexp_extract({sql_part('u', 3)}, '([^/]*)$', 1) AS last FROM o)
     SELECT page_id, translate(CASE WHEN last <> '' THEN last WHEN {sql_host('u')} <> '' THEN {sql_host('u')} ELSE u END, '-_', '  ') AS title FROM t"""
 )
 def filename_title(spark: SparkSession, d: str) -> DataFrame:

@@ -21,7 +21,6 @@ INVALID_WEBSITES = (
     "", "+", "-", "--", "na", "n/a", "none", "null", "nan", "not available", "not reported", "unavailable",
     "missing", "no website", "†", "‡", "â€ ", "â€¡", "–", "—",
 )
-INVALID_NUMBERS = ("", "+", "-", "--", "na", "n/a", "none", "null", "nan", "†", "‡", "–", "—")
 SEARCH_METHODS = (
     "crawler", "brave", "hybrid", "district_search", "district_search_hybrid", "district_search_browser",
     "district_search_browser_hybrid",
