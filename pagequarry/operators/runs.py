@@ -89,7 +89,7 @@ def recover(runs: list[Run]) -> list[Run]:
 def results_of(run: Run, districts: DataFrame, pages: DataFrame, settings: SearchSettings = SearchSettings(), crawl_depth: int | None = None) -> DataFrame:
     """The run's ranked hits with a copy of each organisation: lazy."""
     chosen = listed(districts, run.max_districts, **run.wanted)
-    numbered = pages if "seq" in pages.columns else pages.withColumn("seq", F.monotonically_increasing_id())
+    numbered = pages if "seq" in pages.columns else pages.withColumn("seq", F.col("url"))
     if crawl_depth is None:
         found = search_corpus(chosen, numbered, run.query_text, settings)
     else:
