@@ -145,16 +145,31 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame) -> Network:
-    """Train on the driver, from TRAIN_DOCS texts' parts of TRAIN_CHARS characters at most."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    h = F.xxhash64(F.col("doc_id"), F.lit(3))
-    chosen = known.select(
+def _sample(docs: DataFrame) -> list:
+    """lang and part of the TRAIN_DOCS labelled rows of least hash.
+
+    Only rows under a bound on the hash, set from a count that reads no texts, may reach the driver, so
+    what all tasks send together stays near TRAIN_DOCS. The bound rises until enough rows come or it
+    lets all through; the rows that are chosen don't depend on it.
+    """
+    labelled = docs.where(F.col("lang").isNotNull() & ~held_out())
+    share = 1.5 * TRAIN_DOCS / max(1, labelled.count())
+    chosen = labelled.where(F.col("text").isNotNull()).select(
         F.col("lang").cast("string").alias("lang"),
-        h.alias("h"),
+        F.xxhash64(F.col("doc_id"), F.lit(3)).alias("h"),
         F.expr(f"substring(text, 1 + CAST(pmod(xxhash64(doc_id, 4), greatest(1, length(text) - {TRAIN_CHARS})) AS INT), {TRAIN_CHARS})").alias("part"),
     )
-    rows = chosen.orderBy("h", "lang", "part").limit(TRAIN_DOCS).collect()
+    while True:
+        under = chosen if share >= 1 else chosen.where(F.col("h") < int(share * (1 << 64)) - (1 << 63))
+        rows = under.orderBy("h", "lang", "part").limit(TRAIN_DOCS).collect()
+        if len(rows) == TRAIN_DOCS or share >= 1:
+            return rows
+        share *= 4
+
+
+def fit(docs: DataFrame) -> Network:
+    """Train on the driver, from TRAIN_DOCS texts' parts of TRAIN_CHARS characters at most."""
+    rows = _sample(docs)
     langs = sorted({r["lang"] for r in rows})
     if not langs:
         return Network.fresh([UNKNOWN])
