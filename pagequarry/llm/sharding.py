@@ -51,7 +51,8 @@ def _metadata(docs: DataFrame) -> DataFrame:
     rows = stored(rows, "metadata")
     key = ["__h", "text_crc32", "size"]
     first = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("i"), "d_lang", "d_source")
-    groups = rows.groupBy(*key).agg(F.min(first).alias("g"))
+    # Stored, so that both sides of the join have plain shuffles: a hot group's rows are split then.
+    groups = stored(rows.groupBy(*key).agg(F.min(first).alias("g")), "text-groups")
     both = rows.select("doc_id", *key).join(groups, key)
     low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
     low, span = low or 0, max(1, (high or 0) - (low or 0))
