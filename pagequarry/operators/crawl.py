@@ -5,23 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
+from pagequarry.functions import urls as U
 from pagequarry.operators.ranking import first_per_key
 from pagequarry.sources.tables import stored
 
 
-def crawl(seeds: DataFrame, edges: DataFrame, max_pages: int, depth: int) -> DataFrame:
-    """key, url, depth, seq of the pages visited: seeds (key, url), edges (src, dst, pos).
+#: Levels after which what is visited is stored as one table, so that its plan stays small.
+_JOINED = 8
+
+
+def crawl(seeds: DataFrame, edges: DataFrame, max_pages: int, depth: int | None = None) -> DataFrame:
+    """key, url, depth, seq of the pages visited: seeds (key, url and, if links out of it are not followed, base), edges (src, dst, pos).
 
     A key's frontier is a queue: pages of a level come in the order of their sources, then of the links.
     It holds at most 4 x max_pages URLs beyond what is visited, and at most max_pages are visited. A level
-    is stored before the next, which keeps plans small; the loop ends at `depth` or with an empty level.
+    is stored before the next, which keeps plans small; the loop ends with an empty level, at the latest
+    when all have max_pages, or at `depth` if it is given.
     """
     first = first_per_key(seeds.select("key", "url").where("url <> ''"), ["key", "url"], [F.col("url")])
     seq = F.row_number().over(W.partitionBy("key").orderBy("url"))
     visited = stored(first.select("key", "url", F.lit(0).alias("depth"), seq.cast("long").alias("seq")).where(F.col("seq") <= max_pages), "crawl")
-    level = visited
-    for d in range(1, depth + 1):
+    bases = seeds.select("key", "base").dropDuplicates(["key"]) if "base" in seeds.columns else None
+    level, d = visited, 0
+    while depth is None or d < depth:
+        d += 1
         out = level.join(edges, level["url"] == edges["src"]).select("key", F.col("dst").alias("url"), "seq", "pos")
+        if bases is not None:
+            out = out.join(bases, "key").where(U.same_org(F.col("url"), F.col("base"))).drop("base")
         new = out.where("url <> ''").join(visited.select("key", "url"), ["key", "url"], "left_anti")
         new = first_per_key(new, ["key", "url"], [F.col("seq"), F.col("pos")])
         done = visited.groupBy("key").agg(F.max("seq").alias("done"))
@@ -32,6 +42,8 @@ def crawl(seeds: DataFrame, edges: DataFrame, max_pages: int, depth: int) -> Dat
         if level.isEmpty():
             break
         visited = visited.unionByName(level)
+        if d % _JOINED == 0:
+            visited = stored(visited, "crawl")
     return visited
 
 

@@ -10,6 +10,7 @@ from pagequarry.functions import html as H
 from pagequarry.functions import text as X
 from pagequarry.functions import urls as U
 from pagequarry.operators.ranking import first_per_key, overwrite, top_k
+from pagequarry.sources.tables import stored
 
 
 @dataclass(frozen=True)
@@ -125,14 +126,14 @@ def search_corpus(districts: DataFrame, pages: DataFrame, phrase: str, settings:
     return best_hits(unique, ["id"], settings.max_results).withColumn("search_source", F.lit("crawler"))
 
 
-def crawl_corpus(districts: DataFrame, pages: DataFrame, phrase: str, settings: SearchSettings = SearchSettings(), depth: int = 3) -> DataFrame:
-    """As search_corpus, for the pages that a crawl from each organisation's website reaches."""
+def crawl_corpus(districts: DataFrame, pages: DataFrame, phrase: str, settings: SearchSettings = SearchSettings(), depth: int | None = None) -> DataFrame:
+    """As search_corpus, for the pages that a crawl from each organisation's website reaches; depth None is as far as max_pages goes."""
     from pagequarry.operators.crawl import crawl
 
     d = districts.where(U.core_host(F.col("website")) != "")
-    seeds = d.select(F.col("id").alias("key"), U.canonical(F.col("website")).alias("url"))
+    seeds = d.select(F.col("id").alias("key"), U.canonical(F.col("website")).alias("url"), F.col("website").alias("base"))
     known = pages.select(U.canonical(F.col("url")).alias("src"), F.posexplode(H.links(F.col("html"), F.col("url"))).alias("pos", "dst"))
-    edges = known.select("src", U.canonical(F.col("dst")).alias("dst"), "pos")
+    edges = stored(known.select("src", U.canonical(F.col("dst")).alias("dst"), "pos"), "edges")
     visited = crawl(seeds, edges, settings.max_pages, depth).join(d, F.col("key") == F.col("id"))
     visited = visited.where(U.same_org(F.col("url"), F.col("website")))
     bodies = pages.select(U.canonical(F.col("url")).alias("url"), "html")

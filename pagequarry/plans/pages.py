@@ -29,6 +29,7 @@ from pagequarry.plans.base import (
     sql_score,
     sql_snippet,
 )
+from pagequarry.sources.tables import stored
 from pagequarry.sources import crawl_rules, fetch
 from pagequarry.sources.tables import table
 
@@ -309,6 +310,13 @@ def bfs_frontier(spark: SparkSession, d: str) -> DataFrame:
     return C.crawl(seeds, edges, max_pages=100, depth=2).select("key", "url", "depth")
 
 
+@query(f"WITH {_GRAPH} SELECT host AS key, CAST(page_id AS VARCHAR) AS url, CAST((rn + 1) // 3 AS INT) AS depth FROM n WHERE rn <= 100")
+def bfs_whole(spark: SparkSession, d: str) -> DataFrame:
+    """As bfs_frontier, to the page cap: a level visits the next three pages of a host."""
+    seeds, edges = _graph(spark, d)
+    return C.crawl(seeds, stored(edges, "edges"), max_pages=100).select("key", "url", "depth")
+
+
 @query(f"{_WALK.format(1)} SELECT key, url, depth FROM m")
 def follow_depth(spark: SparkSession, d: str) -> DataFrame:
     seeds, edges = _graph(spark, d)
