@@ -29,6 +29,8 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--min-enrollment", type=int)
     s.add_argument("--max-enrollment", type=int)
     s.add_argument("--limit", type=int, default=25)
+    s.add_argument("--crawl", action="store_true", help="only pages that links from the website lead to")
+    s.add_argument("--crawl-depth", type=int, metavar="N", help="as --crawl, at most N links away")
     return p
 
 
@@ -45,7 +47,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     wanted = {"states": args.state, "agency_types": args.agency_type, "min_enrollment": args.min_enrollment, "max_enrollment": args.max_enrollment}
     districts, pages = spark.read.parquet(args.districts), spark.read.parquet(args.pages)
-    run, found = R.run_search(spark, districts, pages, args.text, args.out, max_districts=args.limit, **wanted)
+    run, found = R.run_search(spark, districts, pages, args.text, args.out, crawl_depth=args.crawl_depth, crawl=args.crawl, max_districts=args.limit, **wanted)
     print(f"{run.status}: {found.count()} results")
     return 0 if run.status == "completed" else 1
 

@@ -86,11 +86,11 @@ def recover(runs: list[Run]) -> list[Run]:
     return sorted((replace(r, status="queued") if r.status == "running" else r for r in runs), key=lambda r: r.id)
 
 
-def results_of(run: Run, districts: DataFrame, pages: DataFrame, settings: SearchSettings = SearchSettings(), crawl_depth: int | None = None) -> DataFrame:
-    """The run's ranked hits with a copy of each organisation: lazy."""
+def results_of(run: Run, districts: DataFrame, pages: DataFrame, settings: SearchSettings = SearchSettings(), crawl_depth: int | None = None, crawl: bool = False) -> DataFrame:
+    """The run's ranked hits with a copy of each organisation: lazy, unless it crawls (crawl, or a crawl_depth)."""
     chosen = listed(districts, run.max_districts, **run.wanted)
     numbered = pages if "seq" in pages.columns else pages.withColumn("seq", F.col("url"))
-    if crawl_depth is None:
+    if crawl_depth is None and not crawl:
         found = search_corpus(chosen, numbered, run.query_text, settings)
     else:
         found = crawl_corpus(chosen, numbered.drop("seq"), run.query_text, settings, crawl_depth)
@@ -100,7 +100,7 @@ def results_of(run: Run, districts: DataFrame, pages: DataFrame, settings: Searc
     return conform(named.withColumnsRenamed(renamed), RESULTS)
 
 
-def execute(run: Run, districts: DataFrame, pages: DataFrame, path: str, settings: SearchSettings = SearchSettings(), crawl_depth: int | None = None) -> Run:
+def execute(run: Run, districts: DataFrame, pages: DataFrame, path: str, settings: SearchSettings = SearchSettings(), crawl_depth: int | None = None, crawl: bool = False) -> Run:
     """Run one job and write its partition; an error is the run's, not the caller's."""
     if run.cancel_requested or run.status == "cancelled":
         return replace(run, status="cancelled", finished_at=run.finished_at or now())
@@ -108,7 +108,7 @@ def execute(run: Run, districts: DataFrame, pages: DataFrame, path: str, setting
     spark.addTag(_tag(run))
     run = replace(run, status="running", started_at=now())
     try:
-        write_run(results_of(run, districts, pages, settings, crawl_depth), path)
+        write_run(results_of(run, districts, pages, settings, crawl_depth, crawl), path)
         searched = min(run.districts_matched, run.max_districts)
         return replace(run, status="completed", districts_searched=searched, finished_at=now())
     except Exception as e:
@@ -118,9 +118,9 @@ def execute(run: Run, districts: DataFrame, pages: DataFrame, path: str, setting
         spark.removeTag(_tag(run))
 
 
-def run_search(spark: SparkSession, districts: DataFrame, pages: DataFrame, text: str, path: str, run_id: int = 1, **options) -> tuple[Run, DataFrame]:
+def run_search(spark: SparkSession, districts: DataFrame, pages: DataFrame, text: str, path: str, run_id: int = 1, crawl_depth: int | None = None, crawl: bool = False, **options) -> tuple[Run, DataFrame]:
     """Create and execute a run, and read its results."""
-    run = execute(create(districts, run_id, text, **options), districts, pages, path)
+    run = execute(create(districts, run_id, text, **options), districts, pages, path, crawl_depth=crawl_depth, crawl=crawl)
     found = spark.read.schema(RESULTS).parquet(path).where(F.col("search_run_id") == run_id)
     return run, found
 

@@ -114,14 +114,17 @@ def with_fallback(first: DataFrame, fallback: DataFrame, key: str, label: str |
 
 
 def search_corpus(districts: DataFrame, pages: DataFrame, phrase: str, settings: SearchSettings = SearchSettings()) -> DataFrame:
-    """Ranked hits of each organisation among the pages of its own host: one lazy plan.
+    """Ranked hits of each organisation among the pages of its host and of hosts below it: one lazy plan.
 
     districts: id, agency_name, state, agency_type, enrollment, website. pages: url, html and seq.
-    The join is on the core host, so hosts below the organisation's are found by `crawl_corpus` only.
+    Hosts, not pages, are exploded into the hosts they lie below, so both joins are on equal keys.
     """
-    d = districts.withColumn("__host", U.core_host(F.col("website"))).where("__host <> ''")
+    d = districts.withColumn("__base", U.core_host(F.col("website"))).where("__base <> ''")
     p = pages.withColumn("__host", U.core_host(F.col("url")))
-    found = hits(d.join(p, "__host").drop("__host"), phrase)
+    hosts = p.select("__host").where("__host <> ''").distinct()
+    above = F.expr("transform(sequence(1, size(split(__host, '[.]'))), i -> array_join(slice(split(__host, '[.]'), i, size(split(__host, '[.]'))), '.'))")
+    scope = hosts.select("__host", F.explode(above).alias("__base"))
+    found = hits(d.join(scope, "__base").drop("__base").join(p, "__host").drop("__host"), phrase)
     unique = first_per_key(found, ["id", "url"], [F.col("seq")])
     return best_hits(unique, ["id"], settings.max_results).withColumn("search_source", F.lit("crawler"))
 
