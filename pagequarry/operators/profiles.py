@@ -47,29 +47,53 @@ def homepages(districts: DataFrame, pages: DataFrame) -> DataFrame:
 _CANDIDATE = ["key", "base", "provider", "phase", "seq", "profile_type", "search_method", "query_param", "search_url_template", "score_hint"]
 
 
-def candidates(homes: DataFrame) -> DataFrame:
-    """Candidates of each homepage, GET, each once, ten at most: platform, forms, links, common templates, in this order."""
-    found = homes.where("html IS NOT NULL AND NOT challenge")
-    site = found.select("key", "base", "provider", F.col("base").alias("url"), "html")
-    names = site.select("key", "base", "provider").distinct()
+#: Linked search pages of a homepage that are opened.
+SEARCH_PAGES = 3
+
+
+def _found_on(site: DataFrame, phase: int) -> DataFrame:
+    """Candidates on the pages of site (key, base, provider, page, url, html): platform, forms, links of each page, in this order."""
     config = D.platform_config(F.col("html"))
     platform = site.where(config.isNotNull()).select(
-        "key", "base", "provider", F.lit(0).alias("phase"), F.lit(0).alias("seq"), F.lit("known_platform").alias("profile_type"),
+        "key", "base", "provider", "page", F.lit(phase).alias("phase"), F.lit(0).alias("seq"), F.lit("known_platform").alias("profile_type"),
         F.lit("GET").alias("search_method"), F.lit("q").alias("query_param"), D.platform_template(config).alias("search_url_template"), F.lit(45).alias("score_hint"),
     )
-    one = site.dropDuplicates(["base"]).select("base", "url", "html")
-    forms = D.form_candidates(one).select("base", F.lit(1).alias("phase"), "seq", "profile_type", "search_method", "query_param", "search_url_template", "score_hint")
-    links = D.link_candidates(one).where("profile_type = 'url_template'")
+    one = site.dropDuplicates(["base", "url"]).select("base", "url", "html")
+    forms = D.form_candidates(one).select("base", "page_url", F.lit(phase + 1).alias("phase"), "seq", "profile_type", "search_method", "query_param", "search_url_template", "score_hint")
+    links = stored(D.link_candidates(one), "links").where("profile_type = 'url_template'")
     key_value = F.concat(F.lit("([?&])"), F.col("query_param"), F.lit("=[^&]*"))
     template = F.regexp_replace(F.col("url"), key_value, F.concat(F.lit("$1"), F.col("query_param"), F.lit("={query}")))
-    links = links.select("base", F.lit(2).alias("phase"), "seq", "profile_type", F.lit("GET").alias("search_method"), "query_param", template.alias("search_url_template"), "score_hint")
-    common = D.common_templates(site.sparkSession, one.select("base")).select(
-        "base", F.lit(3).alias("phase"), "seq", F.lit("url_template").alias("profile_type"), F.lit("GET").alias("search_method"), "query_param", "search_url_template", F.lit(0).alias("score_hint")
+    links = links.select("base", "page_url", F.lit(phase + 2).alias("phase"), "seq", "profile_type", F.lit("GET").alias("search_method"), "query_param", template.alias("search_url_template"), "score_hint")
+    names = site.select("key", "base", "provider", "page", F.col("url").alias("page_url")).distinct()
+    by_page = forms.unionByName(links).join(names, ["base", "page_url"]).select(*_CANDIDATE, "page")
+    return platform.select(*_CANDIDATE, "page").unionByName(by_page)
+
+
+def search_pages(site: DataFrame, pages: DataFrame) -> DataFrame:
+    """The first three pages that each homepage links as its search, where they can be had: as site, page is the place of the link."""
+    one = site.dropDuplicates(["base"]).select("base", "url", "html")
+    linked = stored(D.link_candidates(one), "links").where("profile_type = 'search_page_link'").select("base", "url", "seq")
+    ranked = numbered(linked, ["base"], [F.col("seq")], "page").where(F.col("page") <= SEARCH_PAGES).drop("seq")
+    there = ranked.join(_corpus(pages).where("status < 400"), F.col("url") == F.col("at")).select("base", "page", "url", "html")
+    return there.join(site.select("key", "base", "provider").distinct(), "base")
+
+
+def candidates(homes: DataFrame, pages: DataFrame) -> DataFrame:
+    """Candidates of each homepage, GET, each once, ten at most: its own, those of the search pages it links, common templates.
+
+    The candidates of a page are its platform, forms and links, in this order.
+    """
+    found = homes.where("html IS NOT NULL AND NOT challenge")
+    site = found.select("key", "base", "provider", F.lit(0).alias("page"), F.col("base").alias("url"), "html")
+    names = site.select("key", "base", "provider").distinct()
+    common = D.common_templates(site.sparkSession, site.select("base").distinct()).select(
+        "base", F.lit(6).alias("phase"), "seq", F.lit("url_template").alias("profile_type"), F.lit("GET").alias("search_method"), "query_param", "search_url_template", F.lit(0).alias("score_hint")
     )
-    by_base = forms.unionByName(links).unionByName(common).join(names, "base")
-    every = by_base.select(*_CANDIDATE).unionByName(platform.select(*_CANDIDATE))
-    ordered = numbered(every, ["key"], [F.col("phase"), F.col("seq")], "place_all").drop("seq").withColumnRenamed("place_all", "seq")
-    return D.unique_candidates(ordered, 10)
+    common = common.join(names, "base").select(*_CANDIDATE, F.lit(0).alias("page"))
+    every = _found_on(site, 0).unionByName(_found_on(stored(search_pages(site, pages), "search-pages"), 3)).unionByName(common)
+    last = F.when(F.col("phase") == 6, 1).otherwise(0)
+    ordered = numbered(every, ["key"], [last, F.col("page"), F.col("phase"), F.col("seq")], "place_all").drop("seq", "page").withColumnRenamed("place_all", "seq")
+    return stored(D.unique_candidates(ordered, 10), "candidates")
 
 
 def tested(cands: DataFrame, pages: DataFrame, query: str) -> DataFrame:
@@ -118,7 +142,7 @@ def discover(districts: DataFrame, pages: DataFrame, query: str = "calendar", kn
         working = usable_profiles(known).select(F.col("district_id").alias("id")).distinct()
         districts = districts.join(working, "id", "left_anti")
     homes = stored(homepages(districts, pages), "homes")
-    tests = tested(candidates(homes), pages, query)
+    tests = tested(candidates(homes, pages), pages, query)
     tests = until(tests, ["key"], "place", (F.col("profile_status") == "working") & (F.col("confidence") >= SURE))
     best = D.best_test(tests.withColumnRenamed("key", "district_id"), "district_id", "place")
     columns = ["district_id", "profile_type", "search_method", "query_param", "search_url_template", "confidence", "test_success", "test_result_count", "profile_status"]
