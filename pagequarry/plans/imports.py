@@ -110,3 +110,22 @@ def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
     return W.upsert(old, e.where("seq % 5 = 0"), "k", "seq")
 
 
+
+
+@query(
+    """WITH old AS (SELECT user_id AS k, arg_max(value, event_id) AS value, arg_max(event_type, event_id) AS kind, max(event_id) AS created
+      FROM events WHERE event_id % 5 <> 0 GROUP BY 1),
+    new AS (SELECT user_id AS k, arg_max(value, event_id) AS value, arg_max(event_type, event_id) AS kind, max(event_id) AS created
+      FROM events WHERE event_id % 5 = 0 GROUP BY 1)
+    SELECT CAST(coalesce(old.k, new.k) AS VARCHAR) AS k, CASE WHEN new.k IS NULL THEN old.value ELSE new.value END AS value,
+    CASE WHEN new.k IS NULL THEN old.kind ELSE new.kind END AS kind, coalesce(old.created, new.created) AS created FROM old FULL JOIN new ON old.k = new.k"""
+)
+def upsert_users(spark: SparkSession, d: str) -> DataFrame:
+    """As upsert_latest, with every user its own key and each event in the old snapshot or in the import."""
+    from pagequarry.operators.ranking import first_per_key
+
+    e = table(spark, d, "events").select(
+        F.col("user_id").cast("string").alias("k"), "value", F.col("event_type").alias("kind"), F.col("event_id").alias("created"), F.col("event_id").alias("seq")
+    )
+    old = first_per_key(e.where("seq % 5 <> 0"), ["k"], [F.desc("seq")]).drop("seq")
+    return W.upsert(old, e.where("seq % 5 = 0"), "k", "seq")
