@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import Window as W
@@ -48,6 +52,72 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+# ---------------------------------------------------------------- memory of a task
+def tidy(run):
+    """A mapInArrow function that gives its memory back to the system when its input ends.
+
+    Spark uses a Python worker again for other tasks; what it keeps would add up over an application.
+    """
+
+    def tidied(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # not glibc
+            pass
+
+    return tidied
+
+
+def segments(batches, text: int, size: int, rows: int = 1 << 20):
+    """The input as batches of about `size` bytes of text (column number `text`), whatever its own batches are."""
+    held: list[pa.RecordBatch] = []
+    used = n = 0
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            base = int(ends[at - 1]) if at else 0
+            end = int(np.searchsorted(ends, base + size - used)) + 1
+            end = max(at + 1, min(end, b.num_rows, at + rows - n))
+            held.append(b.slice(at, end - at))
+            used += int(ends[end - 1]) - base
+            n += end - at
+            at = end
+            if used >= size or n >= rows:
+                yield _joined(held)
+                held, used, n = [], 0, 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return held[0] if len(held) == 1 else pa.concat_batches(held)
+
+
+def gather(values: pa.Array, index: np.ndarray, cuts: np.ndarray) -> tuple[memoryview, np.ndarray]:
+    """The bytes of values[index] one after another, and where the parts cut[i]:cut[i + 1] of index begin there."""
+    taken = values.take(pa.array(index))
+    _, offsets, data = taken.buffers()
+    at = np.frombuffer(offsets, np.int64)[taken.offset : taken.offset + len(taken) + 1] if len(taken) else np.zeros(1, np.int64)
+    return memoryview(data) if data is not None else memoryview(b""), at[cuts]
+
+
+def packed_ids(ids: np.ndarray, cuts: np.ndarray) -> pa.LargeBinaryArray:
+    """Runs of 32-bit ids as binary values, for `gather`."""
+    offsets = np.ascontiguousarray(cuts, np.int64) * 4
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids))])
+
+
+def starts_of(lengths) -> np.ndarray:
+    """0 and the running sums."""
+    out = np.zeros(len(lengths) + 1, np.int64)
+    np.cumsum(lengths, out=out[1:])
+    return out
+
+
 # ---------------------------------------------------------------- words
 class WordCache(dict):
     """word -> compute(word), kept for the words seen last; two generations bound its size."""
@@ -165,8 +235,6 @@ class TextWords:
     """
 
     def __init__(self, texts):
-        import pyarrow as pa
-
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
         texts = texts.cast(pa.large_binary()).fill_null(b"")

@@ -19,15 +19,18 @@ by row; ties in rank fall in any order; an empty table gives an empty table; oth
 
 from __future__ import annotations
 
+import itertools
+import os
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
-from pagequarry.llm.common import WordCache, gapless, stored
+from pagequarry.llm.common import gapless, gather, packed_ids, segments, starts_of, stored, tidy
 
 LENGTH = 4096
 END = 2
@@ -44,55 +47,79 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 # ---------------------------------------------------------------- tokens
-_CACHES: dict[str, WordCache] = {}
+#: Bytes of text that are tokenised together, and distinct words in one call of the library.
+SEGMENT, AT_ONCE = 16 << 20, 8192
+_TOKENIZERS: dict[str, object] = {}
 
 
-def _ids_cache(path: str) -> WordCache:
-    """Chunk between white space -> its ids as little-endian 32-bit bytes.
-
-    This vocabulary drops white space, and neither its normaliser nor its split looks across it.
-    """
-    if path not in _CACHES:
+def _tokenizer(path: str):
+    if path not in _TOKENIZERS:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the cores are Spark's
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
+        t = _TOKENIZERS[path] = Tokenizer.from_file(path)
         t.no_padding()
         t.no_truncation()
+    return _TOKENIZERS[path]
+
 
-        def ids(word: bytes) -> bytes:
-            found = t.encode(word.decode(), add_special_tokens=False).ids
-            return struct.pack(f"<{len(found)}I", *found)
+def word_ids(words: list[str], path: str) -> pa.LargeBinaryArray:
+    """The ids of each word as 32-bit little-endian bytes.
+
+    This vocabulary drops white space, and neither its normaliser nor its split looks across it, so the
+    words of a text may be encoded apart.
+    """
+    encode = _tokenizer(path).encode_batch_fast
+    found, lengths = [], []
+    for i in range(0, len(words), AT_ONCE):
+        ids = [e.ids for e in encode(words[i : i + AT_ONCE], add_special_tokens=False)]
+        lengths += map(len, ids)
+        found.append(np.fromiter(itertools.chain.from_iterable(ids), "<u4", sum(lengths[i:])))
+    return packed_ids(np.concatenate(found) if found else np.zeros(0, "<u4"), starts_of(lengths))
 
-        _CACHES[path] = WordCache(ids, 350_000)
-    return _CACHES[path]
+
+def token_ids(texts: pa.Array, path: str) -> tuple[memoryview, np.ndarray]:
+    """The ids of all texts as bytes, and where each text's begin. A distinct word is encoded once."""
+    words = pc.ascii_split_whitespace(texts.fill_null(""))
+    coded = words.flatten().dictionary_encode()
+    cuts = starts_of(words.value_lengths().to_numpy(zero_copy_only=False))
+    return gather(word_ids(coded.dictionary.to_pylist(), path), coded.indices.to_numpy(), cuts)
 
 
 def token_bytes(text: str | None, path: str, end: int = END) -> bytes:
-    words = (text or "").encode().split()
-    return b"".join(map(_ids_cache(path).__getitem__, words)) + struct.pack("<I", end)
+    raw, _ = token_ids(pa.array([text], pa.string()), path)
+    return bytes(raw) + struct.pack("<I", end)
 
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def _pieces(path: str, length: int, end: int, with_ids: bool):
+    last = struct.pack("<I", end)
+
+    def cut(b: pa.RecordBatch) -> pa.RecordBatch:
+        raw, at = token_ids(b.column(1), path)
+        counts = np.diff(at) // 4 + 1
+        each = -(-counts // length)
+        owner = np.repeat(np.arange(len(counts)), each)
+        start = (np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each)) * length
+        sizes = np.minimum(length, counts[owner] - start)
+        begin = at[owner] + 4 * start
+        stop = np.minimum(begin + 4 * sizes, at[owner + 1])
+        ends = (start + sizes == counts[owner]).tolist()
+        parts = [raw[x:y] for x, y in zip(begin.tolist(), stop.tolist())]
+        crc = [zlib.crc32(last, zlib.crc32(p)) if e else zlib.crc32(p) for p, e in zip(parts, ends)]
+        arrays = [b.column(0).take(pa.array(owner)), *(pa.array(x, pa.int64()) for x in (start, sizes, crc, counts[owner]))]
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+        if with_ids:
+            arrays.append(pa.array([bytes(p) + last if e else bytes(p) for p, e in zip(parts, ends)], pa.binary()))
+            names.append("ids")
+        return pa.RecordBatch.from_arrays(arrays, names=names)
+
     def run(batches):
-        for b in batches:
-            rows: list[tuple] = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                raw = token_bytes(text, path, end)
-                n = len(raw) // 4
-                for start in range(0, n, length):
-                    part = raw[4 * start : 4 * (start + length)]
-                    rows.append((doc_id, start, len(part) // 4, zlib.crc32(part), n, part))
-            arrays = [pa.array([r[i] for r in rows], pa.int64()) for i in range(5)]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-            if with_ids:
-                arrays.append(pa.array([r[5] for r in rows], pa.binary()))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+        yield from map(cut, segments(batches, 1, SEGMENT))
 
-    return run
+    return tidy(run)
 
 
 def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: int = END, with_ids: bool = False) -> DataFrame:
