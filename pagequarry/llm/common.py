@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 
@@ -22,27 +24,69 @@ WORD_SPLIT = r"[\x20\x09-\x0D]+"
 
 # ---------------------------------------------------------------- durable tables
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A local one is made only where the session names none."""
+    """The folder that driver and executors share. One is made only where the session names none and runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="pagequarry-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Tables that are not deleted yet.
+_LIVE: list[tuple[SparkSession, str]] = []
+
+
 def stored(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    The table goes when the driver ends, since the frame that is returned is lazy.
+    The table goes with the `scope` it was made in, else when the driver ends, since the frame that is
+    returned is lazy.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pagequarry/{what}-{uuid.uuid4().hex}"
     schema = df.schema
+    _LIVE.append((spark, path))
     df.write.option("compression", compression).parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scope(keep: list[DataFrame]):
+    """Delete at the end what `stored` has made meanwhile, but for the tables of the frames then in `keep`."""
+    before = len(_LIVE)
+    yield
+    kept = {path for df in keep for path in _folders(df)}
+    for at in _LIVE[before:]:
+        if _name(at[1]) not in kept:
+            _remove(*at)
+            _LIVE.remove(at)
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Delete the tables that these frames, each straight from `stored`, read."""
+    gone = {path for df in frames if df is not None for path in _folders(df)}
+    for at in list(_LIVE):
+        if _name(at[1]) in gone:
+            _remove(*at)
+            _LIVE.remove(at)
+
+
+def _name(path: str) -> str:
+    return path.rpartition("/")[2]
+
+
+def _folders(df: DataFrame) -> set[str]:
+    return {_name(f.rpartition("/")[0]) for f in df.inputFiles()}
+
+
+@atexit.register
+def _remove_all() -> None:
+    for spark, path in _LIVE:
+        _remove(spark, path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -52,6 +96,14 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df has not."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 # ---------------------------------------------------------------- memory of a task
 def tidy(run):
     """A mapInArrow function that gives its memory back to the system when its input ends.
@@ -162,22 +214,31 @@ def window_hashes(h: np.ndarray, k: int, by: np.ndarray) -> np.ndarray:
 
 
 # ---------------------------------------------------------------- numbers without gaps
+SALT = "__salt"
+
+
+def salted(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
+    """df stored with a number of its own for each row, for `gapless`."""
+    return stored(df.withColumn(SALT, F.monotonically_increasing_id()), what, compression)
+
+
 def gapless(df: DataFrame, within: list[str], order: list[str], out: str, rows_a_slice: int = 200_000) -> DataFrame:
     """Number the rows of each `within` group from 0 without gaps, no group in one task.
 
-    Rows are dealt to slices by a hash of `order`; the rows of a slice are numbered by a window and
-    the slices' counts, of which there are groups x slices, give the offsets. df must be a stored
-    table (it is read twice). `order` should identify a row; rows that tie get numbers in any order.
+    df must be a table stored by `salted` (it is read twice). Rows are dealt to slices by a hash of their
+    salt, so that rows which repeat each other are dealt as evenly as others; the rows of a slice are
+    numbered by a window and the slices' counts, of which there are groups x slices, give the offsets.
     """
     n = df.count()
     slices = max(1, -(-n // rows_a_slice)) * 8
-    cut = df.withColumn("__slice", F.pmod(F.xxhash64(*order), F.lit(slices)).cast("int"))
+    cut = df.withColumn("__slice", F.pmod(F.xxhash64(SALT), F.lit(slices)).cast("int"))
     counts = cut.groupBy(*within, "__slice").agg(F.count("*").alias("__n"))
     before = W.partitionBy(*within).orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
     counts = counts.select(*within, "__slice", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
     keys = [*within, "__slice"]
-    ranked = cut.withColumn("__rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1)
-    return ranked.join(counts, keys).withColumn(out, F.col("__base") + F.col("__rank")).drop("__base", "__rank", "__slice")
+    ranked = cut.withColumn("__rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order, SALT)) - 1)
+    ranked = ranked.join(counts, keys).withColumn(out, F.col("__base") + F.col("__rank"))
+    return ranked.drop("__base", "__rank", "__slice", SALT)
 
 
 # ---------------------------------------------------------------- connected components
@@ -195,27 +256,36 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     roots = None
     turn = 0
     while not links.isEmpty():
-        both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        order = lambda c: F.xxhash64(F.lit(turn), c)
-        best = both.groupBy("a").agg(F.min(F.struct(order(F.col("b")).alias("o"), F.col("b").alias("v"))).alias("m"))
-        here = F.struct(order(F.col("a")).alias("o"), F.col("a").alias("v"))
-        joined = stored(best.select("a", F.least(F.col("m"), here)["v"].alias("p")), "joined")
-        if roots is None:
-            roots = joined.select(F.col("a").alias("vertex"), F.col("p").alias("root"))
-        else:
-            moved = joined.select(F.col("a").alias("root"), "p")
-            roots = stored(
-                roots.join(moved, "root", "left").select("vertex", F.coalesce("p", "root").alias("root")), "roots"
-            )
-        one = links.join(joined, "a").select(F.col("p").alias("pa"), F.col("b").alias("a"))
-        two = one.join(joined, "a").select("pa", F.col("p").alias("pb")).where("pa <> pb")
-        links = stored(two.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "links")
+        keep: list[DataFrame] = []
+        old = links, roots
+        with scope(keep):
+            links, roots = _contracted(links, roots, turn)
+            keep += [links, roots]
+        discard(*old)
         turn += 1
     if roots is None:
         return links.select(F.col("a").alias("vertex"), F.col("b").alias("root"))
     return roots
 
 
+def _contracted(links: DataFrame, roots: DataFrame | None, turn: int) -> tuple[DataFrame, DataFrame]:
+    """One round: the rewritten edges, and the roots of all vertices so far."""
+    order = lambda c: F.xxhash64(F.lit(turn), c)
+    both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    best = both.groupBy("a").agg(F.min(F.struct(order(F.col("b")).alias("o"), F.col("b").alias("v"))).alias("m"))
+    here = F.struct(order(F.col("a")).alias("o"), F.col("a").alias("v"))
+    joined = stored(best.select("a", F.least(F.col("m"), here)["v"].alias("p")), "joined")
+    if roots is None:
+        roots = joined.select(F.col("a").alias("vertex"), F.col("p").alias("root"))
+    else:
+        moved = joined.select(F.col("a").alias("root"), "p")
+        roots = roots.join(moved, "root", "left").select("vertex", F.coalesce("p", "root").alias("root"))
+    one = links.join(joined, "a").select(F.col("p").alias("pa"), F.col("b").alias("a"))
+    two = one.join(joined, "a").select("pa", F.col("p").alias("pb")).where("pa <> pb")
+    links = stored(two.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "links")
+    return links, stored(roots, "roots")
+
+
 def text_or_empty(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 
@@ -257,8 +327,20 @@ class TextWords:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
+    def spaced(self) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """The words of a text with single spaces between, and where each word begins and ends: runs of its words are slices."""
+        keep = _IS_WORD[self.data]
+        after = self.stop[self.stop < len(self.data)]
+        after = after[~keep[after]]  # none where the next text begins with a word
+        keep[after] = True
+        out = self.data[keep]
+        out[~_IS_WORD[out]] = SPACE[0]
+        lengths = self.stop - self.start
+        start = starts_of(lengths)[:-1] + np.searchsorted(after, self.start)
+        return out.tobytes(), start, start + lengths
+
     def hashes(self, seed: int) -> np.ndarray:
-        """64 bits of each word: a polynomial over random byte values, mixed."""
+        """64 bits of each word: a polynomial over random byte values, mixed. Equal words have equal hashes; others may too."""
         values, step, back, mix = _hash_tables(seed)
         out = np.empty(len(self.start), np.uint64)
         i = 0
