@@ -132,7 +132,11 @@ class PairIndex:
     def take(self) -> tuple[int, np.ndarray]:
         """The least active rank and its positions, sorted, each once."""
         rank = heapq.heappop(self.active)
-        return rank, np.unique(np.concatenate(self.places.pop(rank)))
+        lists = self.places.pop(rank)
+        if len(lists) == 1:  # every list is sorted and names a position once
+            return rank, lists[0]
+        at = np.sort(np.concatenate(lists))
+        return rank, at[np.concatenate(([True], at[1:] != at[:-1]))]
 
 
 def _apart(at: np.ndarray, partner: np.ndarray) -> np.ndarray:
