@@ -13,8 +13,10 @@ ids are kept where they are made: a piece carries their checksum, or the ids the
 
 A sequence is padded to its full length, unless its fill is a power of two.
 
-Defined cases: a null or empty text is the one end token; repeated rows and null doc_ids are packed row
-by row; ties in rank fall in any order; an empty table gives an empty table; other columns are ignored.
+Defined cases: a null or empty text is the one end token; a text of any length is cut in as many pieces as
+it takes; repeated rows and null doc_ids are packed row by row; pieces of a class are ranked by doc_id and
+start, and ties fall in any order; an empty table gives an empty table; other columns are ignored. PIVOTS
+bounds the linear program: what it has then is a feasible plan, only with more padding.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
-from pagequarry.llm.common import gapless, gather, packed_ids, segments, starts_of, stored, tidy
+from pagequarry.llm.common import SALT, gapless, gather, packed_ids, salted, segments, starts_of, tidy
 
 LENGTH = 4096
 END = 2
@@ -48,34 +50,74 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 # ---------------------------------------------------------------- tokens
 #: Bytes of text that are tokenised together, and distinct words in one call of the library.
-SEGMENT, AT_ONCE = 16 << 20, 8192
-_TOKENIZERS: dict[str, object] = {}
+SEGMENT, AT_ONCE = 16 << 20, 512
+#: Letters whose runs any such vocabulary takes as one part.
+LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_TOKENIZERS: dict[str, tuple] = {}
 
 
-def _tokenizer(path: str):
+def _tokenizer(path: str) -> tuple:
+    """The library's tokenizer, and for each id whether it ends a part (the suffix of word ends)."""
     if path not in _TOKENIZERS:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the cores are Spark's
         from tokenizers import Tokenizer
 
-        t = _TOKENIZERS[path] = Tokenizer.from_file(path)
+        t = Tokenizer.from_file(path)
         t.no_padding()
         t.no_truncation()
+        closes = np.zeros(t.get_vocab_size(), bool)
+        closes[[i for token, i in t.get_vocab().items() if token.endswith("</w>")]] = True
+        _TOKENIZERS[path] = t, closes
     return _TOKENIZERS[path]
 
 
-def word_ids(words: list[str], path: str) -> pa.LargeBinaryArray:
-    """The ids of each word as 32-bit little-endian bytes.
-
-    This vocabulary drops white space, and neither its normaliser nor its split looks across it, so the
-    words of a text may be encoded apart.
-    """
-    encode = _tokenizer(path).encode_batch_fast
-    found, lengths = [], []
+def _alone(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of words, each encoded by itself: all ids, and how many each word has."""
+    encode = _tokenizer(path)[0].encode_batch_fast
+    found, lengths = [np.zeros(0, "<u4")], []
     for i in range(0, len(words), AT_ONCE):
         ids = [e.ids for e in encode(words[i : i + AT_ONCE], add_special_tokens=False)]
         lengths += map(len, ids)
         found.append(np.fromiter(itertools.chain.from_iterable(ids), "<u4", sum(lengths[i:])))
-    return packed_ids(np.concatenate(found) if found else np.zeros(0, "<u4"), starts_of(lengths))
+    return np.concatenate(found), np.array(lengths, np.int64)
+
+
+def _together(words: list[str], parts: int, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The same for words that the tokenizer splits in `parts` each, many in one call: a token that ends a part tells them apart."""
+    t, closes = _tokenizer(path)
+    found, lengths = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+    for i in range(0, len(words), AT_ONCE):
+        some = words[i : i + AT_ONCE]
+        ids = np.array(t.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(closes[ids])[parts - 1 :: parts] + 1
+        if len(ends) != len(some) or ends[-1] != len(ids) or closes[ids].sum() != parts * len(some):
+            ids, each = _alone(some, path)  # another vocabulary's rules
+        else:
+            each = np.diff(ends, prepend=0)
+        found.append(ids)
+        lengths.append(each)
+    return np.concatenate(found), np.concatenate(lengths)
+
+
+def word_ids(words: pa.Array, path: str) -> pa.LargeBinaryArray:
+    """The ids of each word as 32-bit little-endian bytes.
+
+    This vocabulary drops white space, and neither its normaliser nor its split looks across it, so the
+    words of a text may be encoded apart, and others beside them.
+    """
+    masks = [pc.match_substring_regex(words, f"^[{LATIN}]+{end}$").to_numpy(zero_copy_only=False) for end in ("", "[.,;:!?)]")]
+    masks.append(~(masks[0] | masks[1]))
+    rows = [np.flatnonzero(m) for m in masks]
+    ids, lengths = [], []
+    for parts, at in enumerate(rows, 1):
+        some = words.take(pa.array(at)).to_pylist()
+        got = _together(some, parts, path) if parts < 3 else _alone(some, path)
+        ids.append(got[0])
+        lengths.append(got[1])
+    packed = packed_ids(np.concatenate(ids), starts_of(np.concatenate(lengths)))
+    back = np.empty(len(words), np.int64)
+    back[np.concatenate(rows)] = np.arange(len(words))
+    return packed.take(pa.array(back))
 
 
 def token_ids(texts: pa.Array, path: str) -> tuple[memoryview, np.ndarray]:
@@ -83,7 +125,7 @@ def token_ids(texts: pa.Array, path: str) -> tuple[memoryview, np.ndarray]:
     words = pc.ascii_split_whitespace(texts.fill_null(""))
     coded = words.flatten().dictionary_encode()
     cuts = starts_of(words.value_lengths().to_numpy(zero_copy_only=False))
-    return gather(word_ids(coded.dictionary.to_pylist(), path), coded.indices.to_numpy(), cuts)
+    return gather(word_ids(coded.dictionary, path), coded.indices.to_numpy(), cuts)
 
 
 def token_bytes(text: str | None, path: str, end: int = END) -> bytes:
@@ -248,14 +290,16 @@ def pack(
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids)."""
     room = length // grain
     cut = pieces(docs, path, length, end, with_ids)
-    table = stored(cut.withColumn("__class", F.ceil(F.col("length") / grain).cast("long")), "pieces")
+    table = salted(cut.withColumn("__class", F.ceil(F.col("length") / grain).cast("long")), "pieces")
     histogram = {r["__class"]: r["count"] for r in table.groupBy("__class").count().collect()}
     slots = _slots(plan(histogram, room))
-    ranked = gapless(table, ["__class"], ["doc_id", "start", "ids_crc32"], "__rank_in")
-    schema = ranked.drop("__class", "__rank_in").schema.simpleString()[7:-1]
-    schema = ", ".join(f.replace(":", " ", 1) for f in schema.split(",")) + ", sequence_id long, __slot long"
+    narrow = table.drop("ids").withColumn("__piece", F.col(SALT))  # ids meet their piece when all is decided
+    ranked = gapless(narrow, ["__class"], ["doc_id", "start", "ids_crc32"], "__rank_in")
+    schema = ", ".join(f"{c} {t}" for c, t in ranked.drop("__class", "__rank_in").dtypes) + ", sequence_id long, __slot long"
     placed = ranked.mapInArrow(_assign(slots), schema)
     before = W.partitionBy("sequence_id").orderBy("__slot").rowsBetween(W.unboundedPreceding, -1)
-    offset = F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset")
-    own = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else [])]
-    return placed.select(*own, "sequence_id", offset)
+    placed = placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
+    own = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    if not with_ids:
+        return placed.select(*own)
+    return placed.join(table.select(F.col(SALT).alias("__piece"), "ids"), "__piece").select(*own, "ids")
