@@ -6,14 +6,20 @@ deduplicated again. Both passes are the same Grace hash table: records go to spi
 of their hash, a file that does not fit is split again by the next bits, and one that fits is read
 into an open-addressing table that compares complete contents.
 
-Defined cases: a null text counts as empty; only A-Z are lower-cased; a null doc_id is less than any
-other; rows that repeat a doc_id and a text count one by one, and one of them stays; an empty table
-gives an empty table; other columns are ignored by `groups` and carried by `deduplicate`.
+A record carries the text as it was; two are equal when their lower-cased bytes are. What a table may
+hold counts texts and the other columns' values alike.
+
+Defined cases: a null text counts as empty (and stays null in the row that is kept); only A-Z are
+lower-cased; a null doc_id is less than any other; where doc_ids tie, one of the rows stays; rows that
+repeat a doc_id and a text count one by one, and one of them stays; a text longer than a table's memory
+is held alone; an empty table gives an empty table; other columns are ignored by `groups` and carried by
+`deduplicate`, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import pickle
 import tempfile
@@ -22,16 +28,20 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-#: Bytes of content that one table may hold.
-MEMORY = 48 << 20
+from pagequarry.llm.common import segments, tidy
+
+#: Bytes that the records of one table may take; a task has two tables at a time at most.
+MEMORY = 32 << 20
 #: Spill files of one split; a level uses this many bits of the hash.
 BITS = 4
-#: What a record costs besides its content.
-OVERHEAD = 200
+#: What a record costs besides its content, and a value besides its bytes.
+OVERHEAD, VALUE = 300, 60
+#: Bytes of text that become Python objects at a time.
+SLICE = 2 << 20
 
 
 class OpenTable:
-    """content -> record, linear probing; equal means equal bytes, never equal hashes alone."""
+    """content -> record, linear probing; equal means equal lower-cased bytes, never equal hashes alone."""
 
     def __init__(self, size: int = 64):
         self.slots = [-1] * size
@@ -43,7 +53,7 @@ class OpenTable:
     def find(self, h: int, content: bytes) -> int:
         i = h & self.mask
         while (at := self.slots[i]) >= 0:
-            if self.hashes[at] == h and self.contents[at] == content:
+            if self.hashes[at] == h and self.contents[at].lower() == content.lower():
                 return at
             i = (i + 1) & self.mask
         if 3 * len(self.records) >= 2 * len(self.slots):
@@ -65,14 +75,21 @@ class OpenTable:
             self.slots[i] = at
 
 
+def _weight(record: tuple) -> int:
+    row = record[4]
+    values = sum(VALUE + (len(v) if isinstance(v, (str, bytes, list, dict)) else 0) for v in row) if row else 0
+    return len(record[1] or b"") + OVERHEAD + values
+
+
 def _rank(doc_id) -> tuple:
     return (doc_id is not None, doc_id or 0)
 
 
 class Grace:
-    """Deduplicate a stream of (digest, content, doc_id, size, row): yields one record per content.
+    """Deduplicate a stream of (digest, text, doc_id, size, row): yields one record per content.
 
-    The record with the largest doc_id stays (the first of those that tie) and gets the sum of sizes.
+    The record with the largest doc_id stays (the first of those that tie) and gets the sum of sizes. A
+    text of None counts as empty; row holds the values of other columns, or is None.
     """
 
     def __init__(self, memory: int = MEMORY, folder: str | None = None):
@@ -89,14 +106,14 @@ class Grace:
         single = True
         for r in records:
             held.append(r)
-            used += len(r[1]) + OVERHEAD
+            used += _weight(r)
             first = first or r[0]
             single = single and r[0] == first
             if used > self.memory and not single:
                 break
             if used > self.memory:  # one digest so far: its copies need no room
-                held = [x[:2] + tuple(x[2:]) for x in self._table(iter(held))]
-                used = sum(len(x[1]) + OVERHEAD for x in held)
+                held = list(self._table(iter(held)))
+                used = sum(map(_weight, held))
         else:
             yield from self._table(iter(held))
             return
@@ -122,17 +139,17 @@ class Grace:
 
     def _table(self, records: Iterator[tuple]) -> Iterator[tuple]:
         table = OpenTable()
-        for digest, content, doc_id, size, row in records:
-            at = table.find(int.from_bytes(digest[-8:], "big"), content)
+        for digest, text, doc_id, size, row in records:
+            at = table.find(int.from_bytes(digest[-8:], "big"), text or b"")
             kept = table.records[at]
             if not kept:
-                kept += [digest, doc_id, size, row]
-            else:
-                kept[2] += size
-                if _rank(doc_id) > _rank(kept[1]):
-                    kept[1], kept[3] = doc_id, row
-        for content, (digest, doc_id, size, row) in zip(table.contents, table.records):
-            yield digest, content, doc_id, size, row
+                kept += [digest, text, doc_id, size, row]
+                continue
+            kept[3] += size
+            if _rank(doc_id) > _rank(kept[2]):
+                kept[1:3], kept[4] = (text, doc_id), row
+                table.contents[at] = text or b""
+        yield from map(tuple, table.records)
 
 
 def _chain(held: list, rest: Iterator[tuple]) -> Iterator[tuple]:
@@ -151,63 +168,60 @@ def _read(name: str) -> Iterator[tuple]:
                 return
 
 
-def _grace(memory: int, given: bool, columns: list[str], schema: pa.Schema):
+def _grace(memory: int, given: bool, schema: pa.Schema):
     """A mapInArrow function. given: the input has digests already (second pass)."""
+    carry = "__rest" in schema.names
 
     def rows(batches):
-        for b in batches:
-            ids, texts = b.column("__id").to_pylist(), b.column("__text")
-            digests = b.column("__digest").to_pylist() if given else None
-            sizes = b.column("__size").to_pylist() if given else None
-            rest = b.select(columns).to_pylist() if columns else None
-            for i in range(b.num_rows):
-                if columns:  # the content is in the row: it is not carried twice
-                    content = (rest[i]["__row"]["text"] or "").encode().lower()
-                else:
-                    content = texts[i].as_py() or b""
-                if given:
-                    yield digests[i], content, ids[i], sizes[i], rest and rest[i]
-                else:
-                    content = content.lower()  # of bytes: A-Z only
-                    yield hashlib.sha256(content).digest(), content, ids[i], 1, rest and rest[i]
+        for b in segments(batches, schema.get_field_index("__text"), SLICE):
+            ids, texts = b.column("__id").to_pylist(), b.column("__text").to_pylist()
+            rest = zip(*(c.to_pylist() for c in b.column("__rest").flatten())) if carry else itertools.repeat(None)
+            if given:
+                yield from zip(b.column("__digest").to_pylist(), texts, ids, b.column("__size").to_pylist(), rest)
+            else:
+                for text, doc_id, row in zip(texts, ids, rest):
+                    yield hashlib.sha256((text or b"").lower()).digest(), text, doc_id, 1, row  # lower() of bytes: A-Z only
 
     def run(batches):
         out: list[tuple] = []
         used = 0
         for r in Grace(memory).run(rows(batches)):
             out.append(r)
-            used += 2 * len(r[1])
-            if used > 4 << 20 or len(out) >= 5000:
-                yield _batch(out, columns, schema)
+            used += len(r[1] or b"")
+            if used > SLICE or len(out) >= 5000:
+                yield _batch(out, schema)
                 out, used = [], 0
         if out:
-            yield _batch(out, columns, schema)
+            yield _batch(out, schema)
+
+    return tidy(run)
+
 
-    return run
+def _batch(out: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    digests, texts, ids, sizes, rows = zip(*out)
+    named = {"__id": ids, "__text": texts, "__digest": digests, "__size": sizes}
 
+    def column(f: pa.Field) -> pa.Array:
+        if f.name in named:
+            return pa.array(named[f.name], f.type)
+        parts = [pa.array(values, k.type) for values, k in zip(zip(*rows), f.type)]
+        return pa.StructArray.from_arrays(parts, fields=list(f.type))
 
-def _batch(out: list[tuple], columns: list[str], schema: pa.Schema) -> pa.RecordBatch:
-    digests, contents, ids, sizes, rows = zip(*out)
-    named = {"__id": ids, "__text": [None] * len(ids) if columns else contents, "__digest": digests, "__size": sizes}
-    arrays = [pa.array(named[f.name] if f.name in named else [r[f.name] for r in rows], f.type) for f in schema]
-    return pa.RecordBatch.from_arrays(arrays, schema=schema)
+    return pa.RecordBatch.from_arrays([column(f) for f in schema], schema=schema)
 
 
 def _distinct(docs: DataFrame, carry: list[str], memory: int) -> DataFrame:
-    """One row per content: __id, __text, __digest, __size and a struct column for `carry`."""
+    """One row per content: __id, __text, __digest, __size and a struct for the columns `carry`."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    picked = [F.col("doc_id").cast("long").alias("__id"), F.encode(F.col("text"), "UTF-8").alias("__text")]
-    own = []
+    picked = [F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("binary").alias("__text")]
     if carry:  # as one column, so that no name can clash
-        picked[1] = F.lit(None).cast("binary").alias("__text")
-        picked.append(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("__row"))
-        own = ["__row"]
+        picked.append(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("__rest"))
     narrow = docs.select(*picked)
     typed = narrow.withColumn("__digest", F.lit(b"")).withColumn("__size", F.lit(0).cast("long")).schema
     arrow = to_arrow_schema(typed)
-    local = narrow.mapInArrow(_grace(memory, False, own, arrow), typed)
-    return local.repartition("__digest").mapInArrow(_grace(memory, True, own, arrow), typed)
+    local = narrow.mapInArrow(_grace(memory, False, arrow), typed)
+    return local.repartition("__digest").mapInArrow(_grace(memory, True, arrow), typed)
 
 
 def winners(docs: DataFrame, memory: int = MEMORY) -> DataFrame:
@@ -235,4 +249,6 @@ def groups(docs: DataFrame, memory: int = MEMORY) -> DataFrame:
 
 def deduplicate(docs: DataFrame, memory: int = MEMORY) -> DataFrame:
     """docs without the copies: the row with the largest doc_id of each content, all columns kept."""
-    return _distinct(docs, docs.columns, memory).select("__row.*")
+    found = _distinct(docs, [c for c in docs.columns if c != "text"], memory)
+    text = F.col("__text").cast("string").alias("text")
+    return found.select(*[text if c == "text" else F.col(f"__rest.`{c}`") for c in docs.columns])
