@@ -10,22 +10,26 @@ later passes see the same blocks whatever executor runs them. Then
    sorted list of cells cut by cell range, and ranges are merged by separate tasks, which answer each
    block with those of its cells that count two or more. Counts are never too low, so no repeated
    window is lost;
-2. each block sends its windows whose cells are repeated in all rows (128 bits of hash and the least
-   doc_id that has it, once per block) to be grouped exactly, and is told the least doc_id of all;
+2. each block sends its windows whose cells are repeated in all rows (the digest of its words and the
+   least doc_id that has it, once per block) to be grouped exactly, and is told which of them start in
+   a smaller doc_id elsewhere;
 3. each block removes the covered words.
 Nothing is broadcast and nothing but block counts reaches the driver. A window that a third of all
-documents hold is sent once per block, not once per document. Windows are told apart by 128 bits of
-hash: over 10**13 windows the chance of any two different ones meeting is about 10**-12.
-
-Defined cases: a null text has no words (and stays null in `clean`); a null doc_id counts as larger
-than any other; rows that repeat a doc_id never remove each other's words; texts of fewer than 13 words
-stay; an empty table gives an empty table; other columns are carried by `clean`.
+documents hold is sent once per block, not once per document. The sketch's cells come from a cheap hash of
+the words, which may make different windows meet and never parts equal ones; in the second pass a window
+is its words, joined by single spaces, under 128 bits of BLAKE2b, for which no two texts that meet are known.
+
+Defined cases: a null text has no words (and stays null in `clean`); a null doc_id counts as larger than
+any other, the largest long too; rows that repeat a doc_id never remove each other's words; texts of fewer
+than 13 words stay; a text of any length is one row of one block; an empty table gives an empty table; other
+columns are carried by `clean`, whatever their names; n_chars, if there is one, follows the text.
 """
 
 from __future__ import annotations
 
 import hashlib
 import itertools
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +38,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from pagequarry.llm.common import TextWords, multipliers, stored, window_hashes
+from pagequarry.llm.common import TextWords, multipliers, stored, tidy, window_hashes
 
 WINDOW = 13
 #: Rows of the sketch, and how many cells it has for each window of the corpus.
@@ -43,9 +47,8 @@ DEPTH, SPARE = 2, 8
 BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 8192
 #: Cells of all blocks that one merging task takes.
 SHARD_CELLS = 3_000_000
-LAST = np.iinfo(np.int64).max
 
-_COEF = [multipliers(WINDOW, seed) for seed in (11, 12)]
+_COEF = multipliers(WINDOW, 11)
 
 
 # ---------------------------------------------------------------- packed columns of integers
@@ -104,7 +107,7 @@ def _blocks(batches):
 
 
 def blocks_of(docs: DataFrame) -> DataFrame:
-    return stored(docs.mapInArrow(_blocks, "block long, bytes long, rows binary"), "blocks", "uncompressed")
+    return stored(docs.mapInArrow(tidy(_blocks), "block long, bytes long, rows binary"), "blocks", "uncompressed")
 
 
 def _table(rows: bytes) -> pa.Table:
@@ -113,23 +116,24 @@ def _table(rows: bytes) -> pa.Table:
 
 
 class Windows:
-    """The windows of a block: a 64-bit hash for each (two lanes of them if asked), its doc and first word."""
+    """The windows of a block: a cheap 64-bit hash for each, its doc and first word."""
 
-    def __init__(self, rows: bytes, lanes: int = 1):
+    def __init__(self, rows: bytes):
         self.table = _table(rows)
-        ids = self.table.column("doc_id").to_pylist()
-        self.ids = np.array([LAST if i is None else int(i) for i in ids], np.int64)
+        ids = self.table.column("doc_id").cast(pa.int64()).combine_chunks()
+        self.named = ids.is_valid().to_numpy(zero_copy_only=False)
+        self.ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
         self.words = TextWords(self.table.column("text"))
         counts = self.words.counts()
         owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
         n = max(0, len(owner) - WINDOW + 1)
         self.at = np.flatnonzero(owner[:n] == owner[len(owner) - n :])  # the first word of each window
         self.doc = owner[self.at]
-        self.lane = [window_hashes(self.words.hashes(i), WINDOW, _COEF[i])[self.at] for i in range(lanes)]
+        self.hash = window_hashes(self.words.hashes(0), WINDOW, _COEF)[self.at]
 
     def cells(self, row: int, bits: int) -> np.ndarray:
         by = multipliers(DEPTH, 13)[row]
-        return (self.lane[0] * by) >> np.uint64(64 - bits)
+        return (self.hash * by) >> np.uint64(64 - bits)
 
     def suspects(self, replies: dict[int, list[np.ndarray]], bits: int) -> np.ndarray:
         """Indexes of the windows whose estimate is two or more: the least over the sketch's rows."""
@@ -141,16 +145,32 @@ class Windows:
             ok[ok] = _among(self.cells(row, bits)[ok], np.sort(np.concatenate(got)))
         return np.flatnonzero(ok)
 
+    def digests(self, suspects: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits for the words of each of these windows, as two columns."""
+        spaced, start, stop = self.words.spaced()
+        first = self.at[suspects]
+        text = memoryview(spaced)
+        made = [blake2b(text[a:b], digest_size=16).digest() for a, b in zip(start[first].tolist(), stop[first + WINDOW - 1].tolist())]
+        both = np.frombuffer(b"".join(made), ">u8").astype(np.uint64).reshape(-1, 2)
+        return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
+
     def keyed(self, suspects: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Distinct suspects, sorted by hash: both lanes, least doc_id; and for each suspect its index there."""
-        h1, h2, d = self.lane[0][suspects], self.lane[1][suspects], self.ids[self.doc[suspects]]
-        order = np.lexsort((d, h2, h1))
-        h1, h2, d = h1[order], h2[order], d[order]
-        new = np.ones(len(h1), bool)
-        new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+        """Distinct suspects, sorted by digest: its two columns, least doc_id, whether there is one; and each suspect's index there."""
+        h1, h2 = self.digests(suspects)
+        d, named = self.ids[self.doc[suspects]], self.named[self.doc[suspects]]
+        order = np.lexsort((d, ~named, h2, h1))
+        h1, h2 = h1[order], h2[order]
+        new = _firsts(h1, h2)
         index = np.empty(len(order), np.int64)
         index[order] = np.cumsum(new) - 1
-        return h1[new], h2[new], d[new], index
+        return h1[new], h2[new], d[order][new], named[order][new], index
+
+
+def _firsts(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """Where a new value begins in two sorted columns."""
+    new = np.ones(len(h1), bool)
+    new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+    return new
 
 
 def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -183,7 +203,7 @@ def _sketch(bits: int, shards: int):
                     out += [(block, row, s, cells[x:y]) for s, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if x < y]
                 yield _rows(out, "row", "shard")
 
-    return run
+    return tidy(run)
 
 
 def _bounds(bits: int, shards: int) -> np.ndarray:
@@ -224,17 +244,17 @@ def _ask(bits: int, shards: int):
                 replies = _replies(got)
                 if len(replies) < DEPTH:
                     continue
-                w = Windows(rows.as_py(), lanes=2)
-                h1, h2, low, _ = w.keyed(w.suspects(replies, bits))
+                w = Windows(rows.as_py())
+                h1, h2, low, named, _ = w.keyed(w.suspects(replies, bits))
                 cuts = np.searchsorted(h1, _bounds(64, shards)[:-1]).tolist() + [len(h1)]
                 out = [
-                    (block, s, _pack(h1[x:y], True), _pack(h2[x:y]), _pack(low[x:y]))
+                    (block, s, x, _pack(h1[x:y], True), _pack(h2[x:y]), _pack(low[x:y]), np.packbits(named[x:y]).tobytes())
                     for s, (x, y) in enumerate(zip(cuts[:-1], cuts[1:]))
                     if x < y
                 ]
-                yield _asked(out)
+                yield _batch(out, _ASKED)
 
-    return run
+    return tidy(run)
 
 
 def _replies(got) -> dict[int, list[np.ndarray]]:
@@ -244,37 +264,38 @@ def _replies(got) -> dict[int, list[np.ndarray]]:
     return replies
 
 
-_ASKED = "block long, shard int, h1 binary, h2 binary, low binary"
+_ASKED = {"block": pa.int64(), "shard": pa.int32(), "base": pa.int64(), **dict.fromkeys(("h1", "h2", "low", "named"), pa.binary())}
+_TOLD = {"block": pa.int64(), "at": pa.binary(), "low": pa.binary()}
+_SQL = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary"}
 
 
-def _asked(out: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-    names = ["block", "shard", "h1", "h2", "low"]
-    return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=names)
+def _ddl(columns: dict[str, pa.DataType]) -> str:
+    return ", ".join(f"{name} {_SQL[kind]}" for name, kind in columns.items())
+
+
+def _batch(out: list[tuple], columns: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(columns.values())], names=list(columns))
 
 
 def _group(t: pa.Table) -> pa.Table:
-    """The least doc_id of each window of one hash range; a block hears of those that start earlier elsewhere."""
-    blocks = t.column("block").to_pylist()
-    h1s = [_unpack(x.as_py(), True) for x in t.column("h1")]
-    h2s = [_unpack(x.as_py()) for x in t.column("h2")]
-    lows = [_unpack(x.as_py()).view(np.int64) for x in t.column("low")]
-    h1, h2, low = np.concatenate(h1s), np.concatenate(h2s), np.concatenate(lows)
-    order = np.lexsort((h2, h1))
-    a, b = h1[order], h2[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    least = np.minimum.reduceat(low[order], np.flatnonzero(new)) if len(a) else low
-    overall = np.empty(len(a), np.int64)
-    overall[order] = least[np.cumsum(new) - 1]
+    """The least doc_id of each window of one digest range; a block hears of those that start earlier elsewhere."""
+    h1s, h2s, lows = ([_unpack(x.as_py(), c == "h1") for x in t.column(c)] for c in ("h1", "h2", "low"))
+    sizes = [len(x) for x in h1s]
+    nameds = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=n).view(bool) for x, n in zip(t.column("named"), sizes)]
+    h1, h2, low, named = np.concatenate(h1s), np.concatenate(h2s), np.concatenate(lows).view(np.int64), np.concatenate(nameds)
+    order = np.lexsort((low, ~named, h2, h1))
+    new = _firsts(h1[order], h2[order])
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new) - 1
+    least, known = low[order][new][group], named[order][new][group]
+    earlier = known & (~named | (least < low))
     out, at = [], 0
-    for block, x, y, z in zip(blocks, h1s, h2s, lows):
-        o = overall[at : at + len(x)]
-        at += len(x)
-        m = o < z
-        if m.any():
-            out.append((block, 0, _pack(x[m], True), _pack(y[m]), _pack(o[m])))
-    return pa.Table.from_batches([_asked(out)])
+    for block, base, n in zip(t.column("block").to_pylist(), t.column("base").to_pylist(), sizes):
+        m = np.flatnonzero(earlier[at : at + n])
+        if len(m):
+            out.append((block, _pack(m + base, True), _pack(least[at + m])))
+        at += n
+    return pa.Table.from_batches([_batch(out, _TOLD)])
 
 
 # ---------------------------------------------------------------- pass 3: removal
@@ -284,21 +305,12 @@ def _gone(w: Windows, replies, answers, bits: int) -> np.ndarray:
     suspects = w.suspects(replies, bits)
     if not len(suspects):
         return gone
-    h1, h2, low, index = w.keyed(suspects)
-    if answers:
-        g1 = np.concatenate([_unpack(a["h1"], True) for a in answers])
-        g2 = np.concatenate([_unpack(a["h2"]) for a in answers])
-        g = np.concatenate([_unpack(a["low"]).view(np.int64) for a in answers])
-        both1, both2 = np.concatenate((h1, g1)), np.concatenate((h2, g2))
-        order = np.lexsort((both2, both1))
-        a, b = both1[order], both2[order]
-        new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        least = np.minimum.reduceat(np.concatenate((low, g))[order], np.flatnonzero(new))
-        back = np.empty(len(a), np.int64)
-        back[order] = np.cumsum(new) - 1
-        low = least[back[: len(h1)]]
-    hit = w.at[suspects[w.ids[w.doc[suspects]] > low[index]]]
+    _, _, low, named, index = w.keyed(suspects)
+    for a in answers or ():
+        at = _unpack(a["at"], True).astype(np.int64)
+        low[at], named[at] = _unpack(a["low"]).view(np.int64), True
+    doc = w.doc[suspects]
+    hit = w.at[suspects[named[index] & (~w.named[doc] | (w.ids[doc] > low[index]))]]
     for i in range(WINDOW):
         gone[hit + i] = True
     return gone
@@ -308,9 +320,8 @@ def _removed(bits: int, keep_rows: bool, schema: pa.Schema | None):
     def run(batches):
         for b in batches:
             for rows, got, answers in zip(b.column("rows"), b.column("cells").to_pylist(), b.column("answers").to_pylist()):
-                replies = _replies(got)
-                w = Windows(rows.as_py(), lanes=2 if len(replies) == DEPTH else 1)
-                gone = _gone(w, replies, answers, bits)
+                w = Windows(rows.as_py())
+                gone = _gone(w, _replies(got), answers, bits)
                 if keep_rows:
                     yield from _cleaned(w, gone, schema)
                     continue
@@ -318,7 +329,7 @@ def _removed(bits: int, keep_rows: bool, schema: pa.Schema | None):
                 left = _left(w, gone, removed, np.arange(len(removed)))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([None if i == LAST else i for i in w.ids.tolist()], pa.int64()),
+                        pa.array(w.ids, pa.int64(), mask=~w.named),
                         pa.array(w.words.counts(), pa.int64()),
                         pa.array(removed, pa.int64()),
                         pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string()),
@@ -326,7 +337,7 @@ def _removed(bits: int, keep_rows: bool, schema: pa.Schema | None):
                     names=["doc_id", "n_words", "n_removed", "kept_sha256"],
                 )
 
-    return run
+    return tidy(run)
 
 
 def _per_doc(w: Windows, gone: np.ndarray) -> np.ndarray:
@@ -378,9 +389,9 @@ def _plan(docs: DataFrame):
     found = stored(merged, "repeated", "uncompressed")
     # Both joins shuffle the same blocks for the same kind of join, so that Spark does it once.
     per_block = found.groupBy("block").agg(F.collect_list(F.struct("row", "cells")).alias("cells"))
-    asked = narrow.join(per_block, "block", "left").mapInArrow(_ask(bits, shards), _ASKED)
-    answers = asked.groupBy("shard").applyInArrow(_group, _ASKED)
-    told = answers.groupBy("block").agg(F.collect_list(F.struct("h1", "h2", "low")).alias("answers"))
+    asked = narrow.join(per_block, "block", "left").mapInArrow(_ask(bits, shards), _ddl(_ASKED))
+    answers = asked.groupBy("shard").applyInArrow(_group, _ddl(_TOLD))
+    told = answers.groupBy("block").agg(F.collect_list(F.struct("at", "low")).alias("answers"))
     return narrow.join(per_block.join(told, "block", "left"), "block", "left"), bits
 
 
