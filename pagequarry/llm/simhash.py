@@ -6,9 +6,10 @@ fingerprint is indexed under 2 x 32 such variants, rows with the same variant ar
 an equality shuffle, and candidates are verified on all 64 bits. Links are reduced to a star per
 bucket before they leave the task, and components are found by contraction.
 
-Defined cases: a null text and a text without words have fingerprint zero, linked like any other; a
-null doc_id is never a component's smallest id unless all are null; repeated rows each give a row; an
-empty table gives an empty table; other columns are ignored by `components_of`, kept by `deduplicate`.
+Defined cases: a null text and a text without words have fingerprint zero, linked like any other; a text
+of any length is hashed whole; a bit set in just half of the hashes is 0; a null doc_id is never a
+component's smallest id unless all are null; repeated rows each give a row; an empty table gives an empty
+table; other columns are ignored by `components_of` and kept by `deduplicate`, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,13 +17,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from pagequarry.llm.common import components, stored
+from pagequarry.llm.common import components, free_name, scope, stored, tidy
 
 BITS, SEGMENT, LINK = 64, 32, 2
 SHINGLE, SEED = 3, 42
-#: Buckets up to this size compare their pairs; larger ones look up the neighbours of each member.
+#: Buckets up to this size compare their pairs; larger ones look up each of the possible partners of a
+#: member. Both find the same links.
 PAIRS_UP_TO = 48
 
 
@@ -51,13 +53,15 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
 
 def _fingerprints(batches):
     for b in batches:
-        made = [fingerprint(t) for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.int64())], names=["doc_id", "fp"])
+        made = [fingerprint(t) for t in b.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(made, pa.int64())], names=[*b.schema.names[1:], "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long) of every document."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, more, fp (the 64 bits as a long) of every document."""
+    narrow = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), *more)
+    out = ", ".join(f"{c} {t}" for c, t in narrow.dtypes[1:])
+    return narrow.mapInArrow(tidy(_fingerprints), f"{out}, fp long")
 
 
 # ---------------------------------------------------------------- links
@@ -174,27 +178,51 @@ def links(fps: DataFrame) -> DataFrame:
     return variants(fps).repartition("sig").sortWithinPartitions("sig").mapInArrow(_links, "a long, b long").distinct()
 
 
+def _named(prints: DataFrame) -> DataFrame:
+    """fp, root, component_id for each distinct fingerprint of a stored table of them.
+
+    Both sides of each join are stored tables, so that their shuffles are plain and adaptive execution
+    can split the part of a large component.
+    """
+    keep: list[DataFrame] = []
+    with scope(keep):
+        distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
+        roots = components(links(distinct.select("fp"))).withColumnRenamed("vertex", "fp")
+        linked = distinct.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+        linked = stored(linked, "linked")
+        least = stored(linked.groupBy("root").agg(F.min("low").alias("component_id")), "least")
+        named = stored(linked.join(least, "root").select("fp", "root", "component_id"), "components")
+        keep.append(named)
+    return named
+
+
 def components_of(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, fp (long), component_id."""
     prints = stored(fingerprints(docs), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    roots = stored(components(links(distinct.select("fp"))), "components")
-    linked = distinct.join(roots, distinct.fp == roots.vertex, "left").select(
-        "fp", "low", F.coalesce("root", "fp").alias("root")
-    )
-    least = linked.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = linked.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(_named(prints), "fp").select("doc_id", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs with one row of each component, that of the smallest doc_id; all columns kept.
 
-    Of rows that repeat that doc_id one stays. A row without a doc_id can't be named as the one that
-    stays: such rows are kept, once per text.
+    Where different texts have that doc_id, the one whose hash is least stays; of rows that repeat both
+    doc_id and text one stays. A row without a doc_id can't be named as the one that stays: such rows are
+    kept, once per text.
     """
-    found = components_of(docs).where(F.col("doc_id") == F.col("component_id"))
-    keep = found.select(F.col("doc_id").alias("__keep")).distinct()
+    prints = stored(fingerprints(docs, F.xxhash64("text").alias("h")), "fingerprints")
+    rows = prints.where("doc_id is not null").join(_named(prints), "fp")
+    stays = rows.groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("s")).select("s.*")
+    keep = stored(stays, "stays")
+    i, h = free_name(docs, "__keep_id"), free_name(docs, "__keep_hash")
+    keep = keep.select(F.col("doc_id").alias(i), F.col("h").alias(h))
     named = docs.where("doc_id is not null")
-    kept = named.join(keep, named["doc_id"].cast("long") == F.col("__keep"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+    same = (named["doc_id"].cast("long") == F.col(i)) & (F.xxhash64(named["text"]) == F.col(h))
+    kept = named.join(keep, same)
+    if _repeats(prints):
+        kept = kept.dropDuplicates([i, h])
+    return kept.drop(i, h).unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+
+
+def _repeats(prints: DataFrame) -> bool:
+    """Whether any rows share doc_id and text."""
+    return not prints.where("doc_id is not null").groupBy("doc_id", "h").count().where("count > 1").isEmpty()
