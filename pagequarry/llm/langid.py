@@ -10,7 +10,8 @@ Training uses a bounded sample: TRAIN_DOCS documents that have a lang and whose
 mod 4 is not 2, those of least hash, and of each one window at a place given by the hash. lang,
 source and doc_id are never inputs of a prediction.
 
-Defined cases: a null text, or one without letters, is `und` with score 0; equal probabilities give the
+Defined cases: a null text, or one without letters (fractions and numerals are none), is `und` with score
+0; a text of any length is read whole, window by window; equal probabilities give the
 lang that sorts first; with no labelled text every prediction is `und`; a lang that the sample does not
 hold is never predicted; repeated rows each give a row; other columns are ignored by `predict`, kept by
 `keep_known`.
@@ -18,12 +19,13 @@ hold is never predicted; repeated rows each give a row; other columns are ignore
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, functions as F
 
+from pagequarry.llm.common import tidy
+
 #: Documents in the training sample, and characters of the part that is kept of each.
 TRAIN_DOCS, TRAIN_CHARS = 6000, 320
 LENGTH = 256
@@ -34,7 +36,8 @@ EPOCHS, BATCH, RATE = 6, 64, 0.01
 LEAST_SCORE = 0.35
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+#: A letter; digits of any script, fractions and Roman numerals are none.
+_LETTER = regex.compile(r"\p{L}")
 
 
 # ---------------------------------------------------------------- the network
@@ -230,7 +233,7 @@ def _predictor(langs: list[str], params: dict[str, np.ndarray], key: str):
             arrays = [b.column("doc_id"), b.column("held_out"), pa.array(pred, pa.string()), pa.array(score, pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return run
+    return tidy(run)
 
 
 def _key(net: Network) -> str:
@@ -256,4 +259,4 @@ def keep_known(docs: DataFrame, net: Network | None = None, least: float = LEAST
             pred, score = _predict(b.column("text").to_pylist(), fast)
             yield b.filter(pa.array([p != UNKNOWN and s >= least for p, s in zip(pred, score)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
