@@ -6,7 +6,8 @@ rules run in falling order of rejection per cost, where a rule's rejections coun
 the rules before it let pass. The order changes the time only, never a verdict.
 
 Defined cases: a null text has no words and fails the base test; a null doc_id and repeated rows each
-give a row; texts of any length are read whole; an empty table gives an empty table (the rules then
+give a row; texts of any length are read whole; rules that tie in rejection per cost keep the cheaper one
+first; an empty table gives an empty table (the rules then
 keep their given order); other columns are ignored by `measures`, kept by `keep_good`.
 """
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from pagequarry.llm.common import SPACE, TextWords, multipliers, window_hashes
+from pagequarry.llm.common import SPACE, TextWords, multipliers, tidy, window_hashes
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
@@ -182,17 +183,30 @@ def order_rules(masks: dict[int, int], seconds: list[float]) -> list[str]:
     return order
 
 
+def _sample(docs: DataFrame) -> DataFrame:
+    """The starts of SAMPLE_ROWS texts, those of least hash.
+
+    Only rows under a bound on the hash, set from a count that reads no texts, leave their task, so what
+    all tasks send together stays near SAMPLE_ROWS.
+    """
+    share = 2 * SAMPLE_ROWS / max(1, docs.count())
+    key = F.xxhash64("doc_id", F.lit(5))
+    rows = docs.select(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(key).alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    under = rows if share >= 1 else rows.where(F.col("h") < int(share * (1 << 64)) - (1 << 63))
+    return under.orderBy("h", "text").limit(SAMPLE_ROWS).select("text")
+
+
 def fit(docs: DataFrame) -> list[str]:
     """The rules in the order in which the cascade runs them, from SAMPLE_ROWS texts."""
-    picked = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(8)) == 0)
-    sample = picked.select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(SAMPLE_ROWS)
-    rows = sample.mapInArrow(_tried, "mask long, n long, seconds array<double>").collect()
+    rows = _sample(docs).mapInArrow(_tried, "mask long, n long, seconds array<double>").collect()
     if not rows:
         return list(RULES)
     masks: Counter = Counter()
+    seconds = np.zeros(len(RULES))
     for r in rows:
         masks[r["mask"]] += r["n"]
-    return order_rules(masks, rows[0]["seconds"])
+        seconds = np.maximum(seconds, r["seconds"])
+    return order_rules(masks, seconds.tolist())
 
 
 def verdict(m: Measured, order: list[str]) -> str | None:
@@ -217,7 +231,7 @@ def _judged(order: list[str]):
             arrays = [pa.array(c, pa.int64()) for c in cols[:-2]] + [pa.array(c, pa.bool_()) for c in cols[-2:]]
             yield pa.RecordBatch.from_arrays([b.column(0), *arrays], names=["doc_id", *_LONGS, "base_failed", "kept"])
 
-    return run
+    return tidy(run)
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -234,7 +248,7 @@ def _passed(order: list[str]):
                 ok.append(not m.base_failed and verdict(m, order) is None)
             yield b.filter(pa.array(ok, pa.bool_()))
 
-    return run
+    return tidy(run)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
