@@ -12,8 +12,9 @@ of many kinds with menus, headers, footers, sidebars, notices, adverts, forms, c
 Text: character references are decoded, white space inside a block becomes one space, blocks are trimmed
 and joined by a newline. <br> counts as white space.
 
-Defined cases: a null or empty html gives an empty text; a page that breaks off keeps what it has; text
-outside any element is a run of the root; repeated rows and null ids each give a row; an empty table
+Defined cases: a null or empty html gives an empty text; a page that breaks off keeps what it has; a page
+of any length and nesting is read whole, in linear time; text outside any element is a run of the root;
+where a node is as likely main text as not, it is not; repeated rows and null ids each give a row; an empty table
 gives an empty table; other columns are ignored.
 """
 
@@ -26,6 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from pagequarry.llm.common import tidy
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is no text of the page.
 SILENT = frozenset("script style noscript template svg math iframe object canvas head title select textarea".split())
@@ -40,49 +43,71 @@ STOP = frozenset("table ul ol dl td th div section article aside body html butto
 
 
 class Parser(HTMLParser):
-    """Nodes in document order as parallel lists: tag, class tokens, parent, text. The root is node 0."""
+    """Nodes in document order as parallel lists: tag, class tokens, parent, text. The root is node 0.
+
+    path holds the open elements from the root down, places the levels of path at which each tag is
+    open, walls those of STOP elements: what an end tag closes is looked up and never searched for, so
+    the time for a page is linear in its length, however deep it nests.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.tags, self.tokens, self.parent, self.texts = ["#root"], [()], [-1], [""]
-        self.at = 0
+        self.path = [0]
+        self.places: dict[str, list[int]] = {}
+        self.walls = [0]
 
     def _add(self, tag: str, tokens=(), text: str = "") -> None:
         self.tags.append(tag)
         self.tokens.append(tokens)
-        self.parent.append(self.at)
+        self.parent.append(self.path[-1])
         self.texts.append(text)
 
-    def _close(self, tags) -> None:
-        n = self.at
-        while n > 0 and self.tags[n] not in tags and self.tags[n] not in STOP:
-            n = self.parent[n]
-        if n > 0 and self.tags[n] in tags:
-            self.at = self.parent[n]
+    def _open(self, tag: str) -> None:
+        level = len(self.path)
+        self.path.append(len(self.tags) - 1)
+        self.places.setdefault(tag, []).append(level)
+        if tag in STOP:
+            self.walls.append(level)
+
+    def _close(self, level: int) -> None:
+        """Close the element at this level of the path and all in it."""
+        for n in self.path[level:]:
+            self.places[self.tags[n]].pop()
+        del self.path[level:]
+        while self.walls[-1] >= level:
+            self.walls.pop()
+
+    def _level(self, tag: str) -> int:
+        """The level of the innermost open element of this tag; 0 if there is none."""
+        open_ = self.places.get(tag)
+        return open_[-1] if open_ else 0
+
+    def _end_implied(self, tags) -> None:
+        level = max(map(self._level, tags))
+        if level and level >= self.walls[-1]:
+            self._close(level)
 
     def handle_starttag(self, tag, attrs):
         if tag in CLOSES_P:
-            self._close(_P)
+            self._end_implied(_P)
         if tag in CLOSES:
-            self._close(CLOSES[tag])
+            self._end_implied(CLOSES[tag])
         tokens = ()
         if attrs:
             tokens = tuple(t for k, v in attrs if v and k in ("class", "id", "role") for t in _TOKEN.findall(v.lower()))
         self._add(tag, tokens)
         if tag not in VOID:
-            self.at = len(self.tags) - 1
+            self._open(tag)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
-            self.at = self.parent[self.at]
+            self._close(len(self.path) - 1)
 
     def handle_endtag(self, tag):
-        n = self.at
-        while n > 0 and self.tags[n] != tag:
-            n = self.parent[n]
-        if n > 0:
-            self.at = self.parent[n]
+        if level := self._level(tag):
+            self._close(level)
 
     def handle_data(self, data):
         self._add("#text", (), data)
@@ -486,7 +511,7 @@ def _extracted(model: Boosted):
             arrays = [b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=["page_id", "url", "text", "n_chars"])
 
-    return run
+    return tidy(run)
 
 
 def extract(pages: DataFrame, model: Boosted | None = None) -> DataFrame:
