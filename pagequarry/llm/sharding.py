@@ -13,8 +13,11 @@ driver sees bins only, at most shards x BINS numbers a pass.
 
 Law `bytes`: sizes are near equal.
 
-Defined cases: a null text has size 8 and no bytes; null metadata count as a value of their own; rows
-that repeat are placed row by row; an empty table gives an empty table; other columns are ignored.
+Defined cases: a null text has size 8 and no bytes, and counts as equal to an empty one; a text of any
+length is one row and never cut; null metadata count as a value of their own; rows that repeat, also
+with equal doc_ids, are placed row by row, and a cut may go through them; where values tie the order is
+that of a hash of the text, then doc_id, then a number given to each row; an empty table gives an empty
+table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pagequarry.llm.common import gapless, stored
+from pagequarry.llm.common import SALT, discard, gapless, salted, stored
 
 SHARDS = 24
 BINS = 4096
@@ -31,6 +34,8 @@ TOLERANCE = 1 / 4000
 #: Values of a dimension: 24 bits.
 SCALE = 1 << 24
 DIMS = ("d_lang", "d_source", "d_size", "d_order")
+#: What tells rows apart where a cut goes through one value of a dimension.
+TIES = ("__tie", "__id", SALT)
 
 
 def _metadata(docs: DataFrame) -> DataFrame:
@@ -44,7 +49,7 @@ def _metadata(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(raw).cast("long") + 8).alias("size"),
         F.crc32(raw).alias("text_crc32"),
-        F.xxhash64("text").alias("__h"),
+        F.xxhash64(raw).alias("__h"),
         code("lang").alias("d_lang"),
         code("source").alias("d_source"),
     )
@@ -57,7 +62,7 @@ def _metadata(docs: DataFrame) -> DataFrame:
     low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
     low, span = low or 0, max(1, (high or 0) - (low or 0))
     place = ((F.least(F.col("g.i"), F.lit(low + span)) - low).cast("double") / span * (SCALE - 1)).cast("long")
-    return stored(
+    placed = salted(
         both.select(
             "doc_id",
             "size",
@@ -71,13 +76,15 @@ def _metadata(docs: DataFrame) -> DataFrame:
         ),
         "places",
     )
+    discard(rows, groups)
+    return placed
 
 
 class Cut:
-    """Rows go left if (dimension, __tie, __id) comes before (values), as far as values are given."""
+    """Rows go left if (dimension, __tie, __id, salt) comes before (values), as far as values are given."""
 
     def __init__(self, dim: str, values: tuple[int, ...]):
-        self.fields, self.values = (dim, "__tie", "__id")[: len(values)], values
+        self.fields, self.values = (dim, *TIES)[: len(values)], values
 
     def left(self) -> Column:
         test = F.lit(False)
@@ -95,7 +102,7 @@ def _cuts(rows: DataFrame, want: dict[int, float]) -> dict[int, Cut]:
     """For each part a cut with a share `want` of its weight on the left."""
     rows = rows.where(F.col("__part").isin(*want))
     stats = rows.groupBy("__part").agg(
-        F.sum("size").alias("w"), *[f(d).alias(f"{n}_{d}") for d in (*DIMS, "__tie", "__id") for n, f in (("lo", F.min), ("hi", F.max))]
+        F.sum("size").alias("w"), *[f(d).alias(f"{n}_{d}") for d in (*DIMS, *TIES) for n, f in (("lo", F.min), ("hi", F.max))]
     )
     stats = {r["__part"]: r.asDict() for r in stats.collect()}
     if not stats:
@@ -109,7 +116,7 @@ def _cuts(rows: DataFrame, want: dict[int, float]) -> dict[int, Cut]:
     while state:
         tests, bins = {}, {}
         for p, s in state.items():
-            fields = (s["dim"], "__tie", "__id")
+            fields = (s["dim"], *TIES)
             x = F.col(fields[s["at"]])
             s["step"] = max(1, -(-(s["hi"] - s["lo"] + 1) // BINS))
             tests[p] = reduce(lambda a, b: a & b, [F.col(f) == v for f, v in zip(fields, s["fixed"])], x.between(s["lo"], s["hi"]))
@@ -134,10 +141,10 @@ def _cuts(rows: DataFrame, want: dict[int, float]) -> dict[int, Cut]:
             s["before"] = run
             if s["step"] > 1:
                 s["lo"], s["hi"] = lo, lo + s["step"] - 1
-            elif s["at"] < 2:  # one value: go on in the next field
+            elif s["at"] < len(TIES):  # one value: go on in the next field
                 s["fixed"], s["at"] = (*s["fixed"], lo), s["at"] + 1
-                s["lo"], s["hi"] = (stats[p][f"{n}_{('', '__tie', '__id')[s['at']]}"] for n in ("lo", "hi"))
-            else:  # one row, or rows that repeat a doc_id
+                s["lo"], s["hi"] = (stats[p][f"{n}_{TIES[s['at'] - 1]}"] for n in ("lo", "hi"))
+            else:  # one row
                 near = lo if s["goal"] - run <= run + w - s["goal"] else lo + 1
                 done[p] = Cut(s["dim"], (*s["fixed"], near))
                 del state[p]
@@ -153,7 +160,8 @@ def tree(rows: DataFrame, shards: int) -> DataFrame:
         part = F.col("__part")
         right = {p: F.when(c.left(), p).otherwise(p + leaves[p] // 2) for p, c in cuts.items()}
         if right:
-            rows = stored(rows.withColumn("__part", F.coalesce(_choose(right, part), part).cast("int")), "parts")
+            old, rows = rows, stored(rows.withColumn("__part", F.coalesce(_choose(right, part), part).cast("int")), "parts")
+            discard(old)
         leaves = {q: n for p, m in leaves.items() for q, n in (((p, m // 2), (p + m // 2, m - m // 2)) if m > 1 else ((p, m),))}
     return rows
 
@@ -161,7 +169,7 @@ def tree(rows: DataFrame, shards: int) -> DataFrame:
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     rows = _metadata(docs)
-    placed = tree(rows, shards).select("doc_id", "size", "text_crc32", F.col("__part").alias("shard"))
+    placed = tree(rows, shards).select("doc_id", "size", "text_crc32", F.col("__part").alias("shard"), SALT)
     slotted = gapless(placed, ["shard"], ["doc_id", "text_crc32"], "slot")
     return slotted.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
