@@ -10,7 +10,8 @@ A task inserts its distinct pre-tokens in a trie. A node is a prefix, and the be
 prefix depend on nothing that follows: they are computed once, when the node is made, from the nodes
 above it. The count at a pre-token's last node is kept for the pre-token.
 
-Defined cases: a null or empty text has no words and no tokens; repeated rows and null doc_ids each
+Defined cases: a null or empty text has no words and no tokens; a text of any length is read whole; of
+segmentations that tie in score and count any gives the same count; repeated rows and null doc_ids each
 give a row; an empty table gives an empty table; other columns are ignored.
 """
 
@@ -18,15 +19,18 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from pagequarry.llm.common import WordCache
+from pagequarry.llm.common import segments, starts_of, tidy
 
 MARK = "▁"
 #: Nodes after which a task's trie starts anew.
 NODES = 400_000
-CACHED = 300_000
+#: Bytes of text whose distinct words are inserted together.
+SEGMENT = 16 << 20
 
 
 def vocabulary_path(name: str = "piece_bpe_32k.model") -> str:
@@ -97,29 +101,25 @@ class Trie:
         return best, fewest
 
 
-_COUNTS: dict[str, WordCache] = {}
-
-
-def counts_cache(path: str) -> WordCache:
-    if path not in _COUNTS:
-        trie = Trie(read_pieces(path))
-        _COUNTS[path] = WordCache(lambda w: trie.insert(MARK + w.decode()), CACHED)
-    return _COUNTS[path]
+_SCORES: dict[str, dict[str, float]] = {}
 
 
 def _counted(path: str):
     def run(batches):
-        count = counts_cache(path).__getitem__
-        for b in batches:
-            words, tokens = [], []
-            for t in b.column(1).to_pylist():
-                w = (t or "").encode().split()
-                words.append(len(w))
-                tokens.append(sum(map(count, w)))
-            arrays = [b.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "n_tokens"])
-
-    return run
+        if path not in _SCORES:
+            _SCORES[path] = read_pieces(path)
+        trie = Trie(_SCORES[path])
+        for b in segments(batches, 1, SEGMENT):
+            words = pc.ascii_split_whitespace(b.column(1).fill_null(""))
+            coded = words.flatten().dictionary_encode()
+            known = coded.dictionary.to_pylist()
+            count = np.fromiter((trie.insert(MARK + w) if w else 0 for w in known), np.int64, len(known))
+            some = np.fromiter(map(bool, known), bool, len(known))  # white space at an end leaves an empty word
+            index, cuts = coded.indices.to_numpy(), starts_of(words.value_lengths().to_numpy(zero_copy_only=False))
+            sums = [np.diff(starts_of(x[index])[cuts]) for x in (some, count)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, sums)], names=["doc_id", "n_words", "n_tokens"])
+
+    return tidy(run)
 
 
 def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
