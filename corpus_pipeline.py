@@ -1,7 +1,15 @@
 """A training-data pipeline: language ID, exact dedup, near dedup, substring dedup, packing.
 
 A stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; run() writes what
-each returns as Parquet in the shared folder and reads it again.
+each returns as Parquet in the shared folder and reads it again. What a stage itself stored, and the
+output of the stage before, are deleted once its output is written.
+
+Defined cases: a null text, or one without letters, has no language and goes in the first stage; an empty
+text goes with it; texts of any length are read whole; of rows that repeat a doc_id and a text one stays;
+rows with one doc_id and different texts are different documents; a null doc_id is less than any other in
+exact dedup, its row is kept once per text by near dedup, and counts as the largest in substring dedup; a
+text all of whose words go stays as an empty text, and packs as its end token; an empty table gives an empty
+table; columns beyond doc_id and text are carried to the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -9,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pagequarry.llm import exact, langid, packing, simhash, substrings
-from pagequarry.llm.common import stored
+from pagequarry.llm.common import discard, scope, stored
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +41,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' tokens in sequences of 4096."""
-    return packing.pack(docs)
+    """Pieces of the documents' tokens, with the ids, in sequences of 4096."""
+    return packing.pack(docs, with_ids=True)
 
 
 STAGES = [
@@ -51,6 +59,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    last = None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        keep: list[DataFrame] = []
+        with scope(keep):
+            docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+            keep.append(docs)
+        discard(last)
+        last = docs
     return docs
