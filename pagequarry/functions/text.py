@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def any_of(tests: list[Column]) -> Column:
@@ -17,6 +17,11 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
 
 
+def held(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """df's columns `keep` and these new ones, computed once: what comes after can't be moved before them and copy them."""
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def contains_any(c: Column, words) -> Column:
     """One of the words occurs in c (c folded already)."""
     return any_of([c.contains(w) for w in words])

@@ -61,20 +61,59 @@ def _canonical(c: Column) -> Column:
 
 
 def join(base: Column, href: Column) -> Column:
-    """href as seen from base. Dot segments are left as they are; `urljoin_udf` resolves them too."""
+    """href as seen from base, with its dot segments resolved."""
     root = F.concat(scheme(base), F.lit("://"), _part(base, 2))
     folder = F.regexp_replace(F.when(path(base) == "", "/").otherwise(path(base)), "[^/]*$", "")
     bare = F.regexp_replace(base, "[?#].*$", "")
     return (
         F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href)
         .when(href.startswith("//"), F.concat(scheme(base), F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(root, href))
+        .when(href.startswith("/"), F.concat(root, without_dots(href)))
         .when(href.startswith("?"), F.concat(bare, href))
         .when(href.startswith("#") | (href == ""), F.concat(F.regexp_replace(base, "#.*$", ""), href))
-        .otherwise(F.concat(root, folder, href))
+        .otherwise(F.concat(root, without_dots(F.concat(folder, href))))
     )
 
 
+def without_dots(place: Column) -> Column:
+    """An absolute path, with query and fragment if it has any, without its . and .. segments."""
+    step = lambda done, x: F.when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    parts = F.slice(F.split(F.regexp_extract(place, "^[^?#]*", 0), "/", -1), F.lit(2), F.lit(1 << 20))
+    whole = F.aggregate(parts, F.array().cast("array<string>"), step)
+    folder = F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise("")
+    resolved = F.concat(F.lit("/"), F.array_join(whole, "/"), F.when(F.size(whole) > 0, folder).otherwise(""), F.regexp_extract(place, "[?#].*$", 0))
+    return F.when(place.rlike(r"^[^?#]*/\.\.?(?:[/?#]|$)"), resolved).otherwise(place)
+
+
+def pairs(query_: Column) -> Column:
+    """The parameters of a query string as structs k, v in order, decoded: each name once, with its last value."""
+    text = lambda x: F.coalesce(F.try_url_decode(x), x)
+    value = lambda x: F.when(x.contains("="), F.regexp_replace(x, "^[^=]*=", "")).otherwise("")
+    each = F.filter(F.split(query_, "&"), lambda x: x != "")
+    each = F.transform(each, lambda x: F.struct(text(F.substring_index(x, "=", 1)).alias("k"), text(value(x)).alias("v")))
+    return last_values(each)
+
+
+def last_values(given: Column) -> Column:
+    """Structs k, v with each k once, at its first place with its last v."""
+    names = lambda x: F.array_distinct(F.transform(x, lambda p: p["k"]))
+    last = lambda x, k: F.element_at(F.filter(x, lambda p: p["k"] == k), -1)
+    return let(given, lambda x: F.transform(names(x), lambda k: last(x, k)))
+
+
+def template(url: Column, param: Column, extra: Column) -> Column:
+    """A search template: the URL with `param` standing for the query and the structs k, v of `extra` where it lacks them."""
+    slot = F.struct(param.alias("k"), F.lit(None).cast("string").alias("v"))
+    own = lambda x: F.exists(x, lambda p: p["k"] == param)
+    named = lambda x: F.transform(x, lambda p: p["k"])
+    said = let(pairs(query(url)), lambda x: F.concat(x, F.filter(extra, lambda p: ~F.array_contains(named(x), p["k"]))))
+    whole = let(said, lambda x: F.when(own(x), x).otherwise(F.concat(x, F.array(slot))))
+    coded = F.transform(whole, lambda p: F.concat(encode_plus(p["k"]), F.lit("="), F.when(p["k"] == param, "{query}").otherwise(encode_plus(p["v"]))))
+    place = F.regexp_replace(F.when(path(url) == "", "/").otherwise(path(url)), ";[^/]*$", "")
+    asked = F.replace(F.array_join(coded, "&"), F.lit("%7Bquery%7D"), F.lit("{query}"))
+    return F.concat(scheme(url), F.lit("://"), _part(url, 2), place, F.lit("?"), asked)
+
+
 def prefer_https(c: Column) -> Column:
     c = F.trim(F.coalesce(c, F.lit("")))
     local = host(c).isin("localhost", "127.0.0.1", "::1", "[::1]")

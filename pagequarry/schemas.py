@@ -77,6 +77,18 @@ CUSTOM = "Custom"
 CHALLENGE_STATUS_MARKS = ("cloudflare", "cf-chl", "captcha", "checking your browser", "forbidden")
 CHALLENGE_HOST_MARKS = ("captcha", "challenge", "cf-chl")
 JAVASCRIPT_MARKS = ("search-results", "site search", "fssearch", "data-search")
+#: Headers of an import by field, as patterns of their words; the first column that matches is the field's.
+HEADERS = {
+    "agency_name": r"(^| )agency name$",
+    "agency_id_nces": r"^(?=.*agency id)(?=.*(nces|assigned))",
+    "state": r"^((location|mailing) )?state abbr$",
+    "agency_type": r"agency type",
+    "enrollment": r"^(?=.*total (students|enrollment))(?=.*excludes? ae)",
+    "website": r"^(?=.*web site)(?=.*url)|^(?=.*website)(?=.*(url|address))|^(website|web address)$",
+}
+#: Where no column matches the first pattern.
+OTHER_HEADERS = {"state": r"^state name$|(^| )state$"}
+REQUIRED_FIELDS = ("agency_name", "state", "agency_type", "website")
 EXPORT_COLUMNS = (
     "run_id", "run_query", "district_id", "district_name", "state", "agency_type", "enrollment", "website",
     "result_rank", "url", "title", "content_type", "score", "snippet", "created_at",
