@@ -69,13 +69,23 @@ def runs(html: Column) -> Column:
     return pieces(visible(html))
 
 
+def shown_text(shown: Column) -> Column:
+    """The text of visible markup."""
+    return decode(F.array_join(pieces(shown), " "))
+
+
+def shown_headings(shown: Column) -> Column:
+    found = F.regexp_extract_all(shown, F.lit(r"(?is)<h[123]\b[^>]*>(.*?)</h[123]\s*>"), F.lit(1))
+    return F.transform(found, shown_text)
+
+
 def pieces(markup: Column) -> Column:
     parts = F.split(markup, "<[^>]*>")
     return F.filter(F.transform(parts, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
 
 
 def body(html: Column) -> Column:
-    return decode(F.array_join(runs(html), " "))
+    return shown_text(visible(html))
 
 
 def title(html: Column) -> Column:
@@ -83,8 +93,7 @@ def title(html: Column) -> Column:
 
 
 def headings(html: Column) -> Column:
-    found = F.regexp_extract_all(visible(html), F.lit(r"(?is)<h[123]\b[^>]*>(.*?)</h[123]\s*>"), F.lit(1))
-    return F.transform(found, lambda x: decode(F.array_join(pieces(x), " ")))
+    return shown_headings(visible(html))
 
 
 def hrefs(html: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
@@ -14,16 +16,20 @@ from pagequarry.sources.tables import stored
 _JOINED = 8
 
 
-def crawl(seeds: DataFrame, edges: DataFrame, max_pages: int, depth: int | None = None) -> DataFrame:
-    """key, url, depth, seq of the pages visited: seeds (key, url and, if links out of it are not followed, base), edges (src, dst, pos).
+def crawl(seeds: DataFrame, edges: DataFrame, max_pages: int, depth: int | None = None, allowed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """key, url, depth, seq of the pages visited: seeds (key, url, their order as place, and base if links out of it are not followed), edges (src, dst, pos).
+
+    allowed takes the rows (url, ...) that would be visited and gives back those that may be.
 
     A key's frontier is a queue: pages of a level come in the order of their sources, then of the links.
     It holds at most 4 x max_pages URLs beyond what is visited, and at most max_pages are visited. A level
     is stored before the next, which keeps plans small; the loop ends with an empty level, at the latest
     when all have max_pages, or at `depth` if it is given.
     """
-    first = first_per_key(seeds.select("key", "url").where("url <> ''"), ["key", "url"], [F.col("url")])
-    seq = F.row_number().over(W.partitionBy("key").orderBy("url"))
+    place = F.col("place") if "place" in seeds.columns else F.lit(0)
+    may = allowed or (lambda rows: rows)
+    first = first_per_key(may(seeds.select("key", "url", place.alias("place")).where("url <> ''")), ["key", "url"], [F.col("place")])
+    seq = F.row_number().over(W.partitionBy("key").orderBy("place", "url"))
     visited = stored(first.select("key", "url", F.lit(0).alias("depth"), seq.cast("long").alias("seq")).where(F.col("seq") <= max_pages), "crawl")
     bases = seeds.select("key", "base").dropDuplicates(["key"]) if "base" in seeds.columns else None
     level, d = visited, 0
@@ -32,7 +38,7 @@ def crawl(seeds: DataFrame, edges: DataFrame, max_pages: int, depth: int | None
         out = level.join(edges, level["url"] == edges["src"]).select("key", F.col("dst").alias("url"), "seq", "pos")
         if bases is not None:
             out = out.join(bases, "key").where(U.same_org(F.col("url"), F.col("base"))).drop("base")
-        new = out.where("url <> ''").join(visited.select("key", "url"), ["key", "url"], "left_anti")
+        new = may(out.where("url <> ''")).join(visited.select("key", "url"), ["key", "url"], "left_anti")
         new = first_per_key(new, ["key", "url"], [F.col("seq"), F.col("pos")])
         done = visited.groupBy("key").agg(F.max("seq").alias("done"))
         rank = F.row_number().over(W.partitionBy("key").orderBy("seq", "pos", "url"))
@@ -46,13 +52,3 @@ def crawl(seeds: DataFrame, edges: DataFrame, max_pages: int, depth: int | None
             visited = stored(visited, "crawl")
     return visited
 
-
-def reached(spark, seeds: str, edges: str, depth: int) -> DataFrame:
-    """Least depth of each page over views seeds (key, url) and edges (src, dst), by a recursive query."""
-    return spark.sql(f"""
-        WITH RECURSIVE walk(key, url, depth) AS (
-            SELECT key, url, 0 FROM {seeds}
-            UNION ALL
-            SELECT w.key, e.dst, w.depth + 1 FROM walk w JOIN {edges} e ON e.src = w.url WHERE w.depth < {int(depth)}
-        )
-        SELECT key, url, min(depth) AS depth FROM walk GROUP BY key, url""")

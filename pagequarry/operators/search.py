@@ -10,6 +10,8 @@ from pagequarry.functions import html as H
 from pagequarry.functions import text as X
 from pagequarry.functions import urls as U
 from pagequarry.operators.ranking import first_per_key, overwrite, top_k
+from pagequarry.sources import crawl_rules as R
+from pagequarry.sources import fetch
 from pagequarry.sources.tables import stored
 
 
@@ -22,6 +24,8 @@ class SearchSettings:
     api_results: int = 10
     follow_depth: int = 0
     respect_robots: bool = False
+    html_cap: int = 5 << 20
+    pdf_cap: int = 10 << 20
 
     @property
     def frontier_cap(self) -> int:
@@ -31,33 +35,35 @@ class SearchSettings:
 def score(title: Column, headings: Column, body: Column, url: Column, phrase: str, content_type: Column | None = None) -> Column:
     """Score of a page, null where the phrase is in neither text, title nor headings."""
     q = X.fold_text(phrase)
-    t, h, b = X.fold(title), X.fold(F.array_join(headings, " ")), X.fold(body)
-    path = U.path(url)
-    total = (
-        F.when(t.contains(q), 50.0).otherwise(0.0)
-        + F.when(h.contains(q), 25.0).otherwise(0.0)
-        + 10.0 * F.least(X.occurrences(b, phrase), F.lit(10))
-        + F.when(U.path_segments(url) <= 1, 5.0).otherwise(0.0)
-        + F.when(path.isin("", "/"), 5.0).otherwise(0.0)
-    )
-    if content_type is not None:
-        total = total - F.when(content_type == "application/pdf", 2.0).otherwise(0.0)
-    return F.when(t.contains(q) | h.contains(q) | b.contains(q), total)
+    place = U.path(url)
+
+    def total(x: Column) -> Column:
+        points = (
+            F.when(x["t"].contains(q), 50.0).otherwise(0.0)
+            + F.when(x["h"].contains(q), 25.0).otherwise(0.0)
+            + 10.0 * F.least(X.occurrences(x["b"], phrase), F.lit(10))
+            + F.when(U.path_segments(url) <= 1, 5.0).otherwise(0.0)
+            + F.when(place.isin("", "/"), 5.0).otherwise(0.0)
+        )
+        if content_type is not None:
+            points = points - F.when(content_type == "application/pdf", 2.0).otherwise(0.0)
+        return F.when(x["t"].contains(q) | x["h"].contains(q) | x["b"].contains(q), points)
+
+    folded = F.struct(X.fold(title).alias("t"), X.fold(F.array_join(headings, " ")).alias("h"), X.fold(body).alias("b"))
+    return X.let(folded, total)
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """pages (url, html, ...) with title, headings and body."""
-    return (
-        pages.withColumn("title", H.title(F.col("html")))
-        .withColumn("headings", H.headings(F.col("html")))
-        .withColumn("body", H.body(F.col("html")))
-        .drop("html")
-    )
+    """pages (url, html, ...) with title, headings and body, of a markup that is cleaned once."""
+    own = [c for c in pages.columns if c not in ("html", "title", "headings", "body")]
+    clean = X.held(pages, own, title=H.title(F.col("html")), __shown=H.visible(F.col("html")))
+    return X.held(clean, [*own, "title"], headings=H.shown_headings(F.col("__shown")), body=H.shown_text(F.col("__shown")))
 
 
 def hits(pages: DataFrame, phrase: str) -> DataFrame:
     """Pages that match: url, title, score, snippet, matched_terms and the columns that came along."""
-    scored = parsed(pages).withColumn("score", score(F.col("title"), F.col("headings"), F.col("body"), F.col("url"), phrase))
+    page = parsed(pages)
+    scored = X.held(page, [c for c in page.columns if c != "score"], score=score(F.col("title"), F.col("headings"), F.col("body"), F.col("url"), phrase))
     found = scored.where(F.col("score").isNotNull())
     found = found.withColumn("snippet", X.snippet(F.col("body"), phrase)).withColumn("matched_terms", F.array(F.lit(phrase)))
     return found.withColumn("title", F.substring("title", 1, 500)).drop("body", "headings")
@@ -129,16 +135,76 @@ def search_corpus(districts: DataFrame, pages: DataFrame, phrase: str, settings:
     return best_hits(unique, ["id"], settings.max_results).withColumn("search_source", F.lit("crawler"))
 
 
-def crawl_corpus(districts: DataFrame, pages: DataFrame, phrase: str, settings: SearchSettings = SearchSettings(), depth: int | None = None) -> DataFrame:
-    """As search_corpus, for the pages that a crawl from each organisation's website reaches; depth None is as far as max_pages goes."""
+def link_graph(pages: DataFrame) -> DataFrame:
+    """src, dst, pos: the links of all pages, stored."""
+    known = pages.select(U.canonical(F.col("url")).alias("src"), F.posexplode(H.links(F.col("html"), F.col("url"))).alias("pos", "dst"))
+    return stored(known.select("src", U.canonical(F.col("dst")).alias("dst"), "pos"), "edges")
+
+
+def fetchable(pages: DataFrame, settings: SearchSettings) -> DataFrame:
+    """Pages that a fetch would keep: status below 400, a type that can be read, a size under its cap, as far as pages tell."""
+    status = F.coalesce(F.col("status_code"), F.lit(200)) if "status_code" in pages.columns else F.lit(200)
+    given = F.col("content_type") if "content_type" in pages.columns else F.lit("text/html")
+    fits = fetch.within_cap(F.col("html"), given, F.col("url"), settings.html_cap, settings.pdf_cap)
+    return pages.where((status < 400) & fetch.kind(given, F.col("url")).isNotNull() & F.coalesce(fits, F.lit(True)))
+
+
+def crawl_corpus(
+    districts: DataFrame,
+    pages: DataFrame,
+    phrase: str,
+    settings: SearchSettings = SearchSettings(),
+    depth: int | None = None,
+    sitemaps: DataFrame | None = None,
+    robots: DataFrame | None = None,
+) -> DataFrame:
+    """As search_corpus, for the pages that a crawl from each organisation's website reaches; depth None is as far as max_pages goes.
+
+    sitemaps: url, body. Those that robots.txt names, and /sitemap.xml of each site, give seeds after the homepage,
+    three times max_pages at most. robots: host, status_code, body; it denies pages only if the settings respect it.
+    """
     from pagequarry.operators.crawl import crawl
 
     d = districts.where(U.core_host(F.col("website")) != "")
-    seeds = d.select(F.col("id").alias("key"), U.canonical(F.col("website")).alias("url"), F.col("website").alias("base"))
-    known = pages.select(U.canonical(F.col("url")).alias("src"), F.posexplode(H.links(F.col("html"), F.col("url"))).alias("pos", "dst"))
-    edges = stored(known.select("src", U.canonical(F.col("dst")).alias("dst"), "pos"), "edges")
-    visited = crawl(seeds, edges, settings.max_pages, depth).join(d, F.col("key") == F.col("id"))
+    homes = d.select(F.col("id").alias("key"), U.canonical(F.col("website")).alias("url"), F.col("website").alias("base"), F.lit(0).alias("place"))
+    seeds = homes
+    if sitemaps is not None:
+        bases = homes.select("base").distinct()
+        files = bases.select("base", U.join(F.col("base"), F.lit("/sitemap.xml")).alias("url"))
+        if robots is not None:
+            named = robots.where("status_code < 400").select(F.col("host").alias("__host"), F.explode(R.robots_sitemaps(F.col("body"))).alias("url"))
+            files = bases.join(named, U.host(F.col("base")) == F.col("__host")).select("base", "url").unionByName(files)
+        listed = R.sitemap_urls(files, sitemaps, 3 * settings.max_pages).select("base", "url", F.col("seq").cast("int").alias("place"))
+        seeds = homes.unionByName(listed.join(homes.select("key", "base"), "base").select("key", "url", "base", "place"))
+    allowed = (lambda urls: R.can_fetch(urls, robots)) if robots is not None and settings.respect_robots else None
+    visited = crawl(seeds, link_graph(pages), settings.max_pages, depth, allowed).join(d, F.col("key") == F.col("id"))
     visited = visited.where(U.same_org(F.col("url"), F.col("website")))
-    bodies = pages.select(U.canonical(F.col("url")).alias("url"), "html")
+    bodies = fetchable(pages, settings).select(U.canonical(F.col("url")).alias("url"), "html")
     found = hits(visited.join(bodies, "url"), phrase)
     return best_hits(found, ["id"], settings.max_results).withColumn("search_source", F.lit("crawler"))
+
+
+def search_by_api(districts: DataFrame, answers: DataFrame, pages: DataFrame, phrase: str, settings: SearchSettings = SearchSettings()) -> DataFrame:
+    """Ranked hits of a web-search API: as the API has them, replaced where the page itself is in the corpus and matches.
+
+    answers: id, json. With a follow_depth, matching pages that many links from a hit are hits too.
+    """
+    from pagequarry.operators.crawl import crawl
+
+    base = U.prefer_https(F.col("website"))
+    asked = districts.where(U.core_host(F.col("website")) != "").join(answers, "id").withColumn("base", base)
+    api = first_per_key(api_hits(asked, settings.api_results), ["id", "url"], [F.col("rank")])
+    api = stored(api.withColumn("search_source", F.lit("brave")).withColumn("matched_terms", F.array(F.lit(phrase))), "api")
+    bodies = fetchable(pages, settings).select(U.canonical(F.col("url")).alias("url"), "html")
+    seeds = api.select(F.col("id").alias("key"), "url", "base", F.col("rank").alias("place"))
+    if settings.follow_depth:
+        reached = crawl(seeds, link_graph(pages), settings.max_pages, settings.follow_depth)
+    else:
+        reached = seeds.select("key", "url", F.lit(0).alias("depth"), F.col("place").cast("long").alias("seq")).where(F.col("seq") <= settings.max_pages)
+    visited = reached.join(districts, F.col("key") == F.col("id")).join(bodies, "url")
+    source = F.when(F.col("depth") == 0, "brave+fetch").otherwise("brave-follow")
+    fetched = hits(visited, phrase).withColumn("search_source", source).withColumn("rank", F.col("seq").cast("int"))
+    fetched = fetched.withColumn("score", F.col("score") + bonus(source, F.col("rank")))
+    columns = [*districts.columns, "url", "title", "snippet", "rank", "score", "search_source", "matched_terms"]
+    merged = with_confirmed(api.select(*columns), fetched.select(*columns), ["id", "url"])
+    return best_hits(merged, ["id"], settings.max_results, "rank")

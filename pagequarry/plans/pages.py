@@ -279,7 +279,7 @@ def confirm_hits(spark: SparkSession, d: str) -> DataFrame:
     WHERE score IS NOT NULL AND host NOT IN (SELECT host FROM one)"""
 )
 def hybrid_fallback(spark: SparkSession, d: str) -> DataFrame:
-    found = S.hits(pages(spark, d), PHRASE).select(U.core_host(F.col("url")).alias("host"), "page_id", "score")
+    found = stored(S.hits(pages(spark, d), PHRASE).select(U.core_host(F.col("url")).alias("host"), "page_id", "score"), "hits")
     first = found.where("page_id % 5 = 0").withColumn("search_source", F.lit("district_search+fetch"))
     rest = found.withColumn("search_source", F.lit("crawler"))
     return S.with_fallback(first, rest, "host", "district_search+fallback_crawler")
@@ -320,6 +320,4 @@ def bfs_whole(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{_WALK.format(1)} SELECT key, url, depth FROM m")
 def follow_depth(spark: SparkSession, d: str) -> DataFrame:
     seeds, edges = _graph(spark, d)
-    seeds.createOrReplaceTempView("pq_seeds")
-    edges.createOrReplaceTempView("pq_edges")
-    return C.reached(spark, "pq_seeds", "pq_edges", 1)
+    return C.crawl(seeds, edges, max_pages=100, depth=1).select("key", "url", "depth")

@@ -69,9 +69,9 @@ def xml_locs(raw: bytes | None) -> tuple[bool, list[str]]:
 _LOCS = T.StructType([T.StructField("is_index", T.BooleanType()), T.StructField("locs", T.ArrayType(T.StringType()))])
 
 
-@F.udf(_LOCS)
-def xml_locs_udf(raw):
-    return xml_locs(bytes(raw) if raw is not None else None)
+@F.pandas_udf(_LOCS)
+def xml_locs_udf(raw: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([xml_locs(bytes(x) if x is not None else None) for x in raw], columns=["is_index", "locs"])
 
 
 def loc_values(xml: Column) -> Column:

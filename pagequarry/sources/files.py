@@ -12,6 +12,7 @@ import re
 import zipfile
 from xml.etree import ElementTree
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -131,9 +132,9 @@ def raw_rows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("raw_rows").load(path)
 
 
-@F.udf(T.ArrayType(T.ArrayType(T.StringType())))
-def rows_of(path, content):
-    return [[str(c) for c in r] for r in reader_for(path)(bytes(content))]
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def rows_of(path: pd.Series, content: pd.Series) -> pd.Series:
+    return pd.Series([[[str(c) for c in r] for r in reader_for(p)(bytes(x))] for p, x in zip(path, content)])
 
 
 def raw_rows_remote(spark: SparkSession, path: str) -> DataFrame:
