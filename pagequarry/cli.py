@@ -1,4 +1,4 @@
-"""python -m pagequarry.cli import|search ...: the library's functions from a shell."""
+"""python -m pagequarry.cli import|search|discover ...: the library's functions from a shell."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from pyspark.sql import SparkSession
 from pagequarry.deploy import ship
 from pagequarry.operators import runs as R
 from pagequarry.operators import upsert as W
+from pagequarry.operators.profiles import run_discovery
+from pagequarry.schemas import SEARCH_METHODS
 from pagequarry.sources.files import newest_source, raw_rows
 
 
@@ -31,6 +33,18 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--limit", type=int, default=25)
     s.add_argument("--crawl", action="store_true", help="only pages that links from the website lead to")
     s.add_argument("--crawl-depth", type=int, metavar="N", help="as --crawl, at most N links away")
+    s.add_argument("--method", choices=SEARCH_METHODS, default="crawler")
+    s.add_argument("--answers", help="API answers: id, json")
+    s.add_argument("--profiles", help="profiles of the sites' own search, as discover writes them")
+    s.add_argument("--events", metavar="PATH", help="append the run's log there")
+    d = sub.add_parser("discover", help="find each site's own search among stored pages")
+    d.add_argument("--districts", required=True)
+    d.add_argument("--pages", required=True)
+    d.add_argument("--out", required=True)
+    d.add_argument("--query", default="calendar")
+    d.add_argument("--history", metavar="PATH", help="append the tests that are made there")
+    d.add_argument("--known", metavar="PATH", help="profiles so far; sites with a working one are left out")
+    d.add_argument("--force", action="store_true")
     return p
 
 
@@ -45,10 +59,19 @@ def main(argv: list[str] | None = None) -> int:
         for name, value in W.import_summary(rows).first().asDict().items():
             print(f"{name}: {value}")
         return 0
+    if args.command == "discover":
+        known = spark.read.parquet(args.known) if args.known else None
+        districts, pages = spark.read.parquet(args.districts), spark.read.parquet(args.pages)
+        counts = run_discovery(districts, pages, args.out, args.history, query=args.query, known=known, force=args.force)
+        for name, value in counts.items():
+            print(f"{name}: {value}")
+        return 0
     wanted = {"states": args.state, "agency_types": args.agency_type, "min_enrollment": args.min_enrollment, "max_enrollment": args.max_enrollment}
     districts, pages = spark.read.parquet(args.districts), spark.read.parquet(args.pages)
-    run, found = R.run_search(spark, districts, pages, args.text, args.out, crawl_depth=args.crawl_depth, crawl=args.crawl, max_districts=args.limit, **wanted)
-    print(f"{run.status}: {found.count()} results")
+    tables = {name: spark.read.parquet(path) if path else None for name, path in (("answers", args.answers), ("profiles", args.profiles))}
+    options = {"max_districts": args.limit, "method": args.method, "events": args.events, "sources": R.Sources(**tables), **wanted}
+    run, found = R.run_search(spark, districts, pages, args.text, args.out, crawl_depth=args.crawl_depth, crawl=args.crawl, **options)
+    print(f"{run.status}: {found.count()} results, {run.districts_searched} searched, {run.districts_failed} failed")
     return 0 if run.status == "completed" else 1
 
 

@@ -1,7 +1,7 @@
 """Discovery of search profiles, and search by them, over a page corpus: stages of joins, no driver loop over sites.
 
 A corpus stands in for the network: a URL's page is the row of that canonical URL, a URL without a row
-is a 404. pages: url, html and, if they have them, status_code and content_type.
+is a 404. pages: url, html and, if they have them, status_code and final_url (where redirects led).
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from pagequarry.operators import discovery as D
 from pagequarry.operators.filters import best_profile, usable_profiles
 from pagequarry.operators.ranking import first_per_key, numbered, until
 from pagequarry.operators.search import SearchSettings, best_hits, bonus, hits
-from pagequarry.schemas import PROFILES
+from pagequarry.schemas import PROFILE_TESTS, PROFILES
+from pagequarry.sources.crawl_rules import can_fetch
 from pagequarry.sources.tables import conform, stored
 
 #: Links of a search page that are confirmed; a candidate this sure ends a site's tests.
@@ -24,7 +25,8 @@ CONFIRMED_LINKS, SURE = 5, 80
 
 def _corpus(pages: DataFrame) -> DataFrame:
     status = F.col("status_code") if "status_code" in pages.columns else F.lit(200)
-    return pages.select(U.canonical(F.col("url")).alias("at"), F.col("html"), status.alias("status"))
+    final = F.coalesce("final_url", "url") if "final_url" in pages.columns else F.col("url")
+    return pages.select(U.canonical(F.col("url")).alias("at"), F.col("html"), status.alias("status"), final.alias("final"))
 
 
 def homepages(districts: DataFrame, pages: DataFrame) -> DataFrame:
@@ -96,16 +98,25 @@ def candidates(homes: DataFrame, pages: DataFrame) -> DataFrame:
     return stored(D.unique_candidates(ordered, 10), "candidates")
 
 
-def tested(cands: DataFrame, pages: DataFrame, query: str) -> DataFrame:
-    """Each candidate with the page its URL leads to, its links, how many of them confirm, confidence and status."""
+def tested(cands: DataFrame, pages: DataFrame, query: str, robots: DataFrame | None = None) -> DataFrame:
+    """Each candidate with the page its URL leads to, its links, how many of them confirm, confidence and status.
+
+    What robots (host, status_code, body) deny is not opened.
+    """
     corpus = _corpus(pages)
-    asked = cands.withColumn("attempted_url", U.search_url(F.col("search_url_template"), F.lit(query)))
-    answer = asked.join(corpus, U.canonical(F.col("attempted_url")) == F.col("at"), "left").drop("at")
+    asked = cands.withColumn("attempted_url", U.search_url(F.col("search_url_template"), F.lit(query))).withColumn("blocked", F.lit(False))
+    if robots is not None:
+        may = can_fetch(asked.select(F.col("attempted_url").alias("url")).distinct(), robots).select(F.col("url").alias("attempted_url"), F.lit(True).alias("may"))
+        asked = asked.drop("blocked").join(stored(may, "allowed"), "attempted_url", "left")
+        asked = asked.select(*[c for c in asked.columns if c != "may"], F.col("may").isNull().alias("blocked"))
+    opened = F.when(~F.col("blocked"), U.canonical(F.col("attempted_url")))
+    answer = asked.join(corpus, opened == F.col("at"), "left").drop("at")
     page = F.coalesce("html", F.lit(""))
     shown = F.when(F.col("html").isNotNull(), D.result_links(page, F.col("attempted_url"), F.col("base"), F.col("attempted_url"), F.lit(10)))
     head = F.concat_ws(" ", H.title(page), F.array_join(H.headings(page), " "))
     answer = answer.select(
-        *[c for c in answer.columns if c not in ("html", "status")],
+        *[c for c in answer.columns if c not in ("html", "status", "final")],
+        F.coalesce(D.is_homepage_redirect(F.col("final"), F.col("base"), F.lit(query)), F.lit(False)).alias("redirect"),
         F.coalesce("status", F.lit(404)).alias("status"),
         D.is_challenge(F.col("status"), page, F.col("attempted_url")).alias("challenged"),
         X.fold(head).contains("search").alias("search_title"),
@@ -122,28 +133,72 @@ def tested(cands: DataFrame, pages: DataFrame, query: str) -> DataFrame:
         "hint": F.col("score_hint"),
         "status": F.col("status"),
         "challenge": F.col("challenged"),
-        "redirect": F.lit(False),
+        "redirect": F.col("redirect"),
         "platform": F.col("profile_type") == "known_platform",
         "links": n,
         "same_org": n > 0,
         "search_title": F.col("search_title"),
         "confirmed": F.col("confirmed"),
-        "blocked": F.lit(False),
+        "blocked": F.col("blocked"),
     }
     points = D.confidence(parts)
     probable = (n == 0) & F.col("javascript") & (F.col("status") < 400)
     scored = both.withColumn("confidence", points).withColumn("test_success", F.col("confirmed") > 0).withColumn("test_result_count", n)
-    return scored.withColumn("profile_status", D.status(F.col("confidence"), F.col("confirmed"), F.lit(False), F.col("challenged"), probable)).drop("links")
+    return scored.withColumn("profile_status", D.status(F.col("confidence"), F.col("confirmed"), F.col("blocked"), F.col("challenged"), probable)).drop("links")
+
+
+def tests_made(tests: DataFrame, query: str) -> DataFrame:
+    """Tests as rows of PROFILE_TESTS."""
+    error = (
+        F.when(F.col("blocked"), "robots.txt denies it.")
+        .when(F.col("challenged"), "A challenge page came back.")
+        .when(F.col("status") >= 400, F.concat(F.lit("HTTP "), F.col("status").cast("string")))
+    )
+    rows = tests.withColumns({"error_message": error, "test_query": F.lit(query), "created_at": F.current_timestamp()})
+    renamed = {"key": "district_id", "status": "status_code", "test_result_count": "result_count", "test_success": "success"}
+    return conform(rows.withColumnsRenamed(renamed), PROFILE_TESTS)
+
+
+def outcome_counts(rows: DataFrame) -> DataFrame:
+    """How a discovery ended, in numbers."""
+    s = F.col("profile_status")
+    known = ("working", "manual_review", "requires_javascript")
+    return rows.agg(
+        F.count("*").alias("processed"),
+        *[F.count_if(s == k).alias(k) for k in known],
+        F.count_if(~s.isin(*known)).alias("failed"),
+        F.count_if(s == "no_search_found").alias("no_search_found"),
+        F.count_if(F.coalesce(F.col("provider_guess"), F.lit("")) == "").alias("unknown_provider"),
+    )
+
+
+def run_discovery(districts: DataFrame, pages: DataFrame, path: str, history: str | None = None, **options) -> dict[str, int]:
+    """Discover, write the profiles at `path` and append the tests at `history`; the counters of the outcome."""
+    discover(districts, pages, history=history, **options).write.mode("overwrite").parquet(path)
+    return outcome_counts(districts.sparkSession.read.parquet(path)).first().asDict()
 
 
-def discover(districts: DataFrame, pages: DataFrame, query: str = "calendar", known: DataFrame | None = None, force: bool = False) -> DataFrame:
-    """One profile a site, as rows of PROFILES. Sites that have a working profile keep it unless force."""
+def discover(
+    districts: DataFrame,
+    pages: DataFrame,
+    query: str = "calendar",
+    known: DataFrame | None = None,
+    force: bool = False,
+    robots: DataFrame | None = None,
+    history: str | None = None,
+) -> DataFrame:
+    """One profile a site, as rows of PROFILES. Sites that have a working profile keep it unless force.
+
+    The tests that were made are appended at the path `history`, as rows of PROFILE_TESTS.
+    """
     if known is not None and not force:
         working = usable_profiles(known).select(F.col("district_id").alias("id")).distinct()
         districts = districts.join(working, "id", "left_anti")
     homes = stored(homepages(districts, pages), "homes")
-    tests = tested(candidates(homes, pages), pages, query)
+    tests = tested(candidates(homes, pages), pages, query, robots)
     tests = until(tests, ["key"], "place", (F.col("profile_status") == "working") & (F.col("confidence") >= SURE))
+    if history:
+        tests_made(tests, query).write.mode("append").parquet(history)
     best = D.best_test(tests.withColumnRenamed("key", "district_id"), "district_id", "place")
     columns = ["district_id", "profile_type", "search_method", "query_param", "search_url_template", "confidence", "test_success", "test_result_count", "profile_status"]
     both = homes.join(best.select(*columns), F.col("key") == F.col("district_id"), "left").drop("district_id")

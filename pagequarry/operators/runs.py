@@ -6,16 +6,18 @@ stopped is queued again, and running it again replaces its own results only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagequarry.operators.filters import clean_values, listed, matching
-from pagequarry.operators.search import SearchSettings, crawl_corpus, search_corpus
+from pagequarry.operators.profiles import search_by_profile
+from pagequarry.operators.search import SearchSettings, crawl_corpus, search_by_api, search_corpus, with_fallback
 from pagequarry.operators.upsert import write_run
 from pagequarry.schemas import EVENTS, RESULTS, SEARCH_METHODS
-from pagequarry.sources.tables import conform
+from pagequarry.sources.tables import conform, stored
 
 PRICE = 0.005
 
@@ -86,31 +88,119 @@ def recover(runs: list[Run]) -> list[Run]:
     return sorted((replace(r, status="queued") if r.status == "running" else r for r in runs), key=lambda r: r.id)
 
 
-def results_of(run: Run, districts: DataFrame, pages: DataFrame, settings: SearchSettings = SearchSettings(), crawl_depth: int | None = None, crawl: bool = False) -> DataFrame:
-    """The run's ranked hits with a copy of each organisation: lazy, unless it crawls (crawl, or a crawl_depth)."""
-    chosen = listed(districts, run.max_districts, **run.wanted)
-    numbered = pages if "seq" in pages.columns else pages.withColumn("seq", F.col("url"))
-    if crawl_depth is None and not crawl:
-        found = search_corpus(chosen, numbered, run.query_text, settings)
+def recovered(stored_runs: DataFrame) -> DataFrame:
+    """The same for a stored table of runs."""
+    return stored_runs.withColumn("status", F.when(F.col("status") == "running", "queued").otherwise(F.col("status")))
+
+
+@dataclass(frozen=True)
+class Sources:
+    """What a run may search besides the pages: API answers (id, json), profiles, sitemaps (url, body), robots (host, status_code, body)."""
+
+    answers: DataFrame | None = None
+    profiles: DataFrame | None = None
+    sitemaps: DataFrame | None = None
+    robots: DataFrame | None = None
+    crawl_depth: int | None = None
+    crawl: bool = False
+
+
+API_METHODS = ("brave", "hybrid")
+FALLBACK_METHODS = ("hybrid", "district_search_hybrid", "district_search_browser_hybrid")
+FALLBACK_LABEL = "district_search+fallback_crawler"
+
+
+def _chosen(run: Run, districts: DataFrame) -> DataFrame:
+    return listed(districts, run.max_districts, **run.wanted)
+
+
+def found_by(method: str, chosen: DataFrame, pages: DataFrame, phrase: str, settings: SearchSettings, sources: Sources = Sources()) -> DataFrame:
+    """Ranked hits by a run's method: the corpus or a crawl of it, an API's answers, or each site's own search.
+
+    Hybrid methods take the crawler's hits for organisations that have none else. Without a script engine the
+    browser methods find what the plain ones find.
+    """
+
+    def crawler() -> DataFrame:
+        if sources.crawl_depth is None and not sources.crawl:
+            return search_corpus(chosen, pages if "seq" in pages.columns else pages.withColumn("seq", F.col("url")), phrase, settings)
+        return crawl_corpus(chosen, pages.drop("seq"), phrase, settings, sources.crawl_depth, sources.sitemaps, sources.robots)
+
+    if method == "crawler":
+        return crawler()
+    if method in API_METHODS:
+        first = search_by_api(chosen, sources.answers, pages.drop("seq"), phrase, settings) if sources.answers is not None else None
+        label = None
     else:
-        found = crawl_corpus(chosen, numbered.drop("seq"), run.query_text, settings, crawl_depth)
+        first = search_by_profile(chosen, sources.profiles, pages.drop("seq"), phrase, settings) if sources.profiles is not None else None
+        label = FALLBACK_LABEL
+    if method not in FALLBACK_METHODS:
+        return crawler().where("false") if first is None else first
+    rest = crawler()
+    columns = [*chosen.columns, "url", "title", "snippet", "score", "matched_terms", "result_rank", "search_source"]
+    if first is None:
+        return rest.withColumn("search_source", F.lit(label)) if label else rest
+    return with_fallback(stored(first.select(*columns), "first-hits"), rest.select(*columns), "id", label)
+
+
+def results_of(run: Run, districts: DataFrame, pages: DataFrame, settings: SearchSettings = SearchSettings(), sources: Sources = Sources()) -> DataFrame:
+    """The run's ranked hits, found by its method, with a copy of each organisation."""
+    found = found_by(run.search_method, _chosen(run, districts), pages, run.query_text, settings, sources)
+    api = F.col("search_source") == "brave"
     named = found.withColumn("search_run_id", F.lit(run.id)).withColumn("created_at", F.lit(now()))
-    named = named.withColumn("content_type", F.lit("text/html")).withColumn("status_code", F.lit(200))
+    named = named.withColumn("content_type", F.when(api, "search/api").otherwise("text/html")).withColumn("status_code", F.when(~api, 200))
     renamed = {"id": "district_id", "agency_name": "district_name", "enrollment": "total_enrollment_excludes_ae"}
     return conform(named.withColumnsRenamed(renamed), RESULTS)
 
 
-def execute(run: Run, districts: DataFrame, pages: DataFrame, path: str, settings: SearchSettings = SearchSettings(), crawl_depth: int | None = None, crawl: bool = False) -> Run:
-    """Run one job and write its partition; an error is the run's, not the caller's."""
-    if run.cancel_requested or run.status == "cancelled":
-        return replace(run, status="cancelled", finished_at=run.finished_at or now())
+def outcomes(run: Run, districts: DataFrame, results: DataFrame, sources: Sources = Sources()) -> DataFrame:
+    """One row per organisation of a run: district_id, district, stored (its hits), failed, error.
+
+    An organisation fails by itself: under the API method, where its answer is missing or no JSON. The others
+    of the run are searched all the same, and a failed one counts as searched too.
+    """
+    hits = results.where(F.col("search_run_id") == run.id).groupBy(F.col("district_id").alias("id")).agg(F.count("*").alias("stored"))
+    rows = _chosen(run, districts).select("id", F.col("agency_name").alias("district")).join(hits, "id", "left").fillna(0, ["stored"])
+    error = F.lit(None).cast("string")
+    if run.search_method == "brave" and sources.answers is None:
+        error = F.lit("The API gave no answer.")
+    elif run.search_method == "brave":
+        rows = rows.join(sources.answers.groupBy("id").agg(F.max("json").alias("json")), "id", "left")
+        error = F.when(F.col("json").isNull(), "The API gave no answer.").when(F.try_parse_json("json").isNull(), "The API's answer is no JSON.")
+    return rows.select(F.col("id").alias("district_id"), "district", "stored", error.isNotNull().alias("failed"), error.alias("error"))
+
+
+def execute(
+    run: Run,
+    districts: DataFrame,
+    pages: DataFrame,
+    path: str,
+    settings: SearchSettings = SearchSettings(),
+    crawl_depth: int | None = None,
+    crawl: bool = False,
+    sources: Sources | None = None,
+    events: str | None = None,
+    cancelled: Callable[[], bool] = lambda: False,
+) -> Run:
+    """Run one job and write its partition and, at `events`, its log; an error is the run's, not the caller's.
+
+    cancelled is asked before the start and again when the hits are stored.
+    """
+    if run.cancel_requested or run.status == "cancelled" or cancelled():
+        return replace(run, status="cancelled", finished_at=run.finished_at or now(), error_message=run.error_message or "Cancelled before start.")
+    sources = replace(sources or Sources(), **({"crawl_depth": crawl_depth, "crawl": crawl} if crawl or crawl_depth is not None else {}))
     spark = districts.sparkSession
     spark.addTag(_tag(run))
-    run = replace(run, status="running", started_at=now())
+    run = replace(run, status="running", started_at=now(), districts_searched=0, districts_failed=0)
     try:
-        write_run(results_of(run, districts, pages, settings, crawl_depth, crawl), path)
-        searched = min(run.districts_matched, run.max_districts)
-        return replace(run, status="completed", districts_searched=searched, finished_at=now())
+        write_run(results_of(run, districts, pages, settings, sources), path)
+        each = stored(outcomes(run, districts, spark.read.schema(RESULTS).parquet(path), sources), "outcomes")
+        n, failed = each.agg(F.count("*"), F.count_if("failed")).first()
+        state, message = ("cancelled", "Cancelled by user.") if cancelled() else ("completed", None)
+        run = replace(run, status=state, error_message=message, districts_searched=n, districts_failed=failed, finished_at=now())
+        if events:
+            log_run(run, each, events)
+        return run
     except Exception as e:
         state = "cancelled" if "interrupt" in str(e).lower() or "cancelled" in str(e).lower() else "failed"
         return replace(run, status=state, error_message=str(e)[:1000], finished_at=now())
@@ -118,9 +208,27 @@ def execute(run: Run, districts: DataFrame, pages: DataFrame, path: str, setting
         spark.removeTag(_tag(run))
 
 
-def run_search(spark: SparkSession, districts: DataFrame, pages: DataFrame, text: str, path: str, run_id: int = 1, crawl_depth: int | None = None, crawl: bool = False, **options) -> tuple[Run, DataFrame]:
+def log_run(run: Run, each: DataFrame, path: str) -> None:
+    """Append a run's events: its start, one for each organisation, its end."""
+    spark = each.sparkSession
+    fields = F.when(F.col("failed"), F.create_map(F.lit("district"), "district", F.lit("error"), "error")).otherwise(
+        F.create_map(F.lit("district"), "district", F.lit("stored_results"), F.col("stored").cast("string"))
+    )
+    name = F.when(F.col("failed"), "district_error").otherwise("district_results_stored")
+    rows = each.select(F.lit(run.finished_at).alias("ts"), F.lit(run.id).cast("long").alias("run_id"), name.alias("event"), fields.alias("fields"))
+    ends = [
+        (run.started_at, run.id, "run_start", {"query": run.query_text, "method": run.search_method, "districts": str(run.districts_searched)}),
+        (run.finished_at, run.id, "run_finish", {"status": run.status, "searched": str(run.districts_searched), "failed": str(run.districts_failed)}),
+    ]
+    spark.createDataFrame(ends, EVENTS).unionByName(rows).write.mode("append").parquet(path)
+
+
+def run_search(
+    spark: SparkSession, districts: DataFrame, pages: DataFrame, text: str, path: str, run_id: int = 1,
+    crawl_depth: int | None = None, crawl: bool = False, sources: Sources | None = None, events: str | None = None, **options,
+) -> tuple[Run, DataFrame]:
     """Create and execute a run, and read its results."""
-    run = execute(create(districts, run_id, text, **options), districts, pages, path, crawl_depth=crawl_depth, crawl=crawl)
+    run = execute(create(districts, run_id, text, **options), districts, pages, path, crawl_depth=crawl_depth, crawl=crawl, sources=sources, events=events)
     found = spark.read.schema(RESULTS).parquet(path).where(F.col("search_run_id") == run_id)
     return run, found
 

@@ -9,6 +9,7 @@ from pagequarry.operators import discovery as D
 from pagequarry.operators import filters as P
 from pagequarry.operators import ranking as R
 from pagequarry.operators import upsert as W
+from pagequarry.operators.profiles import outcome_counts
 from pagequarry.plans.base import DISTRICTS, LATEST, PROFILES, RESULTS, RUNS, districts, profiles, query, results, runs
 from pagequarry.schemas import NEVER_TESTED
 from pagequarry.sources.tables import table
@@ -42,11 +43,16 @@ def district_browse(spark: SparkSession, d: str) -> DataFrame:
     return R.page_of(rows, order, 2, 100).select("id", "agency_name", "state", "enrollment")
 
 
-def db_statistics(rows: DataFrame) -> DataFrame:
+def db_statistics(rows: DataFrame, *by: str) -> DataFrame:
     some = lambda c: F.count_distinct(F.nullif(F.col(c), F.lit("")))
-    return rows.agg(
-        F.count("*").alias("total"), F.count_if("searchable").alias("searchable"), some("state").alias("states"), some("agency_type").alias("types")
-    ).withColumn("state_label", state_label(F.col("states"), F.lit(False)))
+    counts = rows.groupBy(*by).agg(
+        F.count("*").alias("total"),
+        F.count_if("searchable").alias("searchable"),
+        some("state").alias("states"),
+        some("agency_type").alias("types"),
+        F.coalesce(F.bool_or(F.col("state") == "DC"), F.lit(False)).alias("has_dc"),
+    )
+    return counts.withColumn("state_label", state_label(F.col("states"), F.col("has_dc"))).drop("has_dc")
 
 
 def state_label(states: Column, has_dc: Column) -> Column:
@@ -231,18 +237,6 @@ def run_progress(spark: SparkSession, d: str) -> DataFrame:
     return progress(both.fillna(0, ["searched", "groups"]))
 
 
-def outcome_counts(rows: DataFrame) -> DataFrame:
-    s = F.col("profile_status")
-    known = ("working", "manual_review", "requires_javascript")
-    return rows.agg(
-        F.count("*").alias("processed"),
-        *[F.count_if(s == k).alias(k) for k in known],
-        F.count_if(~s.isin(*known)).alias("failed"),
-        F.count_if(s == "no_search_found").alias("no_search_found"),
-        F.count_if(F.coalesce(F.col("provider_guess"), F.lit("")) == "").alias("unknown_provider"),
-    )
-
-
 @query(
     f"""WITH {PROFILES} SELECT district_id % 10 AS run, count(*) AS processed, count(*) FILTER (profile_status = 'working') AS working,
     count(*) FILTER (profile_status = 'manual_review') AS manual_review, count(*) FILTER (profile_status = 'requires_javascript') AS requires_javascript,
