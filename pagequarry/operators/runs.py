@@ -10,16 +10,17 @@ from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pagequarry.operators.filters import clean_values, listed, matching
 from pagequarry.operators.profiles import search_by_profile
 from pagequarry.operators.search import SearchSettings, crawl_corpus, search_by_api, search_corpus, with_fallback
 from pagequarry.operators.upsert import write_run
-from pagequarry.schemas import EVENTS, RESULTS, SEARCH_METHODS
+from pagequarry.schemas import EVENTS, EXPORT_COLUMNS, RESULTS, SEARCH_METHODS
 from pagequarry.sources.tables import conform, stored
 
 PRICE = 0.005
+API_METHODS = ("brave", "hybrid")
 
 
 def now() -> datetime:
@@ -63,7 +64,12 @@ def create(districts: DataFrame, run_id: int, text: str, *, max_districts: int |
 
 
 def cost(matched: int, cap: int, method: str) -> float:
-    return min(matched, cap) * PRICE if method in ("brave", "hybrid") else 0.0
+    return min(matched, cap) * PRICE if method in API_METHODS else 0.0
+
+
+def cost_of(matched: Column, cap: Column, method: Column) -> Column:
+    """The same for rows."""
+    return F.when(method.isin(*API_METHODS), F.round(F.least(matched, cap) * PRICE, 3)).otherwise(0.0)
 
 
 def cancel(run: Run) -> Run:
@@ -105,7 +111,6 @@ class Sources:
     crawl: bool = False
 
 
-API_METHODS = ("brave", "hybrid")
 FALLBACK_METHODS = ("hybrid", "district_search_hybrid", "district_search_browser_hybrid")
 FALLBACK_LABEL = "district_search+fallback_crawler"
 
@@ -233,14 +238,16 @@ def run_search(
     return run, found
 
 
+def exported(results: DataFrame, runs: DataFrame) -> DataFrame:
+    """The 15 columns of an export for the results of these runs."""
+    named = runs.select(F.col("id").alias("run_id"), F.col("query_text").alias("run_query"))
+    rows = results.join(named, F.col("search_run_id") == F.col("run_id"))
+    return rows.withColumn("enrollment", F.col("total_enrollment_excludes_ae")).select(*EXPORT_COLUMNS)
+
+
 def export(results: DataFrame, runs: DataFrame, run_id: int) -> DataFrame:
-    """The 15 columns of a run's export, by organisation and rank."""
-    one = runs.where(F.col("id") == run_id).select(F.col("id").alias("run_id"), F.col("query_text").alias("run_query"))
-    rows = results.join(one, F.col("search_run_id") == F.col("run_id"))
-    return rows.select(
-        "run_id", "run_query", "district_id", "district_name", "state", "agency_type", F.col("total_enrollment_excludes_ae").alias("enrollment"),
-        "website", "result_rank", "url", "title", "content_type", "score", "snippet", "created_at",
-    ).orderBy("district_name", "result_rank")
+    """A run's export, by organisation and rank."""
+    return exported(results, runs.where(F.col("id") == run_id)).orderBy("district_name", "result_rank")
 
 
 def runs_table(spark: SparkSession, runs: list[Run]) -> DataFrame:

@@ -92,40 +92,34 @@ def _split(columns: str) -> list[str]:
     return [*out, held]
 
 
-@query(
-    """WITH o AS (SELECT user_id % 200 AS k, event_id, value, event_type FROM events WHERE event_id % 5 <> 0),
-    old AS (SELECT k, arg_max(value, event_id) AS value, arg_max(event_type, event_id) AS kind, max(event_id) AS created FROM o WHERE k < 100 GROUP BY k),
-    new AS (SELECT user_id % 200 AS k, arg_max(value, event_id) AS value, arg_max(event_type, event_id) AS kind, max(event_id) AS created
-      FROM events WHERE event_id % 5 = 0 GROUP BY 1)
+#: Events before it are the old snapshot, the others the import.
+_IMPORTED = "2024-01-20 00:00:00"
+_UPSERT = """WITH old AS (SELECT user_id AS k, arg_max(value, event_id) AS value, arg_max(event_type, event_id) AS kind, max(event_id) AS created
+      FROM events WHERE {old} GROUP BY 1),
+    new AS (SELECT user_id AS k, arg_max(value, event_id) AS value, arg_max(event_type, event_id) AS kind, max(event_id) AS created
+      FROM events WHERE NOT ({old}) GROUP BY 1)
     SELECT CAST(coalesce(old.k, new.k) AS VARCHAR) AS k, CASE WHEN new.k IS NULL THEN old.value ELSE new.value END AS value,
     CASE WHEN new.k IS NULL THEN old.kind ELSE new.kind END AS kind, coalesce(old.created, new.created) AS created FROM old FULL JOIN new ON old.k = new.k"""
-)
-def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
+
+
+def _upserted(spark: SparkSession, d: str, before: str) -> DataFrame:
     from pagequarry.operators.ranking import first_per_key
 
     e = table(spark, d, "events").select(
-        (F.col("user_id") % 200).cast("string").alias("k"), "value", F.col("event_type").alias("kind"), F.col("event_id").alias("created"), F.col("event_id").alias("seq")
+        F.col("user_id").cast("string").alias("k"), "value", F.col("event_type").alias("kind"), F.col("event_id").alias("created"), F.col("event_id").alias("seq"), "ts", "event_id"
     )
-    old = first_per_key(e.where("seq % 5 <> 0 AND CAST(k AS INT) < 100"), ["k"], [F.desc("seq")]).drop("seq")
-    return W.upsert(old, e.where("seq % 5 = 0"), "k", "seq")
+    kept = ["k", "value", "kind", "created", "seq"]
+    old = first_per_key(e.where(before).select(*kept), ["k"], [F.desc("seq")]).drop("seq")
+    return W.upsert(old, e.where(f"NOT ({before})").select(*kept), "k", "seq")
 
 
+@query(_UPSERT.format(old=f"ts < TIMESTAMP '{_IMPORTED}'"))
+def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
+    """The later events as an import into the snapshot of the earlier ones, every user its own key."""
+    return _upserted(spark, d, f"ts < TIMESTAMP_NTZ '{_IMPORTED}'")
 
 
-@query(
-    """WITH old AS (SELECT user_id AS k, arg_max(value, event_id) AS value, arg_max(event_type, event_id) AS kind, max(event_id) AS created
-      FROM events WHERE event_id % 5 <> 0 GROUP BY 1),
-    new AS (SELECT user_id AS k, arg_max(value, event_id) AS value, arg_max(event_type, event_id) AS kind, max(event_id) AS created
-      FROM events WHERE event_id % 5 = 0 GROUP BY 1)
-    SELECT CAST(coalesce(old.k, new.k) AS VARCHAR) AS k, CASE WHEN new.k IS NULL THEN old.value ELSE new.value END AS value,
-    CASE WHEN new.k IS NULL THEN old.kind ELSE new.kind END AS kind, coalesce(old.created, new.created) AS created FROM old FULL JOIN new ON old.k = new.k"""
-)
+@query(_UPSERT.format(old="event_id % 5 <> 0"))
 def upsert_users(spark: SparkSession, d: str) -> DataFrame:
-    """As upsert_latest, with every user its own key and each event in the old snapshot or in the import."""
-    from pagequarry.operators.ranking import first_per_key
-
-    e = table(spark, d, "events").select(
-        F.col("user_id").cast("string").alias("k"), "value", F.col("event_type").alias("kind"), F.col("event_id").alias("created"), F.col("event_id").alias("seq")
-    )
-    old = first_per_key(e.where("seq % 5 <> 0"), ["k"], [F.desc("seq")]).drop("seq")
-    return W.upsert(old, e.where("seq % 5 = 0"), "k", "seq")
+    """As upsert_latest, with old and new events mixed in time; each event is on one of the two sides."""
+    return _upserted(spark, d, "event_id % 5 <> 0")

@@ -244,19 +244,20 @@ def dedup_first(spark: SparkSession, d: str) -> DataFrame:
     return R.first_per_key(h, ["district_id", "page_id"], [F.col("seq")]).select("district_id", "page_id", "score", "seq")
 
 
-_FIRST = "SELECT page_id, 'brave' AS search_source, greatest(5.0, 55.0 - page_id % 20)::DOUBLE AS score FROM pages WHERE page_id % 2 = 0"
+_FIRST = "SELECT page_id, 'brave' AS search_source, greatest(5.0, 55.0 - page_id % 20)::DOUBLE AS score FROM pages"
 
 
 @query(
-    f"""WITH {PARSED}, f AS (SELECT page_id, {sql_score(PHRASE)} + 20 AS score FROM b WHERE page_id % 4 = 0),
+    f"""WITH {PARSED}, f AS (SELECT page_id, {sql_score(PHRASE)} + 20 AS score FROM b),
     a AS ({_FIRST}) SELECT a.page_id, CASE WHEN f.score IS NOT NULL THEN 'brave+fetch' ELSE a.search_source END AS search_source,
     coalesce(f.score, a.score) AS score FROM a LEFT JOIN f ON a.page_id = f.page_id AND f.score IS NOT NULL"""
 )
 def overwrite_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Every page as an API hit, replaced where the page itself matches."""
     p = pages(spark, d)
-    api = p.where("page_id % 2 = 0").select("page_id", F.lit("brave").alias("search_source"), S.api_score(F.col("page_id") % 20).alias("score"))
+    api = p.select("page_id", F.lit("brave").alias("search_source"), S.api_score(F.col("page_id") % 20).alias("score"))
     source = F.lit("brave+fetch")
-    fetched = S.hits(p.where("page_id % 4 = 0"), PHRASE).select("page_id", source.alias("search_source"), (F.col("score") + S.bonus(source, F.lit(1))).alias("score"))
+    fetched = S.hits(p, PHRASE).select("page_id", source.alias("search_source"), (F.col("score") + S.bonus(source, F.lit(1))).alias("score"))
     return S.with_confirmed(api, fetched, ["page_id"])
 
 
@@ -273,15 +274,17 @@ def confirm_hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {PARSED}, s AS (SELECT page_id, {sql_core('url')} AS host, {sql_score(PHRASE)} AS score FROM b),
-    one AS (SELECT host, page_id, score, 'district_search+fetch' AS search_source FROM s WHERE score IS NOT NULL AND page_id % 5 = 0)
+    f"""WITH {PARSED}, s AS (SELECT page_id, url, {sql_core('url')} AS host, {sql_score(PHRASE)} AS score FROM b),
+    one AS (SELECT host, page_id, score, 'district_search+fetch' AS search_source FROM s WHERE score IS NOT NULL AND url LIKE 'https:%' AND url LIKE '%=%')
     SELECT * FROM one UNION ALL SELECT host, page_id, score, 'district_search+fallback_crawler' FROM s
     WHERE score IS NOT NULL AND host NOT IN (SELECT host FROM one)"""
 )
 def hybrid_fallback(spark: SparkSession, d: str) -> DataFrame:
-    found = stored(S.hits(pages(spark, d), PHRASE).select(U.core_host(F.col("url")).alias("host"), "page_id", "score"), "hits")
-    first = found.where("page_id % 5 = 0").withColumn("search_source", F.lit("district_search+fetch"))
-    rest = found.withColumn("search_source", F.lit("crawler"))
+    """Pages under https with a query as the hits of each site's own search; all pages for sites without one."""
+    found = stored(S.hits(pages(spark, d), PHRASE).select(U.core_host(F.col("url")).alias("host"), "page_id", "score", "url"), "hits")
+    own = F.col("url").startswith("https:") & (U.query(F.col("url")) != "")
+    first = found.where(own).drop("url").withColumn("search_source", F.lit("district_search+fetch"))
+    rest = found.drop("url").withColumn("search_source", F.lit("crawler"))
     return S.with_fallback(first, rest, "host", "district_search+fallback_crawler")
 
 
@@ -304,17 +307,21 @@ _WALK = f"""WITH RECURSIVE {_GRAPH}, w(host, page_id, depth) AS (SELECT host, pa
 m AS (SELECT host AS key, CAST(page_id AS VARCHAR) AS url, CAST(min(depth) AS INT) AS depth FROM w GROUP BY ALL)"""
 
 
-@query(f"{_WALK.format(2)} SELECT key, url, depth FROM m")
+_WHOLE = f"WITH {_GRAPH} SELECT host AS key, CAST(page_id AS VARCHAR) AS url, CAST((rn + 1) // 3 AS INT) AS depth FROM n WHERE rn <= {{}}"
+
+
+@query(_WHOLE.format(100))
 def bfs_frontier(spark: SparkSession, d: str) -> DataFrame:
+    """A crawl to the page cap: a level visits the next three pages of a host."""
     seeds, edges = _graph(spark, d)
-    return C.crawl(seeds, edges, max_pages=100, depth=2).select("key", "url", "depth")
+    return C.crawl(seeds, stored(edges, "edges"), max_pages=100).select("key", "url", "depth")
 
 
-@query(f"WITH {_GRAPH} SELECT host AS key, CAST(page_id AS VARCHAR) AS url, CAST((rn + 1) // 3 AS INT) AS depth FROM n WHERE rn <= 100")
+@query(_WHOLE.format(500))
 def bfs_whole(spark: SparkSession, d: str) -> DataFrame:
-    """As bfs_frontier, to the page cap: a level visits the next three pages of a host."""
+    """As bfs_frontier, with the largest page cap that a run may have."""
     seeds, edges = _graph(spark, d)
-    return C.crawl(seeds, stored(edges, "edges"), max_pages=100).select("key", "url", "depth")
+    return C.crawl(seeds, stored(edges, "edges"), max_pages=500).select("key", "url", "depth")
 
 
 @query(f"{_WALK.format(1)} SELECT key, url, depth FROM m")

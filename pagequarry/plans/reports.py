@@ -8,6 +8,7 @@ from pagequarry.functions import text as X
 from pagequarry.operators import discovery as D
 from pagequarry.operators import filters as P
 from pagequarry.operators import ranking as R
+from pagequarry.operators import runs as RUN
 from pagequarry.operators import upsert as W
 from pagequarry.operators.profiles import outcome_counts
 from pagequarry.plans.base import DISTRICTS, LATEST, PROFILES, RESULTS, RUNS, districts, profiles, query, results, runs
@@ -75,7 +76,7 @@ def db_stats(spark: SparkSession, d: str) -> DataFrame:
 def filter_options(spark: SparkSession, d: str) -> DataFrame:
     rows = districts(spark, d)
     options = [rows.where(F.col(c) != "").select(F.lit(c).alias("kind"), F.col(c).alias("value")).distinct() for c in ("state", "agency_type")]
-    return options[0].unionByName(options[1]).orderBy("kind", "value")
+    return options[0].unionByName(options[1])
 
 
 @query(f"WITH {PROFILES}, {LATEST} SELECT district_id, id, profile_status, provider_guess FROM l")
@@ -200,14 +201,18 @@ def run_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {RESULTS}, {RUNS} SELECT r.id AS run_id, r.query_text AS run_query, h.district_id, s_name AS district_name, h.result_rank, h.score
-    FROM h JOIN r ON r.id = h.search_run_id JOIN supplier ON s_suppkey = h.district_id WHERE r.status = 'completed'"""
+    f"""WITH {RESULTS}, {RUNS}, {DISTRICTS} SELECT r.id AS run_id, r.query_text AS run_query, d.id AS district_id, d.agency_name AS district_name, d.state, d.agency_type,
+    d.enrollment, d.website, h.result_rank, 'https://www.d' || d.id || '.example.org/p' || h.page_id AS url, 'Page ' || h.page_id AS title, 'text/html' AS content_type,
+    h.score, 'x' AS snippet, r.started_at AS created_at FROM h JOIN r ON r.id = h.search_run_id JOIN d ON d.id = h.district_id WHERE r.status = 'completed'"""
 )
 def run_export(spark: SparkSession, d: str) -> DataFrame:
-    done = runs(spark, d).where("status = 'completed'").select(F.col("id").alias("run_id"), F.col("query_text").alias("run_query"))
-    names = table(spark, d, "supplier").select(F.col("s_suppkey").alias("district_id"), F.col("s_name").alias("district_name"))
-    rows = results(spark, d).join(done, F.col("search_run_id") == F.col("run_id")).join(names, "district_id")
-    return rows.select("run_id", "run_query", "district_id", "district_name", "result_rank", "score").orderBy("district_name", "result_rank", "run_id")
+    """The 15 columns of an export, of all completed runs; the writer of one run's file orders it."""
+    done = runs(spark, d).where("status = 'completed'")
+    named = districts(spark, d).select(F.col("id").alias("district_id"), F.col("agency_name").alias("district_name"), "state", "agency_type", F.col("enrollment").alias("total_enrollment_excludes_ae"), "website")
+    page = F.col("page_id").cast("string")
+    rows = results(spark, d).join(named, "district_id").join(done.select(F.col("id").alias("search_run_id"), F.col("started_at").alias("created_at")), "search_run_id")
+    rows = rows.withColumns({"url": F.concat(F.lit("https://"), "website", F.lit("/p"), page), "title": F.concat(F.lit("Page "), page), "content_type": F.lit("text/html"), "snippet": F.lit("x")})
+    return RUN.exported(rows, done)
 
 
 def progress(rows: DataFrame) -> DataFrame:
@@ -252,8 +257,8 @@ def discovery_counters(spark: SparkSession, d: str) -> DataFrame:
     f"""WITH {RUNS} SELECT id, CASE WHEN query_text LIKE '1%' OR query_text LIKE '2%' THEN round(least(matched, 25) * 0.005, 3) ELSE 0 END::DOUBLE AS cost FROM r"""
 )
 def cost_estimate(spark: SparkSession, d: str) -> DataFrame:
-    paid = F.col("query_text").rlike("^[12]")
-    return runs(spark, d).select("id", F.when(paid, F.round(F.least("matched", F.lit(25)) * 0.005, 3)).otherwise(0.0).alias("cost"))
+    method = F.when(F.col("query_text").rlike("^[12]"), "brave").otherwise("crawler")
+    return runs(spark, d).select("id", RUN.cost_of(F.col("matched"), F.lit(25), method).alias("cost"))
 
 
 @query(
@@ -286,11 +291,12 @@ def json_list(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {PROFILES}, o AS (SELECT * FROM p WHERE id % 3 <> 0), n AS (SELECT district_id, max(id) AS id FROM p WHERE id % 3 = 0 AND district_id % 2 = 0 GROUP BY 1)
+    f"""WITH {PROFILES}, o AS (SELECT * FROM p WHERE profile_status <> 'working'), n AS (SELECT district_id, max(id) AS id FROM p WHERE profile_status = 'working' GROUP BY 1)
     SELECT district_id, id, profile_status FROM o WHERE district_id NOT IN (SELECT district_id FROM n)
     UNION ALL SELECT p.district_id, p.id, p.profile_status FROM p JOIN n ON n.id = p.id"""
 )
 def profile_replace(spark: SparkSession, d: str) -> DataFrame:
+    """The latest working profile of each organisation in place of all that it had before."""
     p = profiles(spark, d).select("district_id", "id", "profile_status")
-    new = R.latest(p.where("id % 3 = 0 AND district_id % 2 = 0"))
-    return W.replace_keyed(p.where("id % 3 <> 0"), new, "district_id")
+    new = R.latest(p.where("profile_status = 'working'"))
+    return W.replace_keyed(p.where("profile_status <> 'working'"), new, "district_id")

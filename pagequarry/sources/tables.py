@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -24,9 +25,11 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a local folder is made only where the session names none."""
+    """spark.checkpoint.dir; a local folder is made only where the session names none and runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="pagequarry-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
