@@ -25,6 +25,12 @@ def integer(c: Column) -> Column:
     return F.when(~F.lower(s).isin(*INVALID_WEBSITES), whole.try_cast("int"))
 
 
+def optional_integer(c: Column) -> Column:
+    """A whole number without its commas, null for anything else."""
+    s = F.regexp_replace(F.trim(F.coalesce(c.cast("string"), F.lit(""))), ",", "")
+    return F.when(s.rlike("^[+-]?[0-9]+$"), s.try_cast("int"))
+
+
 def website(c: Column) -> Column:
     """struct(url, searchable): an absolute URL with a plausible host, or ('', false)."""
     bare = F.trim(F.coalesce(c, F.lit("")))

@@ -150,6 +150,14 @@ def search_url(template: Column, text: Column) -> Column:
     return F.replace(template, F.lit("{query}"), encode_plus(F.trim(text)))
 
 
+def cache_busted(url: Column, stamp: Column, name: str = "_probe") -> Column:
+    """The URL with a parameter that no cache has seen, as the last of its query."""
+    mark = F.concat(F.when(query(url) == "", F.lit("?")).otherwise("&"), F.lit(f"{name}="), stamp.cast("string"))
+    place = F.when(path(url) == "", F.concat(F.regexp_extract(url, "^[^?#]*", 0), F.lit("/"))).otherwise(F.regexp_extract(url, "^[^?#]*", 0))
+    asked = F.when(query(url) == "", "").otherwise(F.concat(F.lit("?"), query(url)))
+    return F.concat(place, asked, mark, F.regexp_extract(url, "#.*$", 0))
+
+
 def site_query(phrase: Column, base: Column) -> Column:
     """The phrase in quotes, unless it begins or ends with one, and the site it is searched on."""
     p = F.trim(phrase)

@@ -59,6 +59,14 @@ def profile_predicate(statuses=None, provider: str | None = None) -> Column:
     return test & (F.col("p_provider_guess") == provider) if provider else test
 
 
+def stored_statuses(c: Column) -> Column:
+    """The known statuses of a stored filter: a JSON list, or one status as older settings have it."""
+    text = F.trim(F.coalesce(c, F.lit("")))
+    one = F.array(F.regexp_replace(text, '^"(.*)"$', "$1"))
+    values = F.when(text.startswith("["), F.coalesce(F.from_json(text, "array<string>"), one)).otherwise(one)
+    return F.filter(values, lambda x: x.isin(*PROFILE_STATUSES, NEVER_TESTED))
+
+
 def profile_filtered(districts: DataFrame, profiles: DataFrame, statuses=None, provider: str | None = None, **wanted) -> DataFrame:
     return with_latest_profile(matching(districts, **wanted), profiles).where(profile_predicate(statuses, provider))
 

@@ -33,6 +33,14 @@ def normalize_int(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", N.integer(F.expr(_NUMBER)).alias("number"))
 
 
+@query(
+    f"""SELECT c_custkey, CASE WHEN regexp_matches(s, '^[+-]?[0-9]+$') THEN try_cast(s AS INT) END AS number
+    FROM (SELECT c_custkey, replace(trim(coalesce({_NUMBER}, '')), ',', '') AS s FROM customer)"""
+)
+def optional_int(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer").select("c_custkey", N.optional_integer(F.expr(_NUMBER)).alias("number"))
+
+
 _SITE = """CASE c_custkey % 11 WHEN 0 THEN '//host.org' WHEN 1 THEN 'HTTP://Host.ORG/' WHEN 2 THEN concat(' "d', c_custkey, '.k12.or.us., " ') WHEN 3 THEN 'localhost'
   WHEN 4 THEN '10.0.0.1' WHEN 5 THEN '†' WHEN 6 THEN 'info@foo.org' WHEN 7 THEN 'N/A' WHEN 8 THEN 'a..b.org' WHEN 9 THEN 'example.org:8080/x?y=1' END"""
 

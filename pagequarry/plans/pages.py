@@ -168,6 +168,14 @@ def search_url(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", U.search_url(template, F.expr(_ASKED)).alias("url"))
 
 
+@query(
+    """SELECT page_id, concat(split_part(url, '#', 1), CASE WHEN contains(split_part(url, '#', 1), '?') THEN '&' ELSE '?' END, '_probe=', page_id,
+    CASE WHEN contains(url, '#') THEN substring(url, strpos(url, '#')) ELSE '' END) AS url FROM pages"""
+)
+def cache_bust(spark: SparkSession, d: str) -> DataFrame:
+    return pages(spark, d).select("page_id", U.cache_busted(F.col("url"), F.col("page_id")).alias("url"))
+
+
 @query(
     f"""SELECT page_id, concat(CASE WHEN page_id % 3 = 0 THEN '"bus routes' ELSE '"bus routes"' END, ' site:', {sql_core('url')}) AS q FROM pages"""
 )

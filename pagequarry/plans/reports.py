@@ -300,3 +300,21 @@ def profile_replace(spark: SparkSession, d: str) -> DataFrame:
     p = profiles(spark, d).select("district_id", "id", "profile_status")
     new = R.latest(p.where("profile_status = 'working'"))
     return W.replace_keyed(p.where("profile_status <> 'working'"), new, "district_id")
+
+
+_KEPT = """CASE user_id % 5 WHEN 0 THEN concat('["', event_type, '","working","__never__"]') WHEN 1 THEN 'manual_review' WHEN 2 THEN '"error"' WHEN 3 THEN concat('[', event_type) ELSE event_type END"""
+
+
+@query(
+    f"""SELECT event_id, CASE user_id % 5 WHEN 0 THEN CASE event_type WHEN 'error' THEN 'error,' ELSE '' END || 'working,__never__' WHEN 1 THEN 'manual_review'
+    WHEN 2 THEN 'error' WHEN 3 THEN '' ELSE CASE event_type WHEN 'error' THEN 'error' ELSE '' END END AS statuses FROM events"""
+)
+def status_filter(spark: SparkSession, d: str) -> DataFrame:
+    """A stored status filter, as a JSON list or one word; what is no status goes."""
+    return table(spark, d, "events").select("event_id", F.array_join(P.stored_statuses(F.expr(_KEPT)), ",").alias("statuses"))
+
+
+@query(f"WITH {DISTRICTS} SELECT id, agency_name, enrollment FROM d WHERE state = 'NATION_3' AND (agency_name ILIKE '%1%' OR agency_id_nces ILIKE '%1%' OR website ILIKE '%1%')")
+def browse_state(spark: SparkSession, d: str) -> DataFrame:
+    rows, _ = P.browse(districts(spark, d), text="1", state="NATION_3")
+    return rows.select("id", "agency_name", "enrollment")
