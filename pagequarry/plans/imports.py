@@ -37,7 +37,7 @@ def normalize_int(spark: SparkSession, d: str) -> DataFrame:
     f"""SELECT c_custkey, CASE WHEN regexp_matches(s, '^[+-]?[0-9]+$') THEN try_cast(s AS INT) END AS number
     FROM (SELECT c_custkey, replace(trim(coalesce({_NUMBER}, '')), ',', '') AS s FROM customer)"""
 )
-def optional_int(spark: SparkSession, d: str) -> DataFrame:
+def int_or_null(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", N.optional_integer(F.expr(_NUMBER)).alias("number"))
 
 
