@@ -180,7 +180,7 @@ def crawl_corpus(
     visited = crawl(seeds, link_graph(pages), settings.max_pages, depth, allowed).join(d, F.col("key") == F.col("id"))
     visited = visited.where(U.same_org(F.col("url"), F.col("website")))
     bodies = fetchable(pages, settings).select(U.canonical(F.col("url")).alias("url"), "html")
-    found = hits(visited.join(bodies, "url"), phrase)
+    found = first_per_key(hits(visited.join(bodies, "url"), phrase), ["id", "url"], [F.desc("score")])
     return best_hits(found, ["id"], settings.max_results).withColumn("search_source", F.lit("crawler"))
 
 
@@ -203,7 +203,7 @@ def search_by_api(districts: DataFrame, answers: DataFrame, pages: DataFrame, ph
         reached = seeds.select("key", "url", F.lit(0).alias("depth"), F.col("place").cast("long").alias("seq")).where(F.col("seq") <= settings.max_pages)
     visited = reached.join(districts, F.col("key") == F.col("id")).join(bodies, "url")
     source = F.when(F.col("depth") == 0, "brave+fetch").otherwise("brave-follow")
-    fetched = hits(visited, phrase).withColumn("search_source", source).withColumn("rank", F.col("seq").cast("int"))
+    fetched = first_per_key(hits(visited, phrase), ["id", "url"], [F.desc("score")]).withColumn("search_source", source).withColumn("rank", F.col("seq").cast("int"))
     fetched = fetched.withColumn("score", F.col("score") + bonus(source, F.col("rank")))
     columns = [*districts.columns, "url", "title", "snippet", "rank", "score", "search_source", "matched_terms"]
     merged = with_confirmed(api.select(*columns), fetched.select(*columns), ["id", "url"])

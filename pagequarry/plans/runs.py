@@ -45,8 +45,9 @@ _RANKED = "row_number() OVER (PARTITION BY host ORDER BY score DESC, {}) AS resu
 @query(
     f"""WITH {_PAGES}, o AS (SELECT host, count(*) FILTER (url LIKE 'https:%') > count(*) / 2 AS answered FROM s GROUP BY 1),
     c AS (SELECT 'crawler' AS method, host, url, score, 'crawler' AS search_source, {_RANKED.format('page_id')} FROM s WHERE score IS NOT NULL),
-    a AS (SELECT 'brave' AS method, host, {sql_canonical('url')} AS url, CASE WHEN score IS NULL THEN greatest(5.0, 55.0 - place) ELSE score + 20 END AS score,
-      CASE WHEN score IS NULL THEN 'brave' ELSE 'brave+fetch' END AS search_source, place FROM s JOIN o USING (host) WHERE answered AND place <= 10),
+    u AS (SELECT host, {sql_canonical('url')} AS url, min(place) AS place, max(score) AS score FROM s GROUP BY ALL),
+    a AS (SELECT 'brave' AS method, host, url, CASE WHEN score IS NULL THEN greatest(5.0, 55.0 - place) ELSE score + 20 END AS score,
+      CASE WHEN score IS NULL THEN 'brave' ELSE 'brave+fetch' END AS search_source, place FROM u JOIN o USING (host) WHERE answered AND place <= 10),
     b2 AS (SELECT method, host, url, score, search_source, {_RANKED.format('place')} FROM a),
     x AS (SELECT * FROM c UNION ALL SELECT * FROM b2 UNION ALL SELECT 'hybrid', host, url, score, search_source, result_rank FROM b2
       UNION ALL SELECT 'hybrid', host, url, score, search_source, result_rank FROM c WHERE host NOT IN (SELECT host FROM b2))
@@ -65,7 +66,8 @@ def run_methods(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_PAGES}, o AS (SELECT host, min(page_id) AS id, count(*) FILTER (url LIKE 'https:%') > count(*) / 2 AS answered, count(*) AS n FROM s GROUP BY 1)
+    f"""WITH {_PAGES}, o AS (SELECT host, min(page_id) AS id, count(*) FILTER (url LIKE 'https:%') > count(*) / 2 AS answered, count(DISTINCT {sql_canonical('url')}) FILTER (place <= 10) AS n
+      FROM s GROUP BY 1)
     SELECT id AS district_id, host AS district, CASE WHEN answered THEN least(n, 5) ELSE 0 END::BIGINT AS stored, NOT answered AS failed,
     CASE WHEN NOT answered THEN 'The API''s answer is no JSON.' END AS error FROM o"""
 )
@@ -79,8 +81,8 @@ def run_outcomes(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- a crawl over links that pages hold
-#: The corpus's links lead nowhere in it. Under one scheme, each page gets links to the next three pages of its host: relative, absolute, and with dots.
-_LINKED = """concat(html, '<p><a href="', coalesce(p1, '#'), '">a</a> <a href=''', coalesce(p2, 'mailto:x'), '''>b</a> <a href=', coalesce(p3, '#'), '>c</a></p>')"""
+#: The corpus's links lead nowhere in it and would take the crawl's page cap. Under one scheme, each page gets links, in their place, to the next three pages of its host: relative, absolute, and with dots.
+_LINKED = """concat(replace(html, 'href=', 'data-to='), '<p><a href="', coalesce(p1, '#'), '">a</a> <a href=''', coalesce(p2, 'mailto:x'), '''>b</a> <a href=', coalesce(p3, '#'), '>c</a></p>')"""
 
 
 def _linked(p: DataFrame) -> DataFrame:
@@ -143,7 +145,7 @@ def api_results(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH s AS (SELECT page_id, {sql_core('url')} AS host, {sql_canonical('url')} AS url FROM pages),
+    f"""WITH s AS (SELECT min(page_id) AS page_id, {sql_core('url')} AS host, {sql_canonical('url')} AS url FROM pages GROUP BY ALL),
     r AS (SELECT host, url, row_number() OVER (PARTITION BY host ORDER BY page_id) AS seq FROM s)
     SELECT 'https://' || host AS base, url, seq::INT AS seq FROM r WHERE seq <= 20"""
 )
