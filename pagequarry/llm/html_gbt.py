@@ -1,7 +1,7 @@
 """Main text of web pages: gradient-boosted trees over DOM nodes, decoded down the tree.
 
-A page is parsed into elements and text runs. Each node has features of its own (tag, tokens of its
-class, id and role, depth), of its subtree (characters, links, density, how much of the page it holds)
+A page is parsed into elements and text runs. Each node has features of its own (tag, learned weights of
+the tokens of its class, id and role, depth), of its subtree (characters, links, density, how much of the page it holds)
 and of its siblings. Boosted trees give the probability that a node belongs to the main text, and a
 dynamic program over the page's tree picks the likeliest labelling in which no node is main text below
 one that is not, so an ancestor and its descendants never contradict each other.
@@ -21,6 +21,7 @@ gives an empty table; other columns are ignored.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -126,24 +127,15 @@ def parse(html: str) -> Parser:
 
 
 # ---------------------------------------------------------------- features
-#: Tokens of class, id and role by what they speak of.
-TOKENS = {
-    "menu": "nav navigation navbar menu menubar breadcrumb breadcrumbs tabs toolbar pagination pager toc",
-    "edge": "header head masthead banner top footer foot bottom copyright legal colophon",
-    "side": "sidebar side aside rail widget widgets related recommended more popular tags share social",
-    "ad": "ad ads advert advertisement adverts sponsor sponsored promo promotion banner affiliate adsense",
-    "notice": "notice cookie cookies consent gdpr alert popup modal overlay newsletter subscribe signup login paywall disclaimer",
-    "comment": "comment comments disqus reply replies respond discussion thread reactions",
-    "main": "article main content post entry body story text page blog single",
-}
-_KINDS = {k: frozenset(v.split()) for k, v in TOKENS.items()}
 TAGS = ("nav", "header", "footer", "aside", "article", "main", "form", "p", "a", "li", "div", "section", "blockquote", "#text", "h", "silent", "ul", "button")
 NAMES = [
     *(f"tag_{t}" for t in TAGS),
     *(f"in_{t}" for t in TAGS[:7]),
     "in_silent",
-    *(f"own_{k}" for k in TOKENS),
-    *(f"up_{k}" for k in TOKENS),
+    "own_low",
+    "own_high",
+    "up_low",
+    "up_high",
     "depth",
     "log_chars",
     "link_share",
@@ -159,23 +151,21 @@ NAMES = [
 _TAG_BIT = {t: 1 << i for i, t in enumerate(TAGS)}
 _TAG_BIT |= {t: _TAG_BIT["silent"] for t in SILENT} | {f"h{i}": _TAG_BIT["h"] for i in range(1, 7)}
 _SILENT_BIT = 1 << 7
-_KIND_BIT: dict[str, int] = {}
-for _i, _words in enumerate(TOKENS.values()):
-    for _w in _words.split():
-        _KIND_BIT[_w] = _KIND_BIT.get(_w, 0) | 1 << _i
 
 
-def features(pages: list[Parser]) -> np.ndarray:
-    """One row per node of all pages, in order."""
-    tag, own, within, kinds, chars, stops, parent, depth, kids, place, same, first = ([] for _ in range(12))
+def features(pages: list[Parser], weights: dict[str, float] | None = None) -> np.ndarray:
+    """One row per node of all pages, in order; weights: what each attribute token says for main text (token_weights)."""
+    weights = token_weights() if weights is None else weights
+    tag, own_low, own_high, within, low, high, chars, stops, parent, depth, kids, place, same, first = ([] for _ in range(14))
     for page in pages:
         base = len(tag)
         seen: dict[tuple[int, str], int] = {}
         for i, (name, tokens, up, text) in enumerate(zip(page.tags, page.tokens, page.parent, page.texts)):
             bit = _TAG_BIT.get(name, 0)
-            kind = 0
-            for t in tokens:
-                kind |= _KIND_BIT.get(t, 0)
+            least = most = 0.0
+            if tokens:
+                said = [weights.get(t, 0.0) for t in tokens]
+                least, most = min(0.0, *said), max(0.0, *said)
             inside = (bit & 127) | (_SILENT_BIT if name in SILENT else 0)
             c = s = d = 0
             if i:
@@ -189,13 +179,16 @@ def features(pages: list[Parser]) -> np.ndarray:
                 if text and not inside & _SILENT_BIT:
                     c = len(text) - text.count(" ") - text.count("\n")
                     s = text.count(".") + text.count(",")
-                kinds.append(kind | kinds[p])
+                low.append(min(least, low[p]))
+                high.append(max(most, high[p]))
             else:
                 p = base
                 place.append(0)
-                kinds.append(kind)
+                low.append(least)
+                high.append(most)
             tag.append(bit)
-            own.append(kind)
+            own_low.append(least)
+            own_high.append(most)
             within.append(inside)
             chars.append(c)
             stops.append(s)
@@ -224,13 +217,17 @@ def features(pages: list[Parser]) -> np.ndarray:
         under[p] += under[i] + 1
     out = np.empty((n, len(NAMES)), np.float32)
     col = 0
-    for bits, width in ((tag, len(TAGS)), (within, 8), (own, len(TOKENS)), (kinds, len(TOKENS))):
+    for bits, width in ((tag, len(TAGS)), (within, 8)):
         out[:, col : col + width] = np.array(bits)[:, None] >> np.arange(width) & 1
         col += width
     chars, linked, paragraph, stops, under, parent, kids = map(np.array, (chars, linked, paragraph, stops, under, parent, kids))
     some = np.maximum(chars, 1)
     siblings = np.maximum(kids[parent], 1)
     for x in (
+        own_low,
+        own_high,
+        low,
+        high,
         depth,
         np.log1p(chars),
         linked / some,
@@ -255,8 +252,8 @@ DEPTH, TREES, RATE, CUTS, LEAST = 4, 60, 0.2, 16, 5.0
 class Boosted:
     """Trees of DEPTH levels as arrays: feature, threshold and leaf values of each."""
 
-    def __init__(self, feature: np.ndarray, threshold: np.ndarray, leaf: np.ndarray, base: float):
-        self.feature, self.threshold, self.leaf, self.base = feature, threshold, leaf, base
+    def __init__(self, feature: np.ndarray, threshold: np.ndarray, leaf: np.ndarray, base: float, weights: dict[str, float] | None = None):
+        self.feature, self.threshold, self.leaf, self.base, self.weights = feature, threshold, leaf, base, weights
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         out = np.full(len(x), self.base)
@@ -310,14 +307,27 @@ def boost(x: np.ndarray, y: np.ndarray) -> Boosted:
 
 
 # ---------------------------------------------------------------- training pages
+#: Pages for the trees and for the weights of tokens, and the seeds of both.
 TRAIN_PAGES, SEED = 260, 20
+TOKEN_PAGES, TOKEN_SEED = 250, 21
+#: Names that the written pages give to parts of each kind. Features know none of them: what a token says is learned.
+CLASSES = {
+    "menu": "nav navigation navbar menu menubar breadcrumb breadcrumbs tabs toolbar pagination pager toc",
+    "edge": "header head masthead banner top footer foot bottom copyright legal colophon",
+    "side": "sidebar side aside rail widget widgets related recommended more popular tags share social",
+    "ad": "ad ads advert advertisement adverts sponsor sponsored promo promotion banner affiliate adsense",
+    "notice": "notice cookie cookies consent gdpr alert popup modal overlay newsletter subscribe signup login paywall disclaimer",
+    "comment": "comment comments disqus reply replies respond discussion thread reactions",
+    "main": "article main content post entry body story text page blog single",
+}
 
 
 class _Writer:
     """Writes random pages; text of the article is between the marks \\x02 and \\x03, which are taken out again."""
 
-    def __init__(self, seed: int):
+    def __init__(self, seed: int, classes: dict[str, str] = CLASSES):
         self.r = np.random.default_rng(seed)
+        self.classes = {k: v.split() for k, v in classes.items()}
 
     def pick(self, xs):
         return xs[int(self.r.integers(len(xs)))]
@@ -338,7 +348,9 @@ class _Writer:
         return f"\x02{s}\x03"
 
     def named(self, kind: str) -> str:
-        word = self.pick(TOKENS[kind].split())
+        if self.chance(0.2):  # a name that says nothing, or none
+            return self.pick(["", f' class="c{self.r.integers(1000)}"', f' class="css box{self.r.integers(20)}"'])
+        word = self.pick(self.classes[kind])
         return self.pick([f' class="{word}"', f' id="{word}"', f' class="x-{word} y"'])
 
     def links(self, n: int) -> str:
@@ -373,6 +385,11 @@ class _Writer:
         inner = self.pick([t, f"<p>{t}</p>", f"<p>{t}</p><p>{self.words(3, 20)}</p>", f"<h3>{self.words(1, 3)}</h3><p>{t}</p>"])
         return f"<{box}{self.named(kind)}>{inner}</{box}>"
 
+    def edge(self, tag: str, inside: str) -> str:
+        if self.chance(0.7):
+            return f"<{tag}>{inside}</{tag}>"
+        return f"<div{self.named('edge')}>{inside}</div>"
+
     def page(self) -> str:
         body = [f"<h1>{self.main(self.words(2, 12))}</h1>"] if self.chance(0.9) else []
         for _ in range(int(self.r.integers(0, 14))):
@@ -388,7 +405,7 @@ class _Writer:
         }[style]
         top = []
         if self.chance(0.5):
-            top.append(f"<header><a href='/'>{self.words(1, 3)}</a><p>{self.words(1, 8)}</p></header>")
+            top.append(self.edge("header", f"<a href='/'>{self.words(1, 3)}</a><p>{self.words(1, 8)}</p>"))
         if self.chance(0.8):
             top.append(f"<nav><ul>{self.links(int(self.r.integers(2, 9)))}</ul></nav>")
         top += [self.boiler() for _ in range(int(self.r.integers(0, 3)))]
@@ -396,17 +413,15 @@ class _Writer:
         if self.chance(0.4):
             end.append(f"<aside><h3>{self.words(1, 3)}</h3><ul>{self.links(4)}</ul><p>{self.words(2, 30)}</p></aside>")
         if self.chance(0.8):
-            end.append(f"<footer>&copy; {self.words(2, 30)}</footer>")
+            end.append(self.edge("footer", f"&copy; {self.words(2, 30)}"))
         whole = "".join([*top, article, *end])
         if self.chance(0.3):
             whole = f"<div class='{self.pick(['wrap', 'container', 'site'])}'>{whole}</div>"
         return f"<html><head><title>{self.words(2, 9)}</title></head><body>{whole}</body></html>"
 
 
-def training_pages(pages: int = TRAIN_PAGES, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the nodes of generated pages. An element is main text if it holds any; a run, if most of it is."""
-    w = _Writer(seed)
-    xs, ys = [], []
+def labelled(w: _Writer, pages: int):
+    """Parsed pages with, for each node, whether it is main text and how much text it has. An element is if it holds any; a run, if most of it is."""
     for _ in range(pages):
         page = parse(w.page())
         n = len(page.tags)
@@ -426,15 +441,47 @@ def training_pages(pages: int = TRAIN_PAGES, seed: int = SEED) -> tuple[np.ndarr
         for i in range(n - 1, 0, -1):
             good[page.parent[i]] += good[i]
             size[page.parent[i]] += size[i]
-        label = (good > 0) & (2 * good >= np.where(run, size, 0))
+        yield page, (good > 0) & (2 * good >= np.where(run, size, 0)), size
+
+
+def learned_weights(w: _Writer, pages: int) -> dict[str, float]:
+    """The log-odds that an element with a token of its class, id or role is main text, over those of all named elements."""
+    counts: dict[str, list[int]] = {}
+    whole = [0, 0]
+    for page, label, size in labelled(w, pages):
+        for tokens, good, n in zip(page.tokens, label.tolist(), size.tolist()):
+            if n:
+                for t in set(tokens):
+                    counts.setdefault(t, [0, 0])[good] += 1
+                    whole[good] += 1
+    base = np.log((whole[1] + 1) / (whole[0] + 1))
+    return {t: float(np.log((yes + 1) / (no + 1)) - base) for t, (no, yes) in counts.items() if yes + no >= LEAST}
+
+
+@lru_cache(maxsize=1)
+def token_weights() -> dict[str, float]:
+    """Learned from pages that the trees are not trained on."""
+    return learned_weights(_Writer(TOKEN_SEED), TOKEN_PAGES)
+
+
+def training_pages(
+    pages: int = TRAIN_PAGES, seed: int = SEED, classes: dict[str, str] = CLASSES, weights: dict[str, float] | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the nodes with text of generated pages."""
+    xs, ys = [], []
+    for page, label, size in labelled(_Writer(seed, classes), pages):
         used = size > 0
-        xs.append(features([page])[used])
+        xs.append(features([page], weights)[used])
         ys.append(label[used].astype(float))
     return np.concatenate(xs), np.concatenate(ys)
 
 
-def train(pages: int = TRAIN_PAGES, seed: int = SEED) -> Boosted:
-    return boost(*training_pages(pages, seed))
+def train(pages: int = TRAIN_PAGES, seed: int = SEED, classes: dict[str, str] = CLASSES) -> Boosted:
+    """Trees and token weights; the weights come from other pages than the trees."""
+    weights = token_weights() if classes is CLASSES else learned_weights(_Writer(TOKEN_SEED, classes), TOKEN_PAGES)
+    model = boost(*training_pages(pages, seed, classes, weights))
+    model.weights = weights
+    return model
 
 
 # ---------------------------------------------------------------- decoding
@@ -496,7 +543,7 @@ def main_texts(htmls: list[str | None], model: Boosted) -> list[str]:
     out: list[str] = []
     for at in range(0, len(htmls), AT_ONCE):
         pages = [parse(h or "") for h in htmls[at : at + AT_ONCE]]
-        margin = model.margin(features(pages))
+        margin = model.margin(features(pages, model.weights))
         ends = np.cumsum([len(p.tags) for p in pages])
         for page, stop in zip(pages, ends):
             out.append(text_of(page, decode(page.parent, margin[stop - len(page.tags) : stop])))
