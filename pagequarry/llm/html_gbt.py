@@ -22,12 +22,12 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
-from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from pagequarry.functions.markup import Tokenizer
 from pagequarry.llm.common import tidy
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,7 +43,7 @@ CLOSES_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot",
 STOP = frozenset("table ul ol dl td th div section article aside body html button".split())
 
 
-class Parser(HTMLParser):
+class Parser(Tokenizer):
     """Nodes in document order as parallel lists: tag, class tokens, parent, text. The root is node 0.
 
     path holds the open elements from the root down, places the levels of path at which each tag is
@@ -52,7 +52,6 @@ class Parser(HTMLParser):
     """
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.tags, self.tokens, self.parent, self.texts = ["#root"], [()], [-1], [""]
         self.path = [0]
         self.places: dict[str, list[int]] = {}
@@ -121,8 +120,7 @@ _TOKEN = re.compile("[a-z0-9]+")
 def parse(html: str) -> Parser:
     """The page's nodes in document order, the root first; a child comes after its parent."""
     p = Parser()
-    p.feed(html)
-    p.close()
+    p.read(html)
     return p
 
 
@@ -147,6 +145,7 @@ NAMES = [
     "place",
     "sibling_chars",
     "sibling_same",
+    "beside",
 ]
 _TAG_BIT = {t: 1 << i for i, t in enumerate(TAGS)}
 _TAG_BIT |= {t: _TAG_BIT["silent"] for t in SILENT} | {f"h{i}": _TAG_BIT["h"] for i in range(1, 7)}
@@ -198,7 +197,8 @@ def features(pages: list[Parser], weights: dict[str, float] | None = None) -> np
             first.append(base)
         same += [seen.get((up, name), 1) for up, name in zip(page.parent, page.tags)]
     n = len(tag)
-    linked, paragraph, under = [0] * n, [0] * n, [0] * n
+    linked, paragraph, under, holds = [0] * n, [0] * n, [0] * n, [False] * n
+    core = _TAG_BIT["article"] | _TAG_BIT["main"]
     a_bit, p_bit = _TAG_BIT["a"], _TAG_BIT["p"]
     for i in range(n - 1, -1, -1):
         p = parent[i]
@@ -206,6 +206,8 @@ def features(pages: list[Parser], weights: dict[str, float] | None = None) -> np
             continue
         c = chars[i]
         if c:
+            if holds[i] or tag[i] & core:
+                holds[i] = holds[p] = True
             if tag[i] & a_bit:
                 linked[i] = c
             elif tag[i] & p_bit:
@@ -222,6 +224,7 @@ def features(pages: list[Parser], weights: dict[str, float] | None = None) -> np
         col += width
     chars, linked, paragraph, stops, under, parent, kids = map(np.array, (chars, linked, paragraph, stops, under, parent, kids))
     some = np.maximum(chars, 1)
+    holds, inner = np.array(holds), np.array(within) & core != 0
     siblings = np.maximum(kids[parent], 1)
     for x in (
         own_low,
@@ -239,6 +242,7 @@ def features(pages: list[Parser], weights: dict[str, float] | None = None) -> np
         np.array(place) / siblings,
         chars / np.maximum(chars[parent], 1),
         np.minimum(same, 50),
+        holds[np.array(first, np.int64)] & ~holds & ~inner,  # the page has an article or main with text, and this lies beside it
     ):
         out[:, col] = x
         col += 1
@@ -308,7 +312,7 @@ def boost(x: np.ndarray, y: np.ndarray) -> Boosted:
 
 # ---------------------------------------------------------------- training pages
 #: Pages for the trees and for the weights of tokens, and the seeds of both.
-TRAIN_PAGES, SEED = 260, 20
+TRAIN_PAGES, SEED = 420, 20
 TOKEN_PAGES, TOKEN_SEED = 250, 21
 #: Names that the written pages give to parts of each kind. Features know none of them: what a token says is learned.
 CLASSES = {
@@ -360,7 +364,9 @@ class _Writer:
         t = self.words(*self.pick([(2, 8), (10, 40), (30, 160)]))
         if self.chance(0.3):
             t = t.replace(" ", f' <{(g := self.pick(["b", "i", "em", "a"]))}>{self.words(1, 2)}</{g}> ', 1)
-        kind = self.pick(["p"] * 8 + ["h2", "h3", "blockquote", "li", "open", "open"])
+        kind = self.pick(["p"] * 8 + ["h2", "h3", "blockquote", "li", "links", "open", "open"])
+        if kind == "links":
+            return "<ul>" + "".join(f'<li><a href="/x">{self.main(self.words(1, 7))}</a></li>' for _ in range(int(self.r.integers(1, 5)))) + "</ul>"
         if kind == "li":
             return f"<ul><li>{self.main(t)}</li><li>{self.main(self.words(2, 9))}</li></ul>"
         if kind == "open":
@@ -395,8 +401,14 @@ class _Writer:
         for _ in range(int(self.r.integers(0, 14))):
             body.append(self.paragraph() if self.chance(0.9) else self.boiler())
         inside = "".join(body)
-        style = self.pick(["article"] * 5 + ["main", "mainarticle", "div", "sectiondiv"])
+        style = self.pick(["article"] * 6 + ["main", "mainarticle", "div", "sectiondiv"] + ["plain"] * 3 + ["nested", "blocks", "blocks", "bare"])
+        if style == "bare":
+            inside = self.pick(["\n", "<br><br>", " "]).join(self.main(self.words(10, 90)) for _ in range(int(self.r.integers(1, 5))))
         article = {
+            "plain": f"<div>{inside}</div>",
+            "nested": f"<div><div>{inside}</div></div>",
+            "blocks": inside,
+            "bare": inside,
             "article": f"<article>{inside}</article>",
             "main": f"<main>{inside}</main>",
             "mainarticle": f"<main><article{self.named('main')}>{inside}</article></main>",
