@@ -1,101 +1,24 @@
-"""Helpers that the corpus operators share: durable tables, word caches, distributed ranks, components."""
+"""Helpers that the corpus operators share: word caches, distributed ranks, components, the library's durable tables."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import ctypes
 import gc
-import re
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
+from pagequarry.sources.tables import bucketed, discard, scope, shared_dir, stored  # noqa: F401
+
 #: Bytes that separate words: [\x20\x09-\x0D].
 SPACE = b" \t\n\x0b\x0c\r"
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 
 
-# ---------------------------------------------------------------- durable tables
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. One is made only where the session names none and runs on one machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="pagequarry-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-#: Tables that are not deleted yet.
-_LIVE: list[tuple[SparkSession, str]] = []
-
-
-def stored(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors.
-
-    The table goes with the `scope` it was made in, else when the driver ends, since the frame that is
-    returned is lazy.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pagequarry/{what}-{uuid.uuid4().hex}"
-    schema = df.schema
-    _LIVE.append((spark, path))
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
-@contextlib.contextmanager
-def scope(keep: list[DataFrame]):
-    """Delete at the end what `stored` has made meanwhile, but for the tables of the frames then in `keep`."""
-    before = len(_LIVE)
-    yield
-    kept = {path for df in keep for path in _folders(df)}
-    for at in _LIVE[before:]:
-        if _name(at[1]) not in kept:
-            _remove(*at)
-            _LIVE.remove(at)
-
-
-def discard(*frames: DataFrame | None) -> None:
-    """Delete the tables that these frames, each straight from `stored`, read."""
-    gone = {path for df in frames if df is not None for path in _folders(df)}
-    for at in list(_LIVE):
-        if _name(at[1]) in gone:
-            _remove(*at)
-            _LIVE.remove(at)
-
-
-def _name(path: str) -> str:
-    return path.rpartition("/")[2]
-
-
-def _folders(df: DataFrame) -> set[str]:
-    return {_name(f.rpartition("/")[0]) for f in df.inputFiles()}
-
-
-@atexit.register
-def _remove_all() -> None:
-    for spark, path in _LIVE:
-        _remove(spark, path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session is gone already
-        pass
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that df has not."""
     taken = {c.lower() for c in df.columns}

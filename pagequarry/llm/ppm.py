@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
-from pagequarry.llm.common import discard, scope, segments, starts_of, stored, tidy
+from pagequarry.llm.common import bucketed, scope, segments, starts_of, stored, tidy
 
 #: Symbols are bytes and the border of a text, its start and its end; a symbol takes BITS bits of a gram's code.
 BORDER, SYMBOLS, BITS = 256, 257, 9
@@ -57,26 +57,17 @@ def gram_codes(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     begins = starts_of(lengths)
     # each text with `order` borders before it and one after it
-    wide = np.full(int(begins[-1]) + order * len(texts), BORDER, np.int64)
-    own = np.repeat(np.arange(1, len(texts) + 1) * order, lengths) + np.arange(begins[-1])
-    is_byte = np.ones(len(own), bool)
-    is_byte[begins[1:] - 1] = False
-    wide[own[is_byte]] = np.frombuffer(b"".join(texts), np.uint8)
-    codes = wide[own]
+    own = np.ones(int(begins[-1]) + order * len(texts), bool)
+    for k in range(order):
+        own[begins[:-1] + np.arange(len(texts)) * order + k] = False
+    is_byte = own.copy()
+    is_byte[begins[1:] + np.arange(1, len(texts) + 1) * order - 1] = False
+    wide = np.full(len(own) + order, BORDER, np.int64)
+    wide[order:][is_byte] = np.frombuffer(b"".join(texts), np.uint8)
+    codes = wide[order:].copy()
     for k in range(1, order + 1):
-        codes |= wide[own - k] << (BITS * k)
-    return codes, begins
-
-
-def _parts(texts: pa.Array):
-    """Ranges of texts of about PART bytes."""
-    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < len(texts):
-        base = int(ends[at - 1]) if at else 0
-        end = max(at + 1, int(np.searchsorted(ends, base + PART, side="right")))
-        yield at, end
-        at = end
+        codes |= wide[order - k : len(wide) - k] << (BITS * k)
+    return codes[own], begins
 
 
 def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -88,90 +79,91 @@ def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def _dealt(batches):
-    """Rows with the number of their segment: the task's, and the segment's place in the task."""
+    """Parts of the rows, each one compressed value with the number of its segment: the task's, and the segment's place in the task."""
     from pyspark import TaskContext
 
     task = TaskContext.get().partitionId()
-    for k, b in enumerate(segments(batches, 2, SEGMENT)):
-        seg = pa.array(np.full(b.num_rows, task << 24 | k, np.int64))
-        yield pa.RecordBatch.from_arrays([seg, *b.columns], names=["seg", *b.schema.names])
+    used = seg = 0
+    for b in segments(batches, 2, PART):
+        yield pa.RecordBatch.from_arrays([pa.array([task << 24 | seg], pa.int64()), pa.array([_folded(b)], pa.binary())], names=["seg", "part"])
+        used += b.column(2).nbytes
+        if used >= SEGMENT:
+            used, seg = 0, seg + 1
+
+
+def _folded(b: pa.RecordBatch) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(b)
+    return out.getvalue().to_pybytes()
+
+
+def _unfolded(part: bytes) -> pa.Table:
+    """doc_id, held_out, text of a part."""
+    table = pa.ipc.open_stream(part).read_all()
+    return table.set_column(2, "text", table["text"].cast(pa.large_string())).combine_chunks()
 
 
 def dealt(docs: DataFrame) -> DataFrame:
-    """seg, doc_id, text, held_out of each document, stored. No segment holds much more than SEGMENT bytes of text, or one text."""
+    """seg, part of all documents, stored. No segment holds much more than SEGMENT bytes of text, or one text."""
     named = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.crc32(named) % HELD_OUT == 0).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    return stored(narrow.mapInArrow(tidy(_dealt), "seg long, doc_id long, held_out boolean, text string"), "segments")
+    return stored(narrow.mapInArrow(tidy(_dealt), "seg long, part binary"), "segments")
 
 
 def _asked(order: int):
     """seg, gram or word, n: what each segment holds, and how often its training documents do."""
 
     def run(batches):
-        held: dict[int, _Counts] = {}
+        held, at = _Counts(), None
         for b in batches:
-            for seg, part in _by_segment(b):
-                if seg not in held:
-                    for done, counts in held.items():
-                        yield from counts.batches(done)
-                    held = {seg: _Counts()}
-                texts, trains = part.column(3), ~part.column(2).to_numpy(zero_copy_only=False)
-                for at, end in _parts(texts):
-                    some = texts.slice(at, end - at)
-                    held[seg].add(some, trains[at:end], order)
-        for seg, counts in held.items():
-            yield from counts.batches(seg)
+            for seg, part in zip(b.column(0).to_pylist(), b.column(1)):
+                if at is not None and seg != at:
+                    yield from held.batches(at)
+                    held = _Counts()
+                at = seg
+                docs = _unfolded(part.as_buffer())
+                held.add(docs["text"].chunk(0) if docs.num_rows else pa.array([], pa.large_string()), ~docs["held_out"].to_numpy(), order)
+        if at is not None:
+            yield from held.batches(at)
 
     return tidy(run)
 
 
-def _by_segment(b: pa.RecordBatch):
-    """Runs of rows of one segment."""
-    seg = b.column(0).to_numpy(zero_copy_only=False)
-    edges = [0, *(np.flatnonzero(np.diff(seg)) + 1).tolist(), len(seg)]
-    for low, high in zip(edges, edges[1:]):
-        if high > low:
-            yield int(seg[low]), b.slice(low, high - low)
-
-
 class _Counts:
-    """Distinct grams and words of one segment with their training counts."""
+    """Distinct grams and words of one segment with their training counts: of each part first, then of all parts."""
 
     def __init__(self):
-        self.grams, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.words = pa.table({"word": pa.array([], pa.large_string()), "n": pa.array([], pa.int64())})
+        self.grams: list[pa.Table] = []
+        self.words: list[pa.Table] = []
 
     def add(self, texts: pa.Array, trains: np.ndarray, order: int) -> None:
-        codes, begins = gram_codes(texts.cast(pa.binary()).to_pylist(), order)
-        coded = pa.array(codes).dictionary_encode()
-        weight = np.repeat(trains, np.diff(begins)).astype(np.int64)
-        n = np.bincount(coded.indices.to_numpy(), weight, len(coded.dictionary)).astype(np.int64)
-        self.grams, self.n = _merged(self.grams, self.n, coded.dictionary.to_numpy(), n)
+        codes, begins = gram_codes(texts.cast(pa.large_binary()).to_pylist(), order)
+        self.grams.append(_counted(pa.array(codes), np.repeat(trains, np.diff(begins))))
         words, cuts = _words(texts)
-        each = pa.table({"word": words.cast(pa.large_string()), "n": pa.array(np.repeat(trains, np.diff(cuts)).astype(np.int64))})
-        both = pa.concat_tables([self.words, each]).group_by("word").aggregate([("n", "sum")])
-        self.words = both.select(["word", "n_sum"]).rename_columns(["word", "n"])
+        self.words.append(_counted(words.cast(pa.large_string()), np.repeat(trains, np.diff(cuts))))
 
     def batches(self, seg: int):
-        names = ["seg", "gram", "word", "n"]
-        for at in range(0, len(self.grams), 1 << 17):
-            g, n = self.grams[at : at + (1 << 17)], self.n[at : at + (1 << 17)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), seg)), pa.array(g), pa.nulls(len(g), pa.string()), pa.array(n)], names=names)
-        for b in self.words.to_batches(max_chunksize=1 << 17):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, seg)), pa.nulls(b.num_rows, pa.int64()), b.column(0).cast(pa.string()), b.column(1)], names=names)
-
-
-def _merged(keys: np.ndarray, n: np.ndarray, more: np.ndarray, more_n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums by key, keys ascending; keys are so already."""
-    order = np.argsort(more)
-    more, more_n = more[order], more_n[order]
-    at = np.searchsorted(keys, more)
-    known = np.zeros(len(more), bool)
-    inside = at < len(keys)
-    known[inside] = keys[at[inside]] == more[inside]
-    n = n.copy()
-    n[at[known]] += more_n[known]
-    return np.insert(keys, at[~known], more[~known]), np.insert(n, at[~known], more_n[~known])
+        grams, words = _summed(self.grams).sort_by("key"), _summed(self.words)
+        for keys, columns in ((grams, lambda t: (t["key"], pa.nulls(len(t), pa.string()))), (words, lambda t: (pa.nulls(len(t), pa.int64()), t["key"].cast(pa.string())))):
+            for at in range(0, len(keys), 1 << 17):
+                some = keys.slice(at, 1 << 17).combine_chunks()
+                table = pa.table([pa.array(np.full(len(some), seg)), *columns(some), some["n"]], names=["seg", "gram", "word", "n"])
+                yield from table.combine_chunks().to_batches()
+
+
+def _counted(keys: pa.Array, trains: np.ndarray) -> pa.Table:
+    coded = keys.dictionary_encode()
+    index = coded.indices.to_numpy()
+    n = np.bincount(index if trains.all() else index[trains], minlength=len(coded.dictionary))
+    return pa.table({"key": coded.dictionary, "n": pa.array(n.astype(np.int64))})
+
+
+def _summed(parts: list[pa.Table]) -> pa.Table:
+    if len(parts) == 1:
+        return parts[0]
+    sums = pa.concat_tables(parts).group_by("key").aggregate([("n", "sum")])
+    return sums.select(["key", "n_sum"]).rename_columns(["key", "n"])
 
 
 # ---------------------------------------------------------------- the trie
@@ -220,25 +212,25 @@ def _level(level: DataFrame, above: DataFrame | None, order: int) -> DataFrame:
 def _scored(order: int, floor: float, share: float, end_count: int):
     """Per document of a segment: tokens, known ones, base score and score, from the segment's answers."""
 
-    def run(key, texts: pa.Table, answers: pa.Table) -> pa.Table:
+    def run(key, parts: pa.Table, answers: pa.Table) -> pa.Table:
         grams = answers.filter(pc.is_valid(answers["gram"]))
         codes = grams["gram"].to_numpy()
         by = np.argsort(codes)
         codes, costs = codes[by], grams["value"].to_numpy()[by]
         words = answers.filter(pc.is_valid(answers["word"]))
-        known, counts = words["word"].combine_chunks(), words["value"].to_numpy()
-        column = texts["text"].combine_chunks()
-        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-        sums = [_document_sums(column.slice(a, b - a), order, codes, costs, known, counts, floor, share, end_count) for a, b in _parts(column)]
-        n_tokens, n_known, base, score = map(np.concatenate, zip(*sums))
-        out = {"doc_id": texts["doc_id"], "held_out": texts["held_out"], "n_tokens": n_tokens, "n_known": n_known, "base_score": base, "score": score}
-        return pa.table(out)
+        known, counts = words["word"].cast(pa.large_string()).combine_chunks(), words["value"].to_numpy()
+        out = []
+        for part in parts["part"]:
+            docs = _unfolded(part.as_buffer())
+            n_tokens, n_known, base, score = _document_sums(docs["text"].chunk(0), order, codes, costs, known, counts, floor, share, end_count)
+            out.append(pa.table({"doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": n_tokens, "n_known": n_known, "base_score": base, "score": score}))
+        return pa.concat_tables(out)
 
     return run
 
 
 def _document_sums(texts: pa.Array, order, codes, costs, known, counts, floor, share, end_count):
-    grams, begins = gram_codes(texts.cast(pa.binary()).to_pylist(), order)
+    grams, begins = gram_codes(texts.cast(pa.large_binary()).to_pylist(), order)
     coded = pa.array(grams).dictionary_encode()
     cost = costs[np.searchsorted(codes, coded.dictionary.to_numpy())][coded.indices.to_numpy()]
     score = np.add.reduceat(cost, begins[:-1])  # no text is without its end symbol
@@ -264,18 +256,22 @@ def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     keep: list[DataFrame] = []
     with scope(keep):
         texts = dealt(docs)
-        asked = stored(texts.mapInArrow(_asked(order), "seg long, gram long, word string, n long"), "asked")
-        words = asked.where("word is not null").groupBy("word").agg(F.sum("n").alias("c"))
-        words = stored(words, "words")
+        spark = docs.sparkSession
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        asked = texts.mapInArrow(_asked(order), "seg long, gram long, word string, n long")
+        asked = asked.withColumn("key", F.coalesce("gram", F.xxhash64("word"))).repartition(buckets, "key")
+        asked = bucketed(asked, "asked", "key", buckets)  # counted and answered without another shuffle
+        words = stored(asked.where("word is not null").groupBy("key", "word").agg(F.sum("n").alias("c")), "words")
         n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-        ends = texts.where(~F.col("held_out")).count()
+        grams = asked.where("gram is not null").groupBy(F.col("key").alias("gram")).agg(F.sum("n").alias("n"))
+        costs = trie(grams, order)
+        ends = asked.where(F.col("gram").bitwiseAND(F.lit((1 << BITS) - 1)) == BORDER).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         n, v = n + ends, v + (ends > 0)
-        costs = trie(asked.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")), order)
-        grams = asked.where("gram is not null").select("seg", "gram").join(costs, "gram")
-        grams = grams.select("seg", "gram", F.lit(None).cast("string").alias("word"), F.col("cost").alias("value"))
-        named = asked.where("word is not null").select("seg", "word").join(words, "word")
+        answered = asked.where("gram is not null").select("seg", "key").join(costs.withColumnRenamed("gram", "key"), "key")
+        answered = answered.select("seg", F.col("key").alias("gram"), F.lit(None).cast("string").alias("word"), F.col("cost").alias("value"))
+        named = asked.where("word is not null").select("seg", "key", "word").join(words, ["key", "word"])
         named = named.select("seg", F.lit(None).cast("long").alias("gram"), "word", F.col("c").cast("double").alias("value"))
-        answers = grams.unionByName(named)
+        answers = answered.unionByName(named)
         share = -math.log10(n + ALPHA * (v + 1))
         out = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
         both = texts.groupBy("seg").cogroup(answers.groupBy("seg"))
