@@ -259,15 +259,15 @@ def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
         spark = docs.sparkSession
         buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         asked = texts.mapInArrow(_asked(order), "seg long, gram long, word string, n long")
-        asked = asked.withColumn("key", F.coalesce("gram", F.xxhash64("word"))).repartition(buckets, "key")
+        asked = asked.select("seg", F.coalesce("gram", F.xxhash64("word")).alias("key"), "word", "n").repartition(buckets, "key")
         asked = bucketed(asked, "asked", "key", buckets)  # counted and answered without another shuffle
         words = stored(asked.where("word is not null").groupBy("key", "word").agg(F.sum("n").alias("c")), "words")
         n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-        grams = asked.where("gram is not null").groupBy(F.col("key").alias("gram")).agg(F.sum("n").alias("n"))
+        grams = asked.where("word is null").groupBy(F.col("key").alias("gram")).agg(F.sum("n").alias("n"))
         costs = trie(grams, order)
-        ends = asked.where(F.col("gram").bitwiseAND(F.lit((1 << BITS) - 1)) == BORDER).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        ends = asked.where(F.col("word").isNull() & (F.col("key").bitwiseAND(F.lit((1 << BITS) - 1)) == BORDER)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         n, v = n + ends, v + (ends > 0)
-        answered = asked.where("gram is not null").select("seg", "key").join(costs.withColumnRenamed("gram", "key"), "key")
+        answered = asked.where("word is null").select("seg", "key").join(costs.withColumnRenamed("gram", "key"), "key")
         answered = answered.select("seg", F.col("key").alias("gram"), F.lit(None).cast("string").alias("word"), F.col("cost").alias("value"))
         named = asked.where("word is not null").select("seg", "key", "word").join(words, ["key", "word"])
         named = named.select("seg", F.lit(None).cast("long").alias("gram"), "word", F.col("c").cast("double").alias("value"))
