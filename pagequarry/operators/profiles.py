@@ -6,7 +6,7 @@ is a 404. pages: url, html and, if they have them, status_code and final_url (wh
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pagequarry.functions import html as H
 from pagequarry.functions import text as X
@@ -14,35 +14,67 @@ from pagequarry.functions import urls as U
 from pagequarry.operators import discovery as D
 from pagequarry.operators.filters import best_profile, usable_profiles
 from pagequarry.operators.ranking import first_per_key, numbered, until
-from pagequarry.operators.search import SearchSettings, best_hits, bonus, hits
+from pagequarry.operators.search import ASKED, Corpus, Found, SearchSettings, best_hits, bonus
 from pagequarry.schemas import PROFILE_TESTS, PROFILES
 from pagequarry.sources.crawl_rules import can_fetch
 from pagequarry.sources.tables import conform, stored
 
 #: Links of a search page that are confirmed; a candidate this sure ends a site's tests.
 CONFIRMED_LINKS, SURE = 5, 80
+#: Candidates of a site that are tested before it is looked at whether one of them is sure.
+FIRST_TESTS = 3
+#: Links that are read of a search page under test.
+TESTED_LINKS = 10
 
 
-def _corpus(pages: DataFrame) -> DataFrame:
-    status = F.col("status_code") if "status_code" in pages.columns else F.lit(200)
-    final = F.coalesce("final_url", "url") if "final_url" in pages.columns else F.col("url")
-    return pages.select(U.canonical(F.col("url")).alias("at"), F.col("html"), status.alias("status"), final.alias("final"))
+#: The parameter by which a homepage is asked for past a cache.
+PROBE = "_probe"
 
 
-def homepages(districts: DataFrame, pages: DataFrame) -> DataFrame:
-    """key, base, html, status, provider, challenge, tiny of each organisation with a website; html is null if there is no page."""
-    base = U.prefer_https(F.col("website"))
-    d = districts.where(U.core_host(F.col("website")) != "").select(F.col("id").alias("key"), base.alias("base"))
-    both = d.join(_corpus(pages), U.canonical(F.col("base")) == F.col("at"), "left")
-    html = F.coalesce("html", F.lit(""))
+def homepages(districts: DataFrame, pages: DataFrame | Corpus) -> DataFrame:
+    """key, start, base, html, status, provider, challenge, tiny of each organisation with a website; html is null if no page came.
+
+    A homepage that fails is asked for once more (attempt 2). One too small to be the site is asked for again, and
+    then past caches, by a URL with a parameter PROBE; such an answer counts if it is no challenge, and larger or not
+    too small. base is where the homepage led, in the same organisation, else the website itself.
+    """
+    corpus = Corpus.of(pages)
+    start = U.prefer_https(F.col("website"))
+    d = districts.where(U.core_host(F.col("website")) != "").select(F.col("id").alias("key"), start.alias("start")).withColumn("asked", U.canonical(F.col("start")))
+    d = stored(d, "websites")
+    probe = U.query(F.col("url")).rlike(rf"(^|&){PROBE}=[^&]*$")
+    at = F.when(probe, U.canonical(F.regexp_replace("url", rf"[?&]{PROBE}=[^&]*$", ""))).otherwise(F.col("at"))
+    every = corpus.every.select(at.alias("at"), "html", F.col("status_code").alias("status"), "final_url", "error", F.when(probe, 3).otherwise(F.col("attempt")).alias("attempt"))
+    few = F.broadcast(d) if d.count() <= ASKED else d
+    page = F.coalesce("html", F.lit(""))
+    told = every.where("attempt <= 3").join(few, F.col("at") == F.col("asked")).select("key", "attempt", F.struct(
+        "html", "status", F.col("final_url").alias("final"), D.provider(page, F.col("final_url")).alias("provider"),
+        D.is_challenge(F.col("status"), page, F.col("final_url")).alias("challenge"), D.is_tiny(page, F.col("final_url")).alias("tiny"),
+        (F.col("error").isNull() & F.col("html").isNotNull() & (F.col("status") < 400)).alias("ok"), F.octet_length(page).alias("size"),
+    ).alias("p"))
+    tries = told.groupBy("key").agg(*[F.max(F.when(F.col("attempt") == k, F.col("p"))).alias(f"p{k}") for k in (1, 2, 3)])
+
+    def better(now: Column, then: Column) -> Column:
+        """then in place of now, if now is too small and then is not, or is larger."""
+        take = now["tiny"] & then.isNotNull() & ~then["challenge"] & then["html"].isNotNull() & (~then["tiny"] | (then["size"] > now["size"]))
+        return F.when(F.coalesce(take, F.lit(False)), then).otherwise(now)
+
+    good = lambda p: F.coalesce(p["ok"] | p["challenge"], F.lit(False))
+    first = X.held(tries, ["key", "p2", "p3"], p=F.when(good(F.col("p1")), F.col("p1")).when(good(F.col("p2")), F.col("p2")))
+    second = X.held(first, ["key", "p3"], p=better(F.col("p"), F.col("p2")))
+    last = X.held(second, ["key"], p=better(F.col("p"), F.col("p3")))
+    both = d.join(last, "key", "left")
+    base = F.when(U.same_org(F.col("p.final"), F.col("start")), F.col("p.final")).otherwise(F.col("start"))
+    empty = F.lit("")
     return both.select(
         "key",
-        "base",
-        "html",
-        "status",
-        D.provider(html, F.col("base")).alias("provider"),
-        D.is_challenge(F.col("status"), html, F.col("base")).alias("challenge"),
-        D.is_tiny(html, F.col("base")).alias("tiny"),
+        "start",
+        F.coalesce(base, "start").alias("base"),
+        "p.html",
+        "p.status",
+        F.coalesce("p.provider", D.provider(empty, F.col("start"))).alias("provider"),
+        F.coalesce("p.challenge", F.lit(False)).alias("challenge"),
+        F.coalesce("p.tiny", D.is_tiny(empty, F.col("start"))).alias("tiny"),
     )
 
 
@@ -53,7 +85,11 @@ _CANDIDATE = ["key", "base", "provider", "phase", "seq", "profile_type", "search
 SEARCH_PAGES = 3
 
 
-def _found_on(site: DataFrame, phase: int) -> DataFrame:
+def _links_on(site: DataFrame) -> DataFrame:
+    return stored(D.link_candidates(site.dropDuplicates(["base", "url"]).select("base", "url", "html")), "links")
+
+
+def _found_on(site: DataFrame, phase: int, links: DataFrame) -> DataFrame:
     """Candidates on the pages of site (key, base, provider, page, url, html): platform, forms, links of each page, in this order."""
     config = D.platform_config(F.col("html"))
     platform = site.where(config.isNotNull()).select(
@@ -62,7 +98,7 @@ def _found_on(site: DataFrame, phase: int) -> DataFrame:
     )
     one = site.dropDuplicates(["base", "url"]).select("base", "url", "html")
     forms = D.form_candidates(one).select("base", "page_url", F.lit(phase + 1).alias("phase"), "seq", "profile_type", "search_method", "query_param", "search_url_template", "score_hint")
-    links = stored(D.link_candidates(one), "links").where("profile_type = 'url_template'")
+    links = links.where("profile_type = 'url_template'")
     key_value = F.concat(F.lit("([?&])"), F.col("query_param"), F.lit("=[^&]*"))
     template = F.regexp_replace(F.col("url"), key_value, F.concat(F.lit("$1"), F.col("query_param"), F.lit("={query}")))
     links = links.select("base", "page_url", F.lit(phase + 2).alias("phase"), "seq", "profile_type", F.lit("GET").alias("search_method"), "query_param", template.alias("search_url_template"), "score_hint")
@@ -71,16 +107,18 @@ def _found_on(site: DataFrame, phase: int) -> DataFrame:
     return platform.select(*_CANDIDATE, "page").unionByName(by_page)
 
 
-def search_pages(site: DataFrame, pages: DataFrame) -> DataFrame:
-    """The first three pages that each homepage links as its search, where they can be had: as site, page is the place of the link."""
-    one = site.dropDuplicates(["base"]).select("base", "url", "html")
-    linked = stored(D.link_candidates(one), "links").where("profile_type = 'search_page_link'").select("base", "url", "seq")
-    ranked = numbered(linked, ["base"], [F.col("seq")], "page").where(F.col("page") <= SEARCH_PAGES).drop("seq")
-    there = ranked.join(_corpus(pages).where("status < 400"), F.col("url") == F.col("at")).select("base", "page", "url", "html")
-    return there.join(site.select("key", "base", "provider").distinct(), "base")
+def search_pages(site: DataFrame, pages: DataFrame | Corpus, links: DataFrame, robots: DataFrame | None = None) -> DataFrame:
+    """The first three pages that each homepage links as its search, where they can be had: as site, page is the place of the link.
+
+    links: what link_candidates gives for the homepages.
+    """
+    linked = links.where("profile_type = 'search_page_link'").select("base", F.col("url").alias("linked"), "seq")
+    ranked = _permitted(numbered(linked, ["base"], [F.col("seq")], "page").where(F.col("page") <= SEARCH_PAGES).drop("seq"), "linked", robots)
+    there = Corpus.of(pages).answering(stored(ranked, "search-links"), "linked").where("error IS NULL AND status_code < 400 AND html IS NOT NULL")
+    return there.select("base", "page", F.col("linked").alias("url"), "html").join(site.select("key", "base", "provider").distinct(), "base")
 
 
-def candidates(homes: DataFrame, pages: DataFrame) -> DataFrame:
+def candidates(homes: DataFrame, pages: DataFrame | Corpus, robots: DataFrame | None = None) -> DataFrame:
     """Candidates of each homepage, GET, each once, ten at most: its own, those of the search pages it links, common templates.
 
     The candidates of a page are its platform, forms and links, in this order.
@@ -92,43 +130,59 @@ def candidates(homes: DataFrame, pages: DataFrame) -> DataFrame:
         "base", F.lit(6).alias("phase"), "seq", F.lit("url_template").alias("profile_type"), F.lit("GET").alias("search_method"), "query_param", "search_url_template", F.lit(0).alias("score_hint")
     )
     common = common.join(names, "base").select(*_CANDIDATE, F.lit(0).alias("page"))
-    every = _found_on(site, 0).unionByName(_found_on(stored(search_pages(site, pages), "search-pages"), 3)).unionByName(common)
+    links = _links_on(site)
+    nested = stored(search_pages(site, pages, links, robots), "search-pages")
+    every = _found_on(site, 0, links).unionByName(_found_on(nested, 3, _links_on(nested))).unionByName(common)
     last = F.when(F.col("phase") == 6, 1).otherwise(0)
     ordered = numbered(every, ["key"], [last, F.col("page"), F.col("phase"), F.col("seq")], "place_all").drop("seq", "page").withColumnRenamed("place_all", "seq")
     return stored(D.unique_candidates(ordered, 10), "candidates")
 
 
-def tested(cands: DataFrame, pages: DataFrame, query: str, robots: DataFrame | None = None) -> DataFrame:
-    """Each candidate with the page its URL leads to, its links, how many of them confirm, confidence and status.
+def tested(cands: DataFrame, pages: DataFrame | Corpus, query: str, robots: DataFrame | None = None) -> DataFrame:
+    """Each candidate with the answer that its URL gets, its links, how many of them confirm, confidence and status.
 
-    What robots (host, status_code, body) deny is not opened.
+    A platform's candidate is answered in JSON, any other by a page. What robots (host, status_code, body) deny is not
+    opened.
     """
-    corpus = _corpus(pages)
+    corpus = Corpus.of(pages)
     asked = cands.withColumn("attempted_url", U.search_url(F.col("search_url_template"), F.lit(query))).withColumn("blocked", F.lit(False))
     if robots is not None:
         may = can_fetch(asked.select(F.col("attempted_url").alias("url")).distinct(), robots).select(F.col("url").alias("attempted_url"), F.lit(True).alias("may"))
         asked = asked.drop("blocked").join(stored(may, "allowed"), "attempted_url", "left")
         asked = asked.select(*[c for c in asked.columns if c != "may"], F.col("may").isNull().alias("blocked"))
     opened = F.when(~F.col("blocked"), U.canonical(F.col("attempted_url")))
-    answer = asked.join(corpus, opened == F.col("at"), "left").drop("at")
+    asked = stored(asked.withColumns({"opened": opened, "searched": F.col("attempted_url"), "json": F.col("profile_type") == "known_platform"}), "asked")
+    own = ["key", "place"]
+    answer = corpus.answering(asked.select(*own, "opened", "base", "provider", "searched", "json"), "opened")
     page = F.coalesce("html", F.lit(""))
-    shown = F.when(F.col("html").isNotNull(), D.result_links(page, F.col("attempted_url"), F.col("base"), F.col("attempted_url"), F.lit(10)))
     head = F.concat_ws(" ", H.title(page), F.array_join(H.headings(page), " "))
+    links = F.when(~F.col("json"), D.result_links(page, F.col("final_url"), F.col("base"), F.col("searched"), F.lit(TESTED_LINKS)))
     answer = answer.select(
-        *[c for c in answer.columns if c not in ("html", "status", "final")],
-        F.coalesce(D.is_homepage_redirect(F.col("final"), F.col("base"), F.lit(query)), F.lit(False)).alias("redirect"),
-        F.coalesce("status", F.lit(404)).alias("status"),
-        D.is_challenge(F.col("status"), page, F.col("attempted_url")).alias("challenged"),
-        X.fold(head).contains("search").alias("search_title"),
-        D.suggests_javascript(page, F.col("provider")).alias("javascript"),
-        F.coalesce(shown, F.array().cast(D._RESULT)).alias("links"),
+        *own,
+        "base",
+        "searched",
+        "json",
+        F.when(F.col("json"), F.col("html")).alias("html"),
+        "final_url",
+        F.col("error").alias("fetch_error"),
+        F.col("status_code").alias("status"),
+        (~F.col("json") & F.coalesce(D.is_homepage_redirect(F.col("final_url"), F.col("base"), F.lit(query)), F.lit(False))).alias("redirect"),
+        D.is_challenge(F.col("status_code"), page, F.col("final_url")).alias("challenged"),
+        (~F.col("json") & X.fold(head).contains("search")).alias("search_title"),
+        (~F.col("json") & D.suggests_javascript(page, F.col("provider"))).alias("javascript"),
+        F.coalesce(links, F.array().cast(D._RESULT)).alias("links"),
     )
-    answer = stored(answer, "tests")
-    links = answer.select("key", "place", F.explode(F.slice("links", 1, CONFIRMED_LINKS)).alias("l")).select("key", "place", F.col("l.url").alias("url"))
-    linked = links.join(corpus.where("status < 400"), F.col("url") == F.col("at")).select("key", "place", "url", "html")
-    confirmed = hits(linked, query).groupBy("key", "place").agg(F.count("*").alias("confirmed"))
-    both = answer.join(confirmed, ["key", "place"], "left").fillna(0, ["confirmed"])
-    n = F.size("links")
+    answer = stored(answer, "answers")
+    whole = answer.where("fetch_error IS NULL")
+    data = answered_links(whole.where("json"), own, F.lit(TESTED_LINKS), TESTED_LINKS)
+    links = stored(whole.where("NOT json").select(*own, F.inline("links")).unionByName(data), "links")
+    matched = corpus.matches(query).select(F.col("at").alias("url"), F.lit(1).alias("hit")).distinct()
+    confirmed = links.where(F.col("rank") <= CONFIRMED_LINKS).join(matched, "url", "left")
+    told = confirmed.groupBy(*own).agg(F.count("hit").alias("confirmed")).join(links.groupBy(*own).agg(F.count("*").cast("int").alias("n")), own)
+    answered = answer.select(*own, "status", "redirect", "challenged", "search_title", "javascript", "fetch_error")
+    both = asked.drop("opened", "searched", "json").join(answered, own, "left").join(told, own, "left").fillna(0, ["confirmed", "n"])
+    both = both.fillna(False, ["redirect", "challenged", "search_title", "javascript"]).withColumn("status", F.coalesce("status", F.lit(404)))
+    n = F.col("n")
     parts = {
         "hint": F.col("score_hint"),
         "status": F.col("status"),
@@ -144,7 +198,8 @@ def tested(cands: DataFrame, pages: DataFrame, query: str, robots: DataFrame | N
     points = D.confidence(parts)
     probable = (n == 0) & F.col("javascript") & (F.col("status") < 400)
     scored = both.withColumn("confidence", points).withColumn("test_success", F.col("confirmed") > 0).withColumn("test_result_count", n)
-    return scored.withColumn("profile_status", D.status(F.col("confidence"), F.col("confirmed"), F.col("blocked"), F.col("challenged"), probable)).drop("links")
+    scored = scored.withColumn("profile_status", D.status(F.col("confidence"), F.col("confirmed"), F.col("blocked"), F.col("challenged"), probable))
+    return scored.drop("n", "search_title", "javascript")
 
 
 def tests_made(tests: DataFrame, query: str) -> DataFrame:
@@ -194,20 +249,28 @@ def discover(
     if known is not None and not force:
         working = usable_profiles(known).select(F.col("district_id").alias("id")).distinct()
         districts = districts.join(working, "id", "left_anti")
-    homes = stored(homepages(districts, pages), "homes")
-    tests = tested(candidates(homes, pages), pages, query, robots)
-    tests = until(tests, ["key"], "place", (F.col("profile_status") == "working") & (F.col("confidence") >= SURE))
+    corpus = Corpus.of(pages)
+    homes = homepages(districts, corpus)
+    if robots is not None:
+        may = can_fetch(homes.select(F.col("start").alias("url")).distinct(), robots).select(F.col("url").alias("start"), F.lit(True).alias("may"))
+        homes = homes.join(may, "start", "left").withColumn("denied", F.col("may").isNull()).drop("may")
+    homes = stored(homes if robots is not None else homes.withColumn("denied", F.lit(False)), "homes")
+    cands = candidates(homes.where("NOT denied"), corpus, robots)
+    sure = (F.col("profile_status") == "working") & (F.col("confidence") >= SURE)
+    tests = stored(tested(cands.where(F.col("place") <= FIRST_TESTS), corpus, query, robots), "tests")
+    rest = cands.where(F.col("place") > FIRST_TESTS).join(tests.where(sure).select("key").distinct(), "key", "left_anti")
+    tests = until(tests.unionByName(tested(rest, corpus, query, robots)), ["key"], "place", sure)
     if history:
         tests_made(tests, query).write.mode("append").parquet(history)
     best = D.best_test(tests.withColumnRenamed("key", "district_id"), "district_id", "place")
     columns = ["district_id", "profile_type", "search_method", "query_param", "search_url_template", "confidence", "test_success", "test_result_count", "profile_status"]
     both = homes.join(best.select(*columns), F.col("key") == F.col("district_id"), "left").drop("district_id")
-    status = F.when(F.col("html").isNull(), "error").when(F.col("challenge"), "blocked_by_challenge").otherwise(F.coalesce("profile_status", F.lit("no_search_found")))
+    status = F.when(F.col("denied"), "blocked_by_robots").when(F.col("html").isNull(), "error").when(F.col("challenge"), "blocked_by_challenge").otherwise(F.coalesce("profile_status", F.lit("no_search_found")))
     tiny = F.col("tiny") & F.col("html").isNotNull() & (F.coalesce("profile_status", F.lit("")) != "working")
     end = D.forced_outcome(F.col("provider"), status, F.coalesce("confidence", F.lit(0.0)), F.col("search_url_template"), tiny)
     rows = both.withColumn("end", end).select(
         F.col("key").alias("district_id"),
-        F.col("base").alias("website_normalized"),
+        F.col("start").alias("website_normalized"),
         F.col("end.status").alias("profile_status"),
         "profile_type",
         F.col("provider").alias("provider_guess"),
@@ -220,26 +283,56 @@ def discover(
         F.lit(query).alias("test_query"),
         "test_result_count",
         "test_success",
-        F.when(F.col("html").isNull(), "The homepage could not be fetched.").alias("error_message"),
+        F.when(F.col("denied"), "robots.txt denies the homepage.").when(F.col("html").isNull(), "The homepage could not be fetched.").when(F.col("challenge"), "The homepage is a challenge page.").alias("error_message"),
     )
     return conform(rows, PROFILES)
 
 
-def search_by_profile(districts: DataFrame, profiles: DataFrame, pages: DataFrame, phrase: str, settings: SearchSettings = SearchSettings()) -> DataFrame:
-    """Hits of each site's own search, by its best profile, kept where the page itself matches; k best a site."""
-    best = best_profile(usable_profiles(profiles)).select(F.col("district_id").alias("id"), "search_url_template")
-    corpus = _corpus(pages)
+def found_by_profile(
+    districts: DataFrame, profiles: DataFrame, pages: DataFrame | Corpus, phrase: str, settings: SearchSettings = SearchSettings(), robots: DataFrame | None = None
+) -> Found:
+    """Hits of each site's own search, by its best profile, kept where the page itself matches; k best a site.
+
+    A platform's profile is answered in JSON, any other by a page of links: each answer is read as what it is, in one
+    plan. A challenge, an error or a status from 400 on gives nothing; what is no JSON has no hits.
+    """
+    corpus = Corpus.of(pages, settings)
+    best = best_profile(usable_profiles(profiles)).select(F.col("district_id").alias("id"), "search_url_template", "provider_guess")
     asked = districts.join(best, "id").withColumn("searched", U.search_url(F.col("search_url_template"), F.lit(phrase)))
-    answer = asked.join(corpus.where("status < 400"), U.canonical(F.col("searched")) == F.col("at"))
-    links = answer.withColumn("l", F.explode(D.result_links("html", "searched", U.prefer_https(F.col("website")), "searched", F.lit(max(3 * settings.max_results, 10)))))
-    links = links.select(*districts.columns, F.col("l.url").alias("url"), F.col("l.rank").alias("rank"))
-    found = hits(links.join(corpus.where("status < 400").drop("status"), F.col("url") == F.col("at")).drop("at"), phrase)
+    asked = asked.withColumns({"base": U.prefer_https(F.col("website")), "asked": U.canonical(F.col("searched")), "json": D.is_platform(F.col("provider_guess"), F.col("search_url_template"))})
+    asked = stored(_permitted(asked, "searched", robots if settings.respect_robots else None), "asked")
+    answer = corpus.answering(asked, "asked").where("error IS NULL")
+    answer = answer.where((F.col("status_code") < 400) & ~D.is_challenge(F.col("status_code"), F.col("html"), F.col("final_url")))
+    most = max(3 * settings.max_results, 10)
+    links = stored(answered_links(answer, ["id"], F.lit(most), most), "links")
+    at = U.canonical(F.col("url"))
+    wanted = _permitted(links, "url", robots if settings.respect_robots else None)
+    found = districts.join(wanted.select("id", at.alias("linked"), "rank"), "id").join(corpus.matches(phrase).drop("seq"), F.col("linked") == F.col("at"))
     source = F.lit("district_search+fetch")
-    scored = found.withColumn("score", F.col("score") + bonus(source, F.col("rank"))).withColumn("search_source", source)
-    return best_hits(first_per_key(scored, ["id", "url"], [F.desc("score"), F.col("rank")]), ["id"], settings.max_results, "rank")
+    scored = found.withColumn("url", U.canonical(F.col("url"))).withColumn("score", F.col("score") + bonus(source, F.col("rank"))).withColumn("search_source", source)
+    ranked = best_hits(first_per_key(scored.drop("at", "linked"), ["id", "url"], [F.desc("score"), F.col("rank")]), ["id"], settings.max_results, "rank")
+    errors = corpus.fetched.select(F.col("at").alias("asked"), "error")
+    read = asked.select("id", "asked").unionByName(wanted.select("id", at.alias("asked"))).join(errors, "asked", "left")
+    return Found(ranked, read.select("id", F.col("asked").alias("url"), "error"))
+
+
+def search_by_profile(districts: DataFrame, profiles: DataFrame, pages: DataFrame | Corpus, phrase: str, settings: SearchSettings = SearchSettings()) -> DataFrame:
+    return found_by_profile(districts, profiles, pages, phrase, settings).hits
+
+
+def _permitted(rows: DataFrame, url: str, robots: DataFrame | None) -> DataFrame:
+    """rows whose URL robots does not deny."""
+    if robots is None:
+        return rows
+    may = can_fetch(rows.select(F.col(url).alias("url")).distinct(), robots).select(F.col("url").alias("__may"))
+    return rows.join(stored(may, "allowed"), F.col(url) == F.col("__may")).drop("__may")
 
 
-def platform_answers(cands: DataFrame, answers: DataFrame, most: int = 10) -> DataFrame:
-    """Hits in JSON answers of platform candidates; answers: url, json."""
-    rows = cands.join(answers, U.canonical(F.col("attempted_url")) == U.canonical(F.col("url")))
-    return D.platform_results(rows.select("key", "base", F.col("attempted_url").alias("searched"), "json"), most)
+def answered_links(answer: DataFrame, keys: list[str], most: Column, cap: int) -> DataFrame:
+    """keys, url, title, snippet, rank of the hits that answers hold; answer: keys, base, searched, final_url, json (whether it is), html."""
+    html = answer.where(~F.col("json"))
+    page = html.select(*keys, F.inline(D.result_links(F.col("html"), F.col("final_url"), F.col("base"), F.col("searched"), most)))
+    key = F.struct(*keys)
+    data = answer.where("json").select(key.alias("key"), "base", "searched", F.col("html").alias("json"))
+    found = D.platform_results(data, cap).select(*[F.col(f"key.{k}").alias(k) for k in keys], "url", "title", "snippet", "rank")
+    return page.unionByName(found)

@@ -1,4 +1,4 @@
-"""Search and discovery runs: a run row, one job for its organisations, its events and results.
+"""Search and discovery runs: a run row, batches of its organisations, its events and results.
 
 State goes queued -> running -> completed, cancelled or failed. A run that was running when the driver
 stopped is queued again, and running it again replaces its own results only.
@@ -13,13 +13,14 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pagequarry.operators.filters import clean_values, listed, matching
-from pagequarry.operators.profiles import search_by_profile
-from pagequarry.operators.search import SearchSettings, crawl_corpus, search_by_api, search_corpus, with_fallback
+from pagequarry.operators.profiles import found_by_profile
+from pagequarry.operators.search import Corpus, Found, SearchSettings, found_by_api, found_by_crawl, found_in_corpus, with_fallback
 from pagequarry.operators.upsert import write_run
 from pagequarry.schemas import EVENTS, EXPORT_COLUMNS, RESULTS, SEARCH_METHODS
-from pagequarry.sources.tables import conform, stored
+from pagequarry.sources.tables import conform, delete, exists, scope, stored
 
 PRICE = 0.005
+NOT_STARTED, STOPPED = "Cancelled; nothing was searched.", "The user cancelled the run."
 API_METHODS = ("brave", "hybrid")
 
 
@@ -45,6 +46,10 @@ class Run:
     started_at: datetime = field(default_factory=now)
     finished_at: datetime | None = None
     error_message: str | None = None
+    batches: int = 1
+    next_batch: int = 0
+    owner: str | None = None
+    lease_until: datetime | None = None
 
     @property
     def wanted(self) -> dict:
@@ -81,7 +86,12 @@ def cancel(run: Run) -> Run:
     return run
 
 
+#: Tags of runs whose jobs were interrupted by this driver.
+_INTERRUPTED: set[str] = set()
+
+
 def interrupt(spark: SparkSession, run: Run) -> None:
+    _INTERRUPTED.add(_tag(run))
     spark.interruptTag(_tag(run))
 
 
@@ -113,66 +123,87 @@ class Sources:
 
 FALLBACK_METHODS = ("hybrid", "district_search_hybrid", "district_search_browser_hybrid")
 FALLBACK_LABEL = "district_search+fallback_crawler"
+_HITS = "url string, title string, snippet string, score double, matched_terms array<string>, status_code int, content_type string, result_rank int, search_source string"
+_READ = "url string, error string"
 
 
 def _chosen(run: Run, districts: DataFrame) -> DataFrame:
     return listed(districts, run.max_districts, **run.wanted)
 
 
-def found_by(method: str, chosen: DataFrame, pages: DataFrame, phrase: str, settings: SearchSettings, sources: Sources = Sources()) -> DataFrame:
-    """Ranked hits by a run's method: the corpus or a crawl of it, an API's answers, or each site's own search.
+def searched_by(method: str, chosen: DataFrame, pages: DataFrame | Corpus, phrase: str, settings: SearchSettings, sources: Sources = Sources()) -> Found:
+    """Ranked hits by a run's method, and what was read for them: the corpus or a crawl of it, an API's answers, or each site's own search.
 
-    Hybrid methods take the crawler's hits for organisations that have none else. Without a script engine the
-    browser methods find what the plain ones find.
+    Hybrid methods take the crawler for organisations that have no hit else. Without a script engine the browser
+    methods find what the plain ones find.
     """
+    corpus = Corpus.of(pages, settings)
+    columns = [c.split()[0] for c in _HITS.split(", ")]
 
-    def crawler() -> DataFrame:
+    def none(kind: str) -> DataFrame:
+        fields = [f.split(" ", 1) for f in kind.split(", ")]
+        return chosen.where("false").select(*(chosen.columns if kind == _HITS else ["id"]), *[F.lit(None).cast(t).alias(n) for n, t in fields])
+
+    def crawler(some: DataFrame) -> Found:
         if sources.crawl_depth is None and not sources.crawl:
-            return search_corpus(chosen, pages if "seq" in pages.columns else pages.withColumn("seq", F.col("url")), phrase, settings)
-        return crawl_corpus(chosen, pages.drop("seq"), phrase, settings, sources.crawl_depth, sources.sitemaps, sources.robots)
+            return found_in_corpus(some, corpus, phrase, settings)
+        return found_by_crawl(some, corpus, phrase, settings, sources.crawl_depth, sources.sitemaps, sources.robots)
 
     if method == "crawler":
-        return crawler()
+        return crawler(chosen)
+    first, label = None, None
     if method in API_METHODS:
-        first = search_by_api(chosen, sources.answers, pages.drop("seq"), phrase, settings) if sources.answers is not None else None
-        label = None
+        first = found_by_api(chosen, sources.answers, corpus, phrase, settings, sources.robots) if sources.answers is not None else None
     else:
-        first = search_by_profile(chosen, sources.profiles, pages.drop("seq"), phrase, settings) if sources.profiles is not None else None
+        first = found_by_profile(chosen, sources.profiles, corpus, phrase, settings, sources.robots) if sources.profiles is not None else None
         label = FALLBACK_LABEL
+    first = first or Found(none(_HITS), none(_READ))
     if method not in FALLBACK_METHODS:
-        return crawler().where("false") if first is None else first
-    rest = crawler()
-    columns = [*chosen.columns, "url", "title", "snippet", "score", "matched_terms", "result_rank", "search_source"]
-    if first is None:
-        return rest.withColumn("search_source", F.lit(label)) if label else rest
-    return with_fallback(stored(first.select(*columns), "first-hits"), rest.select(*columns), "id", label)
-
-
-def results_of(run: Run, districts: DataFrame, pages: DataFrame, settings: SearchSettings = SearchSettings(), sources: Sources = Sources()) -> DataFrame:
-    """The run's ranked hits, found by its method, with a copy of each organisation."""
-    found = found_by(run.search_method, _chosen(run, districts), pages, run.query_text, settings, sources)
-    api = F.col("search_source") == "brave"
+        return first
+    hits = stored(first.hits.select(*chosen.columns, *columns), "first-hits")
+    rest = crawler(chosen.join(hits.select("id").distinct(), "id", "left_anti").select(chosen.columns))
+    both = with_fallback(hits, rest.hits.select(*chosen.columns, *columns), "id", label)
+    return Found(both, first.read.unionByName(rest.read))
+
+
+def found_by(method: str, chosen: DataFrame, pages: DataFrame | Corpus, phrase: str, settings: SearchSettings, sources: Sources = Sources()) -> DataFrame:
+    return searched_by(method, chosen, pages, phrase, settings, sources).hits
+
+
+def _as_results(run: Run, found: DataFrame) -> DataFrame:
+    """Hits as rows of RESULTS, with a copy of each organisation."""
     named = found.withColumn("search_run_id", F.lit(run.id)).withColumn("created_at", F.lit(now()))
-    named = named.withColumn("content_type", F.when(api, "search/api").otherwise("text/html")).withColumn("status_code", F.when(~api, 200))
     renamed = {"id": "district_id", "agency_name": "district_name", "enrollment": "total_enrollment_excludes_ae"}
     return conform(named.withColumnsRenamed(renamed), RESULTS)
 
 
-def outcomes(run: Run, districts: DataFrame, results: DataFrame, sources: Sources = Sources()) -> DataFrame:
-    """One row per organisation of a run: district_id, district, stored (its hits), failed, error.
+def results_of(run: Run, districts: DataFrame, pages: DataFrame | Corpus, settings: SearchSettings = SearchSettings(), sources: Sources = Sources()) -> DataFrame:
+    """The run's ranked hits, found by its method."""
+    return _as_results(run, found_by(run.search_method, _chosen(run, districts), pages, run.query_text, settings, sources))
+
 
-    An organisation fails by itself: under the API method, where its answer is missing or no JSON. The others
-    of the run are searched all the same, and a failed one counts as searched too.
+def outcomes(run: Run, chosen: DataFrame, results: DataFrame, sources: Sources = Sources(), read: DataFrame | None = None) -> DataFrame:
+    """One row per organisation of a run: district_id, district, stored (its hits), page_errors, failed, error.
+
+    An organisation fails by itself: under the API method, where its answer is missing or no JSON; under any method,
+    where each page that was read for it (id, url, error) is an error. Other errors of pages are counted. The others of
+    the run are searched all the same, and a failed one counts as searched too.
     """
     hits = results.where(F.col("search_run_id") == run.id).groupBy(F.col("district_id").alias("id")).agg(F.count("*").alias("stored"))
-    rows = _chosen(run, districts).select("id", F.col("agency_name").alias("district")).join(hits, "id", "left").fillna(0, ["stored"])
+    rows = chosen.select("id", F.col("agency_name").alias("district")).join(hits, "id", "left").fillna(0, ["stored"])
     error = F.lit(None).cast("string")
     if run.search_method == "brave" and sources.answers is None:
         error = F.lit("The API gave no answer.")
     elif run.search_method == "brave":
         rows = rows.join(sources.answers.groupBy("id").agg(F.max("json").alias("json")), "id", "left")
         error = F.when(F.col("json").isNull(), "The API gave no answer.").when(F.try_parse_json("json").isNull(), "The API's answer is no JSON.")
-    return rows.select(F.col("id").alias("district_id"), "district", "stored", error.isNotNull().alias("failed"), error.alias("error"))
+    if read is None:
+        rows = rows.withColumn("page_errors", F.lit(0).cast("long"))
+    else:
+        each = read.groupBy("id").agg(F.count("*").alias("n"), F.count("error").alias("page_errors"), F.min("error").alias("first"))
+        rows = rows.join(each, "id", "left").fillna(0, ["page_errors"])
+        error = F.coalesce(error, F.when((F.col("stored") == 0) & (F.col("page_errors") == F.col("n")), F.concat(F.lit("No page could be read: "), F.col("first"))))
+    return rows.select(F.col("id").alias("district_id"), "district", "stored", "page_errors", error.isNotNull().alias("failed"), error.alias("error"))
 
 
 def execute(
@@ -186,56 +217,96 @@ def execute(
     sources: Sources | None = None,
     events: str | None = None,
     cancelled: Callable[[], bool] = lambda: False,
+    batch: int | None = None,
+    progress: Callable[[Run], None] = lambda run: None,
 ) -> Run:
-    """Run one job and write its partition and, at `events`, its log; an error is the run's, not the caller's.
+    """Run the organisations in batches of about `batch` (one batch without), each a job that writes its folder and, at `events`, its log.
 
-    cancelled is asked before the start and again when the hits are stored.
+    After each batch progress gets the run with its counters, and cancelled is asked, as it is before the start; hits
+    that are stored stay. A run whose next_batch is not 0 goes on there. What the batches share (matching pages,
+    links) is made once. An error of what they share is the run's, not the caller's.
     """
     if run.cancel_requested or run.status == "cancelled" or cancelled():
-        return replace(run, status="cancelled", finished_at=run.finished_at or now(), error_message=run.error_message or "Cancelled before start.")
+        return replace(run, status="cancelled", finished_at=run.finished_at or now(), error_message=run.error_message or NOT_STARTED)
     sources = replace(sources or Sources(), **({"crawl_depth": crawl_depth, "crawl": crawl} if crawl or crawl_depth is not None else {}))
     spark = districts.sparkSession
     spark.addTag(_tag(run))
-    run = replace(run, status="running", started_at=now(), districts_searched=0, districts_failed=0)
+    _INTERRUPTED.discard(_tag(run))
+    if not run.next_batch:
+        run = replace(run, started_at=now(), districts_searched=0, districts_failed=0)
+    run = replace(run, status="running", finished_at=None, error_message=None)
+    keep: list[DataFrame] = []
     try:
-        write_run(results_of(run, districts, pages, settings, sources), path)
-        each = stored(outcomes(run, districts, spark.read.schema(RESULTS).parquet(path), sources), "outcomes")
-        n, failed = each.agg(F.count("*"), F.count_if("failed")).first()
-        state, message = ("cancelled", "Cancelled by user.") if cancelled() else ("completed", None)
-        run = replace(run, status=state, error_message=message, districts_searched=n, districts_failed=failed, finished_at=now())
+        with scope(keep):
+            chosen = stored(_chosen(run, districts), "chosen")
+            if not run.next_batch:
+                n = chosen.count()
+                run = replace(run, batches=max(1, -(-n // batch)) if batch else 1)
+                delete(spark, f"{path}/search_run_id={run.id}")
+                if events:
+                    log_event(spark, events, run.id, "run_start", query=run.query_text, method=run.search_method, districts=n)
+            progress(run)
+            corpus = Corpus.of(pages, settings)
+            while run.next_batch < run.batches:
+                run = _batch(run, chosen, corpus, path, settings, sources, events)
+                progress(run)
+                if cancelled():
+                    run = replace(run, status="cancelled", error_message=STOPPED)
+                    break
+            run = replace(run, status=run.status if run.status == "cancelled" else "completed", finished_at=now())
         if events:
-            log_run(run, each, events)
+            log_event(spark, events, run.id, "run_finish", status=run.status, searched=run.districts_searched, failed=run.districts_failed)
         return run
     except Exception as e:
-        state = "cancelled" if "interrupt" in str(e).lower() or "cancelled" in str(e).lower() else "failed"
+        state = "cancelled" if _tag(run) in _INTERRUPTED else "failed"
         return replace(run, status=state, error_message=str(e)[:1000], finished_at=now())
     finally:
         spark.removeTag(_tag(run))
 
 
-def log_run(run: Run, each: DataFrame, path: str) -> None:
-    """Append a run's events: its start, one for each organisation, its end."""
-    spark = each.sparkSession
+def _batch(run: Run, chosen: DataFrame, corpus: Corpus, path: str, settings: SearchSettings, sources: Sources, events: str | None) -> Run:
+    """Search the run's next batch, store its hits and events; the run with its counters."""
+    spark = chosen.sparkSession
+    some = chosen.where(F.pmod(F.xxhash64("id"), F.lit(run.batches)) == run.next_batch) if run.batches > 1 else chosen
+    found = searched_by(run.search_method, some, corpus, run.query_text, settings, sources)
+    write_run(_as_results(run, found.hits).withColumn("batch", F.lit(run.next_batch)), path, "batch")
+    done = results_at(spark, path).where(F.col("search_run_id") == run.id)
+    read = stored(found.read, "read")
+    each = stored(outcomes(run, some, done, sources, read), "outcomes")
+    n, failed = each.agg(F.count("*"), F.count_if("failed")).first()
+    run = replace(run, districts_searched=run.districts_searched + n, districts_failed=run.districts_failed + failed, next_batch=run.next_batch + 1)
+    if events:
+        log_batch(run, each, read, events)
+    return run
+
+
+def results_at(spark: SparkSession, path: str) -> DataFrame:
+    """The stored hits of all runs; none where no run has stored any."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], RESULTS)
+    return spark.read.schema(RESULTS).parquet(path).select(RESULTS.names)
+
+
+def log_batch(run: Run, each: DataFrame, read: DataFrame, path: str) -> None:
+    """Append a batch's events: one for each organisation, one for each page that was an error."""
     fields = F.when(F.col("failed"), F.create_map(F.lit("district"), "district", F.lit("error"), "error")).otherwise(
         F.create_map(F.lit("district"), "district", F.lit("stored_results"), F.col("stored").cast("string"))
     )
     name = F.when(F.col("failed"), "district_error").otherwise("district_results_stored")
-    rows = each.select(F.lit(run.finished_at).alias("ts"), F.lit(run.id).cast("long").alias("run_id"), name.alias("event"), fields.alias("fields"))
-    ends = [
-        (run.started_at, run.id, "run_start", {"query": run.query_text, "method": run.search_method, "districts": str(run.districts_searched)}),
-        (run.finished_at, run.id, "run_finish", {"status": run.status, "searched": str(run.districts_searched), "failed": str(run.districts_failed)}),
-    ]
-    spark.createDataFrame(ends, EVENTS).unionByName(rows).write.mode("append").parquet(path)
+    head = [F.lit(now()).alias("ts"), F.lit(run.id).cast("long").alias("run_id")]
+    rows = each.select(*head, name.alias("event"), fields.alias("fields"))
+    broken = read.where("error IS NOT NULL").join(each.select(F.col("district_id").alias("id"), "district"), "id")
+    told = F.create_map(F.lit("district"), "district", F.lit("url"), "url", F.lit("error"), "error")
+    rows.unionByName(broken.select(*head, F.lit("page_error").alias("event"), told.alias("fields"))).write.mode("append").parquet(path)
 
 
 def run_search(
     spark: SparkSession, districts: DataFrame, pages: DataFrame, text: str, path: str, run_id: int = 1,
-    crawl_depth: int | None = None, crawl: bool = False, sources: Sources | None = None, events: str | None = None, **options,
+    crawl_depth: int | None = None, crawl: bool = False, sources: Sources | None = None, events: str | None = None, batch: int | None = None, **options,
 ) -> tuple[Run, DataFrame]:
     """Create and execute a run, and read its results."""
-    run = execute(create(districts, run_id, text, **options), districts, pages, path, crawl_depth=crawl_depth, crawl=crawl, sources=sources, events=events)
-    found = spark.read.schema(RESULTS).parquet(path).where(F.col("search_run_id") == run_id)
-    return run, found
+    run = execute(create(districts, run_id, text, **options), districts, pages, path, crawl_depth=crawl_depth, crawl=crawl, sources=sources, events=events, batch=batch)
+    return run, results_at(spark, path).where(F.col("search_run_id") == run_id)
 
 
 def exported(results: DataFrame, runs: DataFrame) -> DataFrame:

@@ -77,7 +77,7 @@ def run_outcomes(spark: SparkSession, d: str) -> DataFrame:
     sites, sources = stored(_hosts(p), "sites"), RUN.Sources(answers=stored(_answers(p), "answers"))
     run = RUN.Run(1, PHRASE, search_method="brave", max_districts=None)
     results = stored(RUN.results_of(run, sites, p.drop("page_id"), sources=sources), "results")
-    return RUN.outcomes(run, sites, results, sources)
+    return RUN.outcomes(run, sites, results, sources).drop("page_errors")
 
 
 # ---------------------------------------------------------------- a crawl over links that pages hold

@@ -114,9 +114,13 @@ RESULTS = _schema(
 )
 RUNS = _schema(
     id=_l, query_text=_s, states=T.ArrayType(_s), agency_types=T.ArrayType(_s), min_enrollment=_i, max_enrollment=_i,
-    max_districts=_i, max_pages_per_district=_i, search_method=_s, status=_s, cancel_requested=_b,
+    max_districts=_i, max_pages_per_district=_i, search_method=_s, search_provider=_s, api_results_per_district=_i,
+    follow_depth=_i, debug_logging=_b, debug_log_path=_s, status=_s, cancel_requested=_b,
     districts_matched=_l, districts_searched=_l, districts_failed=_l, started_at=_t, finished_at=_t, error_message=_s,
 )
+#: Of columns that came later, what they are in rows that are older.
+RUN_DEFAULTS = {"search_method": "crawler", "follow_depth": 0, "cancel_requested": False, "debug_logging": False}
+DISCOVERY_DEFAULTS = {"cancel_requested": False, "profiles_requires_javascript": 0}
 PROFILES = _schema(
     id=_l, district_id=_l, website_normalized=_s, profile_status=_s, profile_type=_s, provider_guess=_s,
     search_url_template=_s, search_method=_s, query_param=_s, extra_params=T.MapType(_s, _s), same_domain_only=_b,

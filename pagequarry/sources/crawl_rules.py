@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gzip
+import zlib
 from urllib.robotparser import RobotFileParser
 from xml.etree import ElementTree
 
@@ -52,15 +52,26 @@ def can_fetch(frontier: DataFrame, robots: DataFrame, agent: str = "*", respect:
     return both.where(_allowed("__robots", "url", F.lit(agent))).drop("__host", "__robots")
 
 
+#: Bytes of a sitemap, unpacked.
+SITEMAP_CAP = 50 << 20
+
+
 def xml_locs(raw: bytes | None) -> tuple[bool, list[str]]:
-    """Whether it is an index, and the loc values; malformed XML has none."""
-    if not raw:
+    """Whether it is an index, and the loc values.
+
+    There are none in malformed XML, in an encoding that the parser lacks, in a broken archive, and in a file that is
+    larger than SITEMAP_CAP.
+    """
+    if not raw or len(raw) > SITEMAP_CAP:
         return False, []
     try:
         if raw[:2] == b"\x1f\x8b":
-            raw = gzip.decompress(raw)
+            unpacked = zlib.decompressobj(zlib.MAX_WBITS | 16)
+            raw = unpacked.decompress(raw, SITEMAP_CAP + 1)
+            if len(raw) > SITEMAP_CAP or not unpacked.eof:
+                return False, []
         root = ElementTree.fromstring(raw)
-    except (ElementTree.ParseError, OSError, EOFError):
+    except (ElementTree.ParseError, zlib.error, LookupError, ValueError):
         return False, []
     locs = [(e.text or "").strip() for e in root.iter() if isinstance(e.tag, str) and e.tag.rpartition("}")[2] == "loc"]
     return root.tag.rpartition("}")[2] == "sitemapindex", [x for x in locs if x]
@@ -85,10 +96,15 @@ def sitemap_urls(seeds: DataFrame, files: DataFrame, cap: int, depth: int = 2) -
     seeds: base, url. files: url, body (binary). Result: base, url, seq; at most cap per base.
     """
     bodies = files.select(urls.canonical(F.col("url")).alias("__at"), xml_locs_udf(F.col("body").cast("binary")).alias("x"))
+    from pagequarry.operators.ranking import first_per_key, numbered
+
     level = seeds.select("base", urls.canonical(F.col("url")).alias("url"), F.lit("").alias("order"))
-    found = None
+    found, seen = None, None
     for _ in range(depth + 1):
-        same = level.where(urls.same_org(F.col("url"), F.col("base")))
+        same = first_per_key(level.where(urls.same_org(F.col("url"), F.col("base"))), ["base", "url"], [F.col("order")])
+        if seen is not None:
+            same = same.join(seen, ["base", "url"], "left_anti")
+        seen = same.select("base", "url") if seen is None else seen.unionByName(same.select("base", "url"))
         opened = same.join(bodies, same["url"] == bodies["__at"]).select(
             "base", "order", F.col("x.is_index").alias("is_index"), F.posexplode("x.locs").alias("pos", "loc")
         )
@@ -96,7 +112,5 @@ def sitemap_urls(seeds: DataFrame, files: DataFrame, cap: int, depth: int = 2) -
         here = opened.where("NOT is_index AND url <> ''").where(urls.same_org(F.col("url"), F.col("base"))).select("base", "url", "order")
         found = here if found is None else found.unionByName(here)
         level = opened.where("is_index").select("base", "url", "order")
-    from pagequarry.operators.ranking import first_per_key, numbered
-
     firsts = first_per_key(found, ["base", "url"], [F.col("order")])
     return numbered(firsts, ["base"], [F.col("order")], "seq").where(F.col("seq") <= cap).select("base", "url", "seq")
