@@ -43,7 +43,9 @@ BORDER, SYMBOLS, BITS = 256, 257, 9
 #: Symbols that a context holds at most: grams of seven symbols fill a long.
 ORDER = 5
 #: Bytes of text in a segment, and of those that are coded together.
-SEGMENT, PART = 32 << 20, 2 << 20
+SEGMENT, PART = 32 << 20, 1 << 20
+#: Parts whose counts are held one by one.
+PARTS = 6
 HELD_OUT = 10
 ALPHA = 0.1
 
@@ -115,6 +117,7 @@ def _asked(order: int):
     """seg, gram or word, n: what each segment holds, and how often its training documents do."""
 
     def run(batches):
+        pa.set_memory_pool(pa.system_memory_pool())  # gives back what is freed
         held, at = _Counts(), None
         for b in batches:
             for seg, part in zip(b.column(0).to_pylist(), b.column(1)):
@@ -142,6 +145,8 @@ class _Counts:
         self.grams.append(_counted(pa.array(codes), np.repeat(trains, np.diff(begins))))
         words, cuts = _words(texts)
         self.words.append(_counted(words.cast(pa.large_string()), np.repeat(trains, np.diff(cuts))))
+        if len(self.grams) > PARTS:
+            self.grams, self.words = [_summed(self.grams)], [_summed(self.words)]
 
     def batches(self, seg: int):
         grams, words = _summed(self.grams).sort_by("key"), _summed(self.words)
@@ -213,6 +218,7 @@ def _scored(order: int, floor: float, share: float, end_count: int):
     """Per document of a segment: tokens, known ones, base score and score, from the segment's answers."""
 
     def run(key, parts: pa.Table, answers: pa.Table) -> pa.Table:
+        pa.set_memory_pool(pa.system_memory_pool())
         grams = answers.filter(pc.is_valid(answers["gram"]))
         codes = grams["gram"].to_numpy()
         by = np.argsort(codes)
