@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagequarry.llm import exact, langid, packing, simhash, substrings
+from pagequarry.llm import exact, langid, packing, resemblance, simhash, substrings
 from pagequarry.llm.common import discard, scope, stored
 
 
@@ -31,8 +31,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the row with the smallest doc_id."""
-    return simhash.deduplicate(docs)
+    """Of each group of linked fingerprints, and then of verified near copies, the row with the smallest doc_id."""
+    return resemblance.deduplicate(simhash.deduplicate(docs))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
