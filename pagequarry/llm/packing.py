@@ -3,7 +3,7 @@
 Documents are tokenised and cut at multiples of the sequence length; what remains of each is an item.
 Items fall into length classes of GRAIN tokens. Over the histogram of classes a linear program asks for
 the fewest sequences; its columns, patterns of classes that fit a sequence, are priced by a knapsack
-dynamic program from the duals until none improves. The solution is rounded down and the rest filled
+dynamic program from the duals until none improves, from the patterns of a filling largest first. The solution is rounded down and the rest filled
 largest first. Then the documents of each class, ranked without gaps, are assigned to the pattern
 slots in order of rank.
 
@@ -15,8 +15,7 @@ A sequence is padded to its full length, unless its fill is a power of two.
 
 Defined cases: a null or empty text is the one end token; a text of any length is cut in as many pieces as
 it takes; repeated rows and null doc_ids are packed row by row; pieces of a class are ranked by doc_id and
-start, and ties fall in any order; an empty table gives an empty table; other columns are ignored. PIVOTS
-bounds the linear program: what it has then is a feasible plan, only with more padding.
+start, and ties fall in any order; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,8 +37,6 @@ LENGTH = 4096
 END = 2
 #: Tokens in a length class.
 GRAIN = 16
-#: Pivots of the linear program at most: any basis is a feasible plan.
-PIVOTS = 4000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -195,13 +192,35 @@ def _price(sizes: np.ndarray, value: np.ndarray, room: int) -> tuple[float, np.n
     return float(best[room]), pattern
 
 
+def first_basis(sizes: np.ndarray, demand: np.ndarray, room: int) -> list[np.ndarray]:
+    """A pattern for each class, by filling sequences largest first: each uses up the class it stands for, so the basis is triangular."""
+    left, alive, patterns = demand.astype(float).copy(), np.ones(len(sizes), bool), []
+    while alive.any():
+        pattern, free = np.zeros(len(sizes), np.int64), room
+        for i in np.flatnonzero(alive)[::-1]:
+            pattern[i] = min(free // sizes[i], max(1, int(left[i])))
+            free -= int(pattern[i] * sizes[i])
+        has = pattern > 0
+        times = float((left[has] / pattern[has]).min())
+        left -= pattern * times
+        for k, i in enumerate(np.flatnonzero(has & (left <= 1e-9))):
+            if k:  # several are used up at once: the others stand alone
+                pattern = np.zeros(len(sizes), np.int64)
+                pattern[i] = room // sizes[i]
+            patterns.append(pattern)
+            alive[i], left[i] = False, 0.0
+    return patterns
+
+
 def relaxed(sizes: np.ndarray, demand: np.ndarray, room: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """The linear program's basis: patterns and how often each is used, by column generation."""
-    m = len(sizes)
-    patterns = [np.eye(m, dtype=np.int64)[i] * (room // sizes[i]) for i in range(m)]
-    inverse = np.diag([1.0 / p[i] for i, p in enumerate(patterns)])
-    x = inverse @ demand
-    for _ in range(PIVOTS):
+    """The linear program's best basis: patterns and how often each is used, by column generation to the optimum.
+
+    The demand is a little perturbed while columns are exchanged, so that each exchange is a step and none comes back.
+    """
+    patterns = first_basis(sizes, demand, room)
+    inverse = np.linalg.inv(np.array(patterns, float).T)
+    x = np.maximum(inverse @ (demand * (1 + 1e-7 * np.sqrt(np.arange(1, len(sizes) + 1)))), 0)
+    while True:
         gain, column = _price(sizes, inverse.sum(0), room)
         if gain <= 1 + 1e-9:
             break
@@ -217,7 +236,7 @@ def relaxed(sizes: np.ndarray, demand: np.ndarray, room: int) -> tuple[list[np.n
         x = np.maximum(x - d * step, 0)
         x[out] = step
         patterns[out] = column
-    return patterns, x
+    return patterns, np.maximum(inverse @ demand, 0)
 
 
 def plan(histogram: dict[int, int], room: int) -> list[tuple[dict[int, int], int]]:
