@@ -214,25 +214,60 @@ def _level(level: DataFrame, above: DataFrame | None, order: int) -> DataFrame:
 
 
 # ---------------------------------------------------------------- scores
-def _scored(order: int, floor: float, share: float, end_count: int):
-    """Per document of a segment: tokens, known ones, base score and score, from the segment's answers."""
+def _by_segment(b: pa.RecordBatch):
+    """Runs of rows of one segment."""
+    seg = b.column("seg").to_numpy(zero_copy_only=False)
+    edges = [0, *(np.flatnonzero(np.diff(seg)) + 1).tolist(), len(seg)]
+    for low, high in zip(edges, edges[1:]):
+        if high > low:
+            yield int(seg[low]), b.slice(low, high - low)
 
-    def run(key, parts: pa.Table, answers: pa.Table) -> pa.Table:
-        pa.set_memory_pool(pa.system_memory_pool())
-        grams = answers.filter(pc.is_valid(answers["gram"]))
-        codes = grams["gram"].to_numpy()
+
+class _Answers:
+    """One segment's parts, and what its grams and words are answered, taken from batches as they come."""
+
+    def __init__(self):
+        self.parts: list[bytes] = []
+        self.codes, self.costs, self.counts = [], [], []
+        self.words: list[pa.Array] = [pa.array([], pa.string())]
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        gram, word, value = (rows.column(c) for c in ("gram", "word", "value"))
+        self.parts += rows.column("part").drop_null().to_pylist()
+        self.codes.append(gram.drop_null().to_numpy(zero_copy_only=False).copy())
+        self.costs.append(value.filter(gram.is_valid()).to_numpy(zero_copy_only=False).copy())
+        self.counts.append(value.filter(word.is_valid()).to_numpy(zero_copy_only=False).copy())
+        self.words.append(pa.concat_arrays([word.drop_null()]))
+
+    def scored(self, order: int, floor: float, share: float, end_count: int):
+        codes, costs, counts = map(np.concatenate, (self.codes, self.costs, self.counts))
         by = np.argsort(codes)
-        codes, costs = codes[by], grams["value"].to_numpy()[by]
-        words = answers.filter(pc.is_valid(answers["word"]))
-        known, counts = words["word"].cast(pa.large_string()).combine_chunks(), words["value"].to_numpy()
-        out = []
-        for part in parts["part"]:
-            docs = _unfolded(part.as_buffer())
+        codes, costs = codes[by], costs[by]
+        known = pa.concat_arrays(self.words).cast(pa.large_string())
+        for part in self.parts:
+            docs = _unfolded(part)
             n_tokens, n_known, base, score = _document_sums(docs["text"].chunk(0), order, codes, costs, known, counts, floor, share, end_count)
-            out.append(pa.table({"doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": n_tokens, "n_known": n_known, "base_score": base, "score": score}))
-        return pa.concat_tables(out)
+            own = {"doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": n_tokens, "n_known": n_known, "base_score": base, "score": score}
+            yield from pa.table(own).combine_chunks().to_batches()
+
+
+def _scored(order: int, floor: float, share: float, end_count: int):
+    """Per document: tokens, known ones, base score and score. Rows are sorted by segment."""
 
-    return run
+    def run(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
+        held, at = _Answers(), None
+        for b in batches:
+            for seg, rows in _by_segment(b):
+                if at is not None and seg != at:
+                    yield from held.scored(order, floor, share, end_count)
+                    held = _Answers()
+                at = seg
+                held.add(rows)
+        if at is not None:
+            yield from held.scored(order, floor, share, end_count)
+
+    return tidy(run)
 
 
 def _document_sums(texts: pa.Array, order, codes, costs, known, counts, floor, share, end_count):
@@ -280,7 +315,7 @@ def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
         answers = answered.unionByName(named)
         share = -math.log10(n + ALPHA * (v + 1))
         out = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-        both = texts.groupBy("seg").cogroup(answers.groupBy("seg"))
-        found = stored(both.applyInArrow(_scored(order, ALPHA, share, ends), out), "scores")
+        both = answers.withColumn("part", F.lit(None).cast("binary")).unionByName(texts, allowMissingColumns=True)
+        found = stored(both.repartition("seg").sortWithinPartitions("seg").mapInArrow(_scored(order, ALPHA, share, ends), out), "scores")
         keep.append(found)
     return found.withColumn("train_tokens", F.lit(n).cast("long")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
