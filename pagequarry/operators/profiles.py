@@ -156,7 +156,9 @@ def tested(cands: DataFrame, pages: DataFrame | Corpus, query: str, robots: Data
     answer = corpus.answering(asked.select(*own, "opened", "base", "provider", "searched", "json"), "opened")
     page = F.coalesce("html", F.lit(""))
     head = F.concat_ws(" ", H.title(page), F.array_join(H.headings(page), " "))
-    links = F.when(~F.col("json"), D.result_links(page, F.col("final_url"), F.col("base"), F.col("searched"), F.lit(TESTED_LINKS)))
+    redirect = F.coalesce(D.is_homepage_redirect(F.col("final_url"), F.col("base"), F.lit(query)), F.lit(False))
+    place = F.when(redirect, F.col("searched")).otherwise(F.col("final_url"))
+    links = F.when(~F.col("json"), D.result_links(page, place, F.col("base"), F.col("searched"), F.lit(TESTED_LINKS)))
     answer = answer.select(
         *own,
         "base",
@@ -166,7 +168,7 @@ def tested(cands: DataFrame, pages: DataFrame | Corpus, query: str, robots: Data
         "final_url",
         F.col("error").alias("fetch_error"),
         F.col("status_code").alias("status"),
-        (~F.col("json") & F.coalesce(D.is_homepage_redirect(F.col("final_url"), F.col("base"), F.lit(query)), F.lit(False))).alias("redirect"),
+        (~F.col("json") & redirect).alias("redirect"),
         D.is_challenge(F.col("status_code"), page, F.col("final_url")).alias("challenged"),
         (~F.col("json") & X.fold(head).contains("search")).alias("search_title"),
         (~F.col("json") & D.suggests_javascript(page, F.col("provider"))).alias("javascript"),
@@ -258,8 +260,10 @@ def discover(
     cands = candidates(homes.where("NOT denied"), corpus, robots)
     sure = (F.col("profile_status") == "working") & (F.col("confidence") >= SURE)
     tests = stored(tested(cands.where(F.col("place") <= FIRST_TESTS), corpus, query, robots), "tests")
-    rest = cands.where(F.col("place") > FIRST_TESTS).join(tests.where(sure).select("key").distinct(), "key", "left_anti")
-    tests = until(tests.unionByName(tested(rest, corpus, query, robots)), ["key"], "place", sure)
+    rest = stored(cands.where(F.col("place") > FIRST_TESTS).join(tests.where(sure).select("key").distinct(), "key", "left_anti"), "rest")
+    if not rest.isEmpty():
+        tests = tests.unionByName(tested(rest, corpus, query, robots))
+    tests = until(tests, ["key"], "place", sure)
     if history:
         tests_made(tests, query).write.mode("append").parquet(history)
     best = D.best_test(tests.withColumnRenamed("key", "district_id"), "district_id", "place")
