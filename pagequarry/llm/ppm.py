@@ -239,19 +239,19 @@ class _Answers:
         self.counts.append(value.filter(word.is_valid()).to_numpy(zero_copy_only=False).copy())
         self.words.append(pa.concat_arrays([word.drop_null()]))
 
-    def scored(self, order: int, floor: float, share: float, end_count: int):
+    def scored(self, order: int, share: float, end_count: int):
         codes, costs, counts = map(np.concatenate, (self.codes, self.costs, self.counts))
         by = np.argsort(codes)
         codes, costs = codes[by], costs[by]
-        known = pa.concat_arrays(self.words).cast(pa.large_string())
+        known = dict(zip(pa.concat_arrays(self.words).to_pylist(), counts.tolist()))
         for part in self.parts:
             docs = _unfolded(part)
-            n_tokens, n_known, base, score = _document_sums(docs["text"].chunk(0), order, codes, costs, known, counts, floor, share, end_count)
+            n_tokens, n_known, base, score = _document_sums(docs["text"].chunk(0), order, codes, costs, known, share, end_count)
             own = {"doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": n_tokens, "n_known": n_known, "base_score": base, "score": score}
             yield from pa.table(own).combine_chunks().to_batches()
 
 
-def _scored(order: int, floor: float, share: float, end_count: int):
+def _scored(order: int, share: float, end_count: int):
     """Per document: tokens, known ones, base score and score. Rows are sorted by segment."""
 
     def run(batches):
@@ -260,24 +260,24 @@ def _scored(order: int, floor: float, share: float, end_count: int):
         for b in batches:
             for seg, rows in _by_segment(b):
                 if at is not None and seg != at:
-                    yield from held.scored(order, floor, share, end_count)
+                    yield from held.scored(order, share, end_count)
                     held = _Answers()
                 at = seg
                 held.add(rows)
         if at is not None:
-            yield from held.scored(order, floor, share, end_count)
+            yield from held.scored(order, share, end_count)
 
     return tidy(run)
 
 
-def _document_sums(texts: pa.Array, order, codes, costs, known, counts, floor, share, end_count):
+def _document_sums(texts: pa.Array, order, codes, costs, known: dict[str, float], share, end_count):
     grams, begins = gram_codes(texts.cast(pa.large_binary()).to_pylist(), order)
     coded = pa.array(grams).dictionary_encode()
     cost = costs[np.searchsorted(codes, coded.dictionary.to_numpy())][coded.indices.to_numpy()]
     score = np.add.reduceat(cost, begins[:-1])  # no text is without its end symbol
     words, cuts = _words(texts)
-    coded = words.cast(known.type).dictionary_encode()
-    c = counts[pc.index_in(coded.dictionary, known).to_numpy(zero_copy_only=False).astype(np.int64)][coded.indices.to_numpy()] if len(words) else np.zeros(0)
+    coded = words.dictionary_encode()
+    c = np.fromiter(map(known.__getitem__, coded.dictionary.to_pylist()), float, len(coded.dictionary))[coded.indices.to_numpy()]
     sums = [_sums(x, cuts) for x in (np.ones(len(c)), c > 0, np.log10(c + ALPHA))]
     n_tokens, n_known = sums[0].astype(np.int64) + 1, sums[1].astype(np.int64) + (end_count > 0)
     base = sums[2] + math.log10(end_count + ALPHA) + n_tokens * share
@@ -316,6 +316,6 @@ def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
         share = -math.log10(n + ALPHA * (v + 1))
         out = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
         both = answers.withColumn("part", F.lit(None).cast("binary")).unionByName(texts, allowMissingColumns=True)
-        found = stored(both.repartition("seg").sortWithinPartitions("seg").mapInArrow(_scored(order, ALPHA, share, ends), out), "scores")
+        found = stored(both.repartition("seg").sortWithinPartitions("seg").mapInArrow(_scored(order, share, ends), out), "scores")
         keep.append(found)
     return found.withColumn("train_tokens", F.lit(n).cast("long")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
