@@ -287,13 +287,20 @@ def results_at(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RESULTS).parquet(path).select(RESULTS.names)
 
 
-def log_batch(run: Run, each: DataFrame, read: DataFrame, path: str) -> None:
+def log_run(run: Run, each: DataFrame, path: str) -> None:
+    """Append the events of a run that is over: its start, one for each organisation, its end."""
+    log_event(each.sparkSession, path, run.id, "run_start", run.started_at, query=run.query_text, method=run.search_method, districts=run.districts_searched)
+    log_batch(run, each, each.where("false").select(F.col("district_id").alias("id"), F.lit("").alias("url"), F.lit("").alias("error")), path, run.finished_at)
+    log_event(each.sparkSession, path, run.id, "run_finish", run.finished_at, status=run.status, searched=run.districts_searched, failed=run.districts_failed)
+
+
+def log_batch(run: Run, each: DataFrame, read: DataFrame, path: str, at: datetime | None = None) -> None:
     """Append a batch's events: one for each organisation, one for each page that was an error."""
     fields = F.when(F.col("failed"), F.create_map(F.lit("district"), "district", F.lit("error"), "error")).otherwise(
         F.create_map(F.lit("district"), "district", F.lit("stored_results"), F.col("stored").cast("string"))
     )
     name = F.when(F.col("failed"), "district_error").otherwise("district_results_stored")
-    head = [F.lit(now()).alias("ts"), F.lit(run.id).cast("long").alias("run_id")]
+    head = [F.lit(at or now()).alias("ts"), F.lit(run.id).cast("long").alias("run_id")]
     rows = each.select(*head, name.alias("event"), fields.alias("fields"))
     broken = read.where("error IS NOT NULL").join(each.select(F.col("district_id").alias("id"), "district"), "id")
     told = F.create_map(F.lit("district"), "district", F.lit("url"), "url", F.lit("error"), "error")
@@ -329,9 +336,9 @@ def runs_table(spark: SparkSession, runs: list[Run]) -> DataFrame:
     return spark.createDataFrame([tuple(r.get(f.name) for f in RUNS) for r in rows], RUNS)
 
 
-def log_event(spark: SparkSession, path: str, run_id: int, event: str, **fields) -> None:
+def log_event(spark: SparkSession, path: str, run_id: int, event: str, at: datetime | None = None, **fields) -> None:
     """Append one event."""
-    row = (now(), run_id, event, {k: str(v) for k, v in sorted(fields.items())})
+    row = (at or now(), run_id, event, {k: str(v) for k, v in sorted(fields.items())})
     spark.createDataFrame([row], EVENTS).coalesce(1).write.mode("append").parquet(path)
 
 
