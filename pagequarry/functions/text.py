@@ -27,13 +27,25 @@ def contains_any(c: Column, words) -> Column:
     return any_of([c.contains(w) for w in words])
 
 
+#: By Unicode's rule, what case folding does to lower-case letters beyond U+00DF: to one letter, and to several.
+_FOLDED = {c: c.casefold() for c in map(chr, range(0xB5, 0x1E944)) if c != "ß" and c.lower() == c != c.casefold()}
+_ONE = {c: f for c, f in _FOLDED.items() if len(f) == 1}
+_SEVERAL = {c: f for c, f in _FOLDED.items() if len(f) > 1}
+#: Texts without such letters hold none that lower case and the sharp s don't settle.
+_RARE = "[\u00b5\u0130-\uffff\\x{10000}-\\x{1ffff}]"
+
+
 def fold(c: Column) -> Column:
-    """Case folding for Latin text: lower case, and sharp s as two letters."""
-    return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
+    """Full case folding: lower case, sharp s as two letters, and in texts that may hold any, the other letters that fold."""
+    low = F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
+    one = F.translate(low, "".join(_ONE), "".join(_ONE.values()))
+    pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in _SEVERAL.items()])
+    every = F.aggregate(pairs, one, lambda text, p: F.replace(text, p["k"], p["v"]))
+    return F.when(low.rlike(_RARE), every).otherwise(low)
 
 
 def fold_text(s: str) -> str:
-    return s.lower().replace("ß", "ss")
+    return s.casefold()
 
 
 def collapse(c: Column) -> Column:
