@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -16,11 +15,7 @@ from pagequarry.operators import runs as RUN
 from pagequarry.operators import upsert as W
 from pagequarry.plans.base import districts, pages, query, sql_canonical, sql_core, sql_host, sql_part
 from pagequarry.sources import crawl_rules, fetch, files
-from pagequarry.sources.tables import shared_dir, stored, table
-
-
-def _folder(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/pagequarry/{what}-{uuid.uuid4().hex}"
+from pagequarry.sources.tables import folder, stored, table
 
 
 # ---------------------------------------------------------------- files
@@ -46,7 +41,7 @@ def import_csv(spark: SparkSession, d: str) -> DataFrame:
     """All nations through an export file: notes above the header, bytes that are no UTF-8, the newest file of a folder, notes without a type left out."""
     rows = table(spark, d, "nation").select((F.col("n_nationkey") + 2).alias("n"), *[F.expr(c).alias(f"c{i}") for i, c in enumerate(_CELLS)])
     top = spark.createDataFrame([(0, "Élan export", *[""] * 5), (1, *_HEAD)], rows.schema)
-    path = _folder(spark, "export")
+    path = folder(spark, "export")
     whole = top.unionByName(rows).coalesce(1).sortWithinPartitions("n").drop("n")  # an export is one file
     whole.write.option("encoding", "iso-8859-1").option("escape", '"').option("header", False).csv(path)
     raw = stored(files.raw_rows_remote(spark, files.newest_source(spark, path)), "raw-rows")
@@ -63,7 +58,7 @@ def export_file(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "part").select(
         "p_partkey", F.expr("""concat('a "', p_name, '", ', p_brand)""").alias("name"), F.when(F.col("p_size") > 25, F.col("p_type")).otherwise("x,\ny").alias("kind"), F.col("p_retailprice").alias("price")
     )
-    path = _folder(spark, "csv")
+    path = folder(spark, "csv")
     W.export_csv(rows, path)
     return spark.read.schema(rows.schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
@@ -75,7 +70,7 @@ def export_file(spark: SparkSession, d: str) -> DataFrame:
 def run_overwrite(spark: SparkSession, d: str) -> DataFrame:
     """The results of seven runs, of which one is written again: only its own partition is replaced."""
     rows = table(spark, d, "lineitem").select(F.col("l_linenumber").cast("int").alias("search_run_id"), "l_orderkey", F.col("l_extendedprice").alias("score"), "l_discount", "l_returnflag")
-    path = _folder(spark, "runs")
+    path = folder(spark, "runs")
     W.write_run(rows.select("search_run_id", "l_orderkey", "score"), path)
     again = rows.where("search_run_id = 3 AND l_returnflag = 'R'").select("search_run_id", "l_orderkey", F.col("l_discount").alias("score"))
     W.write_run(again, path)
@@ -99,7 +94,7 @@ def run_events(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("c_acctbal") < 0, "no answer").alias("error"),
     )
     n, failed = each.agg(F.count("*"), F.count_if("failed")).first()
-    at, path = datetime.fromisoformat(_AT), _folder(spark, "events")
+    at, path = datetime.fromisoformat(_AT), folder(spark, "events")
     RUN.log_run(RUN.Run(1, "some text", status="completed", districts_searched=n, districts_failed=failed, started_at=at, finished_at=at), each, path)
     return RUN.log_lines(spark.read.parquet(path)).select("line")
 
