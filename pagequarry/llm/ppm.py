@@ -240,16 +240,30 @@ class _Answers:
         self.words.append(pa.concat_arrays([word.drop_null()]))
 
     def scored(self, order: int, share: float, end_count: int):
-        codes, costs, counts = map(np.concatenate, (self.codes, self.costs, self.counts))
+        codes, costs = np.concatenate(self.codes), np.concatenate(self.costs)
         by = np.argsort(codes)
         codes, costs = codes[by], costs[by]
-        known = dict(zip(pa.concat_arrays(self.words).to_pylist(), counts.tolist()))
-        for part in self.parts:
+        self.codes = self.costs = None
+        for part, words in zip(self.parts, self._word_counts()):
             docs = _unfolded(part)
-            n_tokens, n_known, base, score = _document_sums(docs["text"].chunk(0), order, codes, costs, known, share, end_count)
+            n_tokens, n_known, base, score = _document_sums(docs["text"].chunk(0), order, codes, costs, *words, share, end_count)
             own = {"doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": n_tokens, "n_known": n_known, "base_score": base, "score": score}
             yield from pa.table(own).combine_chunks().to_batches()
 
+    def _word_counts(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each part, the training count of each of its words and where each text's begin. All parts' distinct words are looked up at once."""
+        coded, cuts = [], []
+        for part in self.parts:
+            words, at = _words(_unfolded(part)["text"].chunk(0))
+            coded.append(words.dictionary_encode())
+            cuts.append(at)
+        known = pa.concat_arrays(self.words).cast(pa.large_string())
+        place = pc.index_in(pa.concat_arrays([c.dictionary.cast(pa.large_string()) for c in coded]), known).to_numpy(zero_copy_only=False).astype(np.int64)
+        counts = np.concatenate(self.counts)[place] if len(place) else np.zeros(0)
+        self.words = self.counts = None
+        each = np.split(counts, np.cumsum([len(c.dictionary) for c in coded])[:-1])
+        return [(n[c.indices.to_numpy()], at) for n, c, at in zip(each, coded, cuts)]
+
 
 def _scored(order: int, share: float, end_count: int):
     """Per document: tokens, known ones, base score and score. Rows are sorted by segment."""
@@ -270,14 +284,12 @@ def _scored(order: int, share: float, end_count: int):
     return tidy(run)
 
 
-def _document_sums(texts: pa.Array, order, codes, costs, known: dict[str, float], share, end_count):
+def _document_sums(texts: pa.Array, order, codes, costs, c: np.ndarray, cuts: np.ndarray, share, end_count):
+    """n_tokens, n_known, base score and score of each text; c: the training count of each of the words, cuts: where each text's begin."""
     grams, begins = gram_codes(texts.cast(pa.large_binary()).to_pylist(), order)
     coded = pa.array(grams).dictionary_encode()
     cost = costs[np.searchsorted(codes, coded.dictionary.to_numpy())][coded.indices.to_numpy()]
     score = np.add.reduceat(cost, begins[:-1])  # no text is without its end symbol
-    words, cuts = _words(texts)
-    coded = words.dictionary_encode()
-    c = np.fromiter(map(known.__getitem__, coded.dictionary.to_pylist()), float, len(coded.dictionary))[coded.indices.to_numpy()]
     sums = [_sums(x, cuts) for x in (np.ones(len(c)), c > 0, np.log10(c + ALPHA))]
     n_tokens, n_known = sums[0].astype(np.int64) + 1, sums[1].astype(np.int64) + (end_count > 0)
     base = sums[2] + math.log10(end_count + ALPHA) + n_tokens * share
