@@ -28,6 +28,7 @@ empty table; columns beyond doc_id and text are ignored, whatever their names.
 
 from __future__ import annotations
 
+import ctypes
 import math
 
 import numpy as np
@@ -113,11 +114,24 @@ def dealt(docs: DataFrame) -> DataFrame:
     return stored(narrow.mapInArrow(tidy(_dealt), "seg long, part binary"), "segments")
 
 
+def _lean() -> None:
+    """From now on what this process frees of arrays over a megabyte goes back to the system at once."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        ctypes.CDLL(None).mallopt(_MMAP_THRESHOLD, 1 << 20)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+#: The parameter's number in malloc.h.
+_MMAP_THRESHOLD = -3
+
+
 def _asked(order: int):
     """seg, gram or word, n: what each segment holds, and how often its training documents do."""
 
     def run(batches):
-        pa.set_memory_pool(pa.system_memory_pool())  # gives back what is freed
+        _lean()
         held, at = _Counts(), None
         for b in batches:
             for seg, part in zip(b.column(0).to_pylist(), b.column(1)):
@@ -167,7 +181,7 @@ def _counted(keys: pa.Array, trains: np.ndarray) -> pa.Table:
 def _summed(parts: list[pa.Table]) -> pa.Table:
     if len(parts) == 1:
         return parts[0]
-    sums = pa.concat_tables(parts).group_by("key").aggregate([("n", "sum")])
+    sums = pa.concat_tables(parts).group_by("key", use_threads=False).aggregate([("n", "sum")])
     return sums.select(["key", "n_sum"]).rename_columns(["key", "n"])
 
 
@@ -269,7 +283,7 @@ def _scored(order: int, share: float, end_count: int):
     """Per document: tokens, known ones, base score and score. Rows are sorted by segment."""
 
     def run(batches):
-        pa.set_memory_pool(pa.system_memory_pool())
+        _lean()
         held, at = _Answers(), None
         for b in batches:
             for seg, rows in _by_segment(b):
