@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from pagequarry.llm.common import components, discard, free_name, multipliers, scope, stored, tidy
+from pagequarry.llm.common import bucketed, components, discard, free_name, multipliers, scope, stored, tidy
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 20, 6
@@ -80,7 +80,10 @@ def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def links(texts: DataFrame) -> DataFrame:
-    """a, b: verified pairs that connect the near texts of a stored table (row, text); rows are distinct longs."""
+    """a, b: verified pairs that connect the near texts of a stored table (row, text); rows are distinct longs.
+
+    The table is joined with each turn's pairs: in buckets by row it is not shuffled for that.
+    """
     keep: list[DataFrame] = []
     with scope(keep):
         banded = texts.select("row", "text").mapInArrow(tidy(_banded), "row long, bands array<long>")
@@ -128,7 +131,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     keep: list[DataFrame] = [numbered]
     with scope(keep):
-        texts = stored(numbered.select(F.col(row).alias("row"), "text"), "texts")
+        n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        texts = bucketed(numbered.select(F.col(row).alias("row"), "text").repartition(n, "row"), "texts", "row", n)
         roots = stored(components(links(texts)), "roots")
         named = roots.join(numbered.select(F.col(row).alias("vertex"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h")), "vertex")
         first = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h", "vertex")).alias("s"))
