@@ -2,9 +2,10 @@
 
 Candidates share a band, ROWS min-hashes in a row of BANDS times as many: a pair at 0.8 is missed by all bands with a
 chance of 0.002. Candidates are verified on their whole sets. Within a band's bucket the texts are compared with the
-leaders, those of least number; what is near a leader leaves the bucket with it, and the next turn has twice as many
-leaders, until no bucket holds two texts. A group of thousands of near copies costs one comparison a copy; no
-bucket is cut off, and no bucket is one task: comparisons are rows of a join.
+leader, that of least number; what is near the leader leaves the bucket with it. A group of thousands of near copies
+costs one comparison a copy. When a turn leaves more than half of the rows, they share bands but are mostly not near:
+these buckets are compared pair by pair, in blocks of BLOCK rows, with one row a block and partner block, not one a
+pair. No bucket is cut off, and no bucket is one task.
 
 Of each component one row stays, that of the least doc_id. Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; a text of
 fewer than five words has itself as its one shingle.
@@ -21,7 +22,6 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from pagequarry.llm.common import bucketed, components, discard, free_name, multipliers, scope, stored, tidy
@@ -30,6 +30,8 @@ SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 20, 6
 #: Shingles that are hashed together.
 AT_ONCE = 2048
+#: Rows of a block of a bucket whose rows are near no leader, and shingles whose counts two blocks share at a time.
+BLOCK, STRIP = 64, 4096
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -89,42 +91,86 @@ def links(texts: DataFrame) -> DataFrame:
         banded = texts.select("row", "text").mapInArrow(tidy(_banded), "row long, bands array<long>")
         members = banded.select("row", F.explode("bands").alias("key"))
         left = stored(_shared(stored(members, "bands")), "buckets")
-        found, asked, turn = None, None, 0
-        while not left.isEmpty():
-            leaders = _least(left, 1 << turn)
+        found, n = None, left.count()
+        while n:
+            leaders = left.groupBy("key").agg(F.min("row").alias("leader"))
             pairs = left.join(leaders, "key").where("row > leader").select("row", "leader").distinct()
-            pairs = pairs if asked is None else pairs.join(asked, ["row", "leader"], "left_anti")
             one = texts.select(F.col("row"), F.col("text").alias("own"))
             two = texts.select(F.col("row").alias("leader"), F.col("text").alias("other"))
             checked = pairs.join(one, "row").join(two, "leader").select("row", "leader", _similar("other", "own").alias("near"))
-            checked = stored(checked, "checked")
-            asked = checked.select("row", "leader") if asked is None else asked.unionByName(checked.select("row", "leader"))
-            near = checked.where("near").select(F.col("row").alias("a"), F.col("leader").alias("b"))
+            near = stored(checked.where("near").select(F.col("row").alias("a"), F.col("leader").alias("b")), "checked")
             found = near if found is None else found.unionByName(near)
-            # a bucket goes on without its leaders and what is near one of them
-            gone = left.join(leaders, "key").join(found.select(F.col("a").alias("row"), F.col("b").alias("leader")), ["row", "leader"]).select("key", "row")
-            gone = gone.unionByName(leaders.select("key", F.col("leader").alias("row"))).distinct()
-            old, left = left, stored(_shared(left.join(gone, ["key", "row"], "left_anti")), "buckets")
+            # a bucket goes on without its leader and what is near it
+            named = left.join(leaders, "key").where("row > leader")
+            old, before = left, n
+            left = stored(_shared(named.join(near.toDF("row", "leader"), ["row", "leader"], "left_anti").select("row", "key")), "buckets")
+            n = left.count()
             discard(old)
-            turn += 1
+            if 2 * n > before:
+                break
+        if n:
+            found = found.unionByName(_rest(left, texts))
         none = texts.select(F.col("row").alias("a"), F.col("row").alias("b")).where("false")
         found = stored(none if found is None else found, "near")
         keep.append(found)
     return found
 
 
+def blocks(members: DataFrame) -> DataFrame:
+    """row, pair, side: the rows of each bucket cut into blocks of some BLOCK rows, once for each pair of blocks (or of one with itself).
+
+    Every two rows of a bucket meet under one pair. A pair is a small group, so neither a bucket nor its rows are one task's.
+    """
+    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    own = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("row"), F.col("blocks")))
+    each = own.select("key", "row", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    return each.select("row", F.struct("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).alias("pair"), (F.col("own") < F.col("other")).alias("side"))
+
+
+def _rest(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links of what is in buckets where most are near no leader: all pairs of a bucket, block by block."""
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = stored(blocks(members).select("row", F.xxhash64("pair").alias("pair")), "blocks").join(texts.select("row", "text"), "row")
+    return met.repartition(n, "pair").sortWithinPartitions("pair").mapInArrow(tidy(_compared), "a long, b long").distinct()
+
+
+def _compared(batches):
+    """Rows sorted by pair -> verified links. The rows of a pair may go over the end of a batch."""
+    at, rows, sets = None, [], []
+    for b in batches:
+        for row, pair, text in zip(*(b.column(c).to_pylist() for c in ("row", "pair", "text"))):
+            if pair != at:
+                yield _near(rows, sets)
+                at, rows, sets = pair, [], []
+            rows.append(row)
+            sets.append(shingles(text))
+    yield _near(rows, sets)
+
+
+def _near(rows: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+    """The links among a pair's rows; what they share is counted for STRIP shingles at a time."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    names, which = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    by = np.argsort(which, kind="stable")
+    which, owner = which[by], owner[by]
+    both = np.zeros((len(sets), len(sets)), np.float64)
+    for low in range(0, len(names), STRIP):
+        here = slice(*np.searchsorted(which, (low, low + STRIP)))
+        held = np.zeros((len(sets), STRIP), np.float32)
+        held[owner[here], which[here] - low] = 1
+        both += held @ held.T
+    a, b = np.nonzero(np.triu(both >= SIMILAR * (sizes[:, None] + sizes[None, :] - both), 1))
+    a, b = (np.array(rows, np.int64)[x] for x in (a, b))
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+
+
 def _shared(members: DataFrame) -> DataFrame:
     """row, key of the buckets that hold more than one row."""
     many = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     return members.join(many, "key").select("row", "key")
 
 
-def _least(members: DataFrame, n: int) -> DataFrame:
-    """key, leader: the n least rows of each bucket; the limit is kept before the shuffle too."""
-    rank = F.row_number().over(W.partitionBy("key").orderBy("row"))
-    return members.withColumn("rank", rank).where(F.col("rank") <= n).select("key", F.col("row").alias("leader"))
-
-
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs with one row of each component of near texts."""
     row = free_name(docs, "__row")
