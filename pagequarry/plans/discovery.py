@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pagequarry.operators import discovery as D
 from pagequarry.plans.base import pages, query, sql_canonical, sql_host
 from pagequarry.schemas import PROVIDERS, URL_TEMPLATES
-from pagequarry.sources.tables import table
+from pagequarry.sources.tables import spread, table
 
 #: Pages with a provider's marker in the page or in the host, which the corpus lacks.
 _MARKED = """CASE page_id % 9 WHEN 0 THEN concat(html, '<script src="/WP-Content/a.js"></script>') WHEN 1 THEN concat(html, 'FSResource solr')
@@ -122,7 +122,7 @@ _FORM = """concat('<form action="', CASE c_custkey % 5 WHEN 0 THEN '/find' WHEN
 )
 def form_candidates(spark: SparkSession, d: str) -> DataFrame:
     base = F.concat(F.lit("https://d"), F.col("c_custkey").cast("string"), F.lit(".org/"))
-    site = table(spark, d, "customer").select("c_custkey", base.alias("base"), F.concat(base, F.lit("home")).alias("url"), F.expr(_FORM).alias("html"))
+    site = spread(table(spark, d, "customer").select("c_custkey")).select("c_custkey", base.alias("base"), F.concat(base, F.lit("home")).alias("url"), F.expr(_FORM).alias("html"))
     found = D.form_candidates(site)
     key = F.regexp_extract("base", "d([0-9]+)", 1).cast("long").alias("c_custkey")
     return found.select(key, "profile_type", "query_param", "search_url_template", "score_hint")
