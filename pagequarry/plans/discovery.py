@@ -138,7 +138,7 @@ _ANCHORS = """concat('<p><a href="/search?q=1&x=2">Search</a> <a href="/find-us"
 )
 def link_candidates(spark: SparkSession, d: str) -> DataFrame:
     base = F.concat(F.lit("https://d"), F.col("c_custkey").cast("string"), F.lit(".org/"))
-    site = table(spark, d, "customer").select(base.alias("base"), base.alias("url"), F.expr(_ANCHORS).alias("html"))
+    site = spread(table(spark, d, "customer").select("c_custkey")).select(base.alias("base"), base.alias("url"), F.expr(_ANCHORS).alias("html"))
     key = F.regexp_extract("base", "d([0-9]+)", 1).cast("long").alias("c_custkey")
     return D.link_candidates(site).select(key, "seq", "url", "profile_type", "query_param", "score_hint")
 
