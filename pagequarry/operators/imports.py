@@ -13,7 +13,7 @@ from datetime import datetime
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pagequarry.operators import upsert as W
 from pagequarry.operators.runs import now
@@ -21,7 +21,9 @@ from pagequarry.schemas import DISTRICTS
 from pagequarry.sources.snapshots import Snapshots
 from pagequarry.sources.tables import conform, stored
 
-_WINNERS = "row_no int, id long, place long"
+_WINNERS = "row_no int, id long, first int"
+#: Rows of a file that one task takes together, and row numbers that are counted together.
+ROWS = 50_000
 
 
 class Imported(NamedTuple):
@@ -31,7 +33,7 @@ class Imported(NamedTuple):
 
 
 def _matched(rows: pd.DataFrame) -> pd.DataFrame:
-    """For each organisation that a file's rows make or change, the last of these rows: its number, and the organisation's id or, of a new one, its place."""
+    """For each organisation that a file's rows make or change, the last of these rows: its number, and the organisation's id or, of a new one, the row that made it."""
     by_id, by_row, keys, last = defaultdict(set), defaultdict(set), {}, {}
 
     def hold(who, own, row):
@@ -42,7 +44,6 @@ def _matched(rows: pd.DataFrame) -> pd.DataFrame:
     known = rows[~rows["new"]].sort_values("id")
     for who, own, row in zip(known["id"], known["own"], known["row_no"]):
         hold((0, int(who)), own, row)
-    added = 0
     new = rows[rows["new"]].sort_values("row_no")
     for own, row in zip(new["own"], new["row_no"]):
         found = (by_id[own] if own else set()) or by_row[row]
@@ -52,19 +53,20 @@ def _matched(rows: pd.DataFrame) -> pd.DataFrame:
             by_id[old_own].discard(who)
             by_row[old_row].discard(who)
         else:
-            who = (1, added)
-            added += 1
+            who = (1, int(row))
         hold(who, own, row)
         last[who] = int(row)
     out = [(row, who[1] if who[0] == 0 else None, who[1] if who[0] else None) for who, row in last.items()]
-    frame = pd.DataFrame(out, columns=["row_no", "id", "place"])
-    return frame.astype({"row_no": "int32", "id": "Int64", "place": "Int64"})
+    frame = pd.DataFrame(out, columns=["row_no", "id", "first"])
+    return frame.astype({"row_no": "int32", "id": "Int64", "first": "Int32"})
 
 
 def winners(old: DataFrame, new: DataFrame, file: str) -> DataFrame:
     """row_no, id, place of the rows of `new` that count, of one file; only organisations that may be meant are looked at.
 
-    A file's rows depend on each other in order, so they are one task's, as they are when the file is read.
+    Rows and organisations meet by their id, and without one by their row; those that share it are one task's. A row
+    also meets the organisations of its number that have another id, and may give them its own: what such rows could
+    reach, and nothing else, depends on the order of the whole file and is one task's together.
     """
     own = F.coalesce(F.col("agency_id_nces"), F.lit(""))
     rows = new.select(own.alias("own"), F.col("source_row_number").cast("int").alias("row_no"), F.lit(None).cast("long").alias("id"), F.lit(True).alias("new"))
@@ -73,7 +75,23 @@ def winners(old: DataFrame, new: DataFrame, file: str) -> DataFrame:
     ids = rows.where("own <> ''").select(F.col("own").alias("wanted")).distinct()
     meant = named.join(ids, F.col("own") == F.col("wanted"), "left").where("here OR wanted IS NOT NULL")
     both = rows.unionByName(meant.select("own", "row_no", "id", F.lit(False).alias("new")))
-    return both.groupBy(F.lit(file)).applyInPandas(_matched, _WINNERS)
+    node = F.when(F.col("own") != "", F.concat(F.lit("id:"), "own")).otherwise(F.concat(F.lit("row:"), F.col("row_no").cast("string")))
+    both = stored(both.withColumn("node", node), "matching")
+    at = lambda flag, name: both.where(flag).where("row_no >= 0").select("row_no", F.col("node").alias(name))
+    met = at("new", "one").join(at("NOT new", "two"), "row_no").where("one <> two")
+    tied = met.select(F.explode(F.array("one", "two")).alias("node")).distinct().withColumn("tied", F.lit(True))
+    tasks = max(1, -(-both.count() // ROWS))
+    part = F.when(F.col("tied"), F.lit(-1)).otherwise(F.pmod(F.xxhash64("node"), F.lit(tasks)))
+    dealt = both.join(tied, "node", "left").select("own", "row_no", "id", "new", part.alias("part"))
+    won = stored(dealt.groupBy("part").applyInPandas(_matched, _WINNERS), "won")
+    # new organisations are numbered in the order of the rows that made them
+    made = won.withColumn("range", F.floor(F.col("first") / ROWS))
+    counts = made.where("first IS NOT NULL").groupBy("range").agg(F.count("*").alias("n"))
+    before = counts.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    fresh = made.where("first IS NOT NULL").join(before, "range")
+    place = F.col("before") + F.row_number().over(Window.partitionBy("range").orderBy("first")) - 1
+    known = won.where("first IS NULL").select("row_no", "id", F.lit(None).cast("long").alias("place"))
+    return known.unionByName(fresh.select("row_no", "id", place.alias("place")))
 
 
 def upserted(old: DataFrame, rows: DataFrame, at: datetime) -> tuple[DataFrame, int, int]:
