@@ -37,11 +37,13 @@ _RARE = "[\u00b5\u0130-\uffff\\x{10000}-\\x{1ffff}]"
 
 def fold(c: Column) -> Column:
     """Full case folding: lower case, sharp s as two letters, and in texts that may hold any, the other letters that fold."""
-    low = F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
-    one = F.translate(low, "".join(_ONE), "".join(_ONE.values()))
     pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in _SEVERAL.items()])
-    every = F.aggregate(pairs, one, lambda text, p: F.replace(text, p["k"], p["v"]))
-    return F.when(low.rlike(_RARE), every).otherwise(low)
+
+    def folded(low: Column) -> Column:
+        one = F.translate(low, "".join(_ONE), "".join(_ONE.values()))
+        return F.when(low.rlike(_RARE), F.aggregate(pairs, one, lambda text, p: F.replace(text, p["k"], p["v"]))).otherwise(low)
+
+    return let(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), folded)
 
 
 def fold_text(s: str) -> str:
@@ -60,16 +62,21 @@ def occurrences(folded: Column, phrase: str) -> Column:
     return (gone / F.lit(len(q))).cast("int")
 
 
-def snippet(text: Column, phrase: str, around: int = 200) -> Column:
-    """The text around the first hit. The hit's place is that in the folded text, taken in the text itself."""
+def snippet(text: Column, phrase: str, around: int = 200, folded: Column | None = None) -> Column:
+    """The text around the first hit. The hit's place is that in the folded text, taken in the text itself; folded: that text, where it is known."""
     q = fold_text(phrase)
-    at = F.instr(fold(text), q) - 1
-    start = F.greatest(at - around, F.lit(0))
-    end = F.least(at + len(phrase) + around, F.length(text))
-    cut = F.substring(text, start + 1, F.greatest(end - start, F.lit(0)))
-    head = F.when(start > 0, "...").otherwise("")
-    tail = F.when(end < F.length(text), "...").otherwise("")
-    return F.when(at < 0, collapse(F.substring(text, 1, 2 * around))).otherwise(collapse(F.concat(head, cut, tail)))
+
+    def cut(x: Column) -> Column:
+        text, at = x["text"], x["at"]
+        start = F.greatest(at - around, F.lit(0))
+        end = F.least(at + len(phrase) + around, x["n"])
+        part = F.substring(text, start + 1, F.greatest(end - start, F.lit(0)))
+        head = F.when(start > 0, "...").otherwise("")
+        tail = F.when(end < x["n"], "...").otherwise("")
+        return F.when(at < 0, collapse(F.substring(text, 1, 2 * around))).otherwise(collapse(F.concat(head, part, tail)))
+
+    at = F.instr(fold(text) if folded is None else folded, q) - 1
+    return let(F.struct(text.alias("text"), at.alias("at"), F.length(text).alias("n")), cut)
 
 
 def escape_html(c: Column) -> Column:

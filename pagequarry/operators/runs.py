@@ -247,6 +247,8 @@ def execute(
                     log_event(spark, events, run.id, "run_start", query=run.query_text, method=run.search_method, districts=n)
             progress(run)
             corpus = Corpus.of(pages, settings)
+            if run.batches > 1:
+                corpus.matches(run.query_text)
             while run.next_batch < run.batches:
                 run = _batch(run, chosen, corpus, path, settings, sources, events)
                 progress(run)

@@ -35,8 +35,8 @@ class SearchSettings:
         return 4 * self.max_pages
 
 
-def score(title: Column, headings: Column, body: Column, url: Column, phrase: str, content_type: Column | None = None) -> Column:
-    """Score of a page, null where the phrase is in neither text, title nor headings."""
+def score(title: Column, headings: Column, body: Column, url: Column, phrase: str, content_type: Column | None = None, folded: Column | None = None) -> Column:
+    """Score of a page, null where the phrase is in neither text, title nor headings; folded: the body folded, where it is known."""
     q = X.fold_text(phrase)
     place = U.path(url)
 
@@ -52,7 +52,7 @@ def score(title: Column, headings: Column, body: Column, url: Column, phrase: st
             points = points - F.when(content_type == "application/pdf", 2.0).otherwise(0.0)
         return F.when(x["t"].contains(q) | x["h"].contains(q) | x["b"].contains(q), points)
 
-    folded = F.struct(X.fold(title).alias("t"), X.fold(F.array_join(headings, " ")).alias("h"), X.fold(body).alias("b"))
+    folded = F.struct(X.fold(title).alias("t"), X.fold(F.array_join(headings, " ")).alias("h"), (X.fold(body) if folded is None else folded).alias("b"))
     return X.let(folded, total)
 
 
@@ -66,10 +66,12 @@ def parsed(pages: DataFrame) -> DataFrame:
 def hits(pages: DataFrame, phrase: str) -> DataFrame:
     """Pages that match: url, title, score, snippet, matched_terms and the columns that came along."""
     page = parsed(pages)
-    scored = X.held(page, [c for c in page.columns if c != "score"], score=score(F.col("title"), F.col("headings"), F.col("body"), F.col("url"), phrase))
+    own = [c for c in page.columns if c != "score"]
+    page = X.held(page, own, __folded=X.fold(F.col("body")))
+    scored = X.held(page, [*own, "__folded"], score=score(F.col("title"), F.col("headings"), F.col("body"), F.col("url"), phrase, folded=F.col("__folded")))
     found = scored.where(F.col("score").isNotNull())
-    found = found.withColumn("snippet", X.snippet(F.col("body"), phrase)).withColumn("matched_terms", F.array(F.lit(phrase)))
-    return found.withColumn("title", F.substring("title", 1, 500)).drop("body", "headings")
+    found = found.withColumn("snippet", X.snippet(F.col("body"), phrase, folded=F.col("__folded"))).withColumn("matched_terms", F.array(F.lit(phrase)))
+    return found.withColumn("title", F.substring("title", 1, 500)).drop("body", "headings", "__folded")
 
 
 def best_hits(found: DataFrame, keys: list[str], k: int, seq: str = "seq") -> DataFrame:
@@ -182,15 +184,27 @@ class Corpus:
     def matches(self, phrase: str) -> DataFrame:
         """at, url (where it led), title, score, snippet, matched_terms, status_code, content_type, seq of the pages that match."""
         if phrase not in self._matches:
-            found = hits(self.pages.select("at", F.col("final_url").alias("url"), "html", "status_code", "seq", F.lit("text/html").alias("content_type")), phrase)
-            columns = ["at", "url", "title", "score", "snippet", "matched_terms", "status_code", "content_type", "seq"]
-            if not self.binary:
-                self._matches[phrase] = stored(found.select(columns), "matches")
-                return self._matches[phrase]
-            pdfs = self.documents.where("error IS NULL").select("at", F.col("final_url").alias("url"), "status_code", "seq", F.lit("application/pdf").alias("content_type"), F.col("text").alias("body"))
-            self._matches[phrase] = stored(found.select(columns).unionByName(document_hits(pdfs, phrase).select(columns)), "matches")
+            self._matches[phrase] = self._matching(self.pages, phrase)
         return self._matches[phrase]
 
+    def matches_at(self, phrase: str, asked: DataFrame) -> DataFrame:
+        """The same, at least of the pages at these URLs (at): only they are scored, in even tasks, unless all are already."""
+        if phrase in self._matches:
+            return self._matches[phrase]
+        asked = stored(asked.select("at").distinct(), "opened")
+        n = asked.count()
+        few = F.broadcast(asked) if n <= ASKED else asked
+        tasks = max(asked.sparkSession.sparkContext.defaultParallelism, -(-n // SCORED))
+        return self._matching(self.pages.join(few, "at", "left_semi").repartition(tasks, "at"), phrase)
+
+    def _matching(self, pages: DataFrame, phrase: str) -> DataFrame:
+        found = hits(pages.select("at", F.col("final_url").alias("url"), "html", "status_code", "seq", F.lit("text/html").alias("content_type")), phrase)
+        columns = ["at", "url", "title", "score", "snippet", "matched_terms", "status_code", "content_type", "seq"]
+        if not self.binary:
+            return stored(found.select(columns), "matches")
+        pdfs = self.documents.where("error IS NULL").select("at", F.col("final_url").alias("url"), "status_code", "seq", F.lit("application/pdf").alias("content_type"), F.col("text").alias("body"))
+        return stored(found.select(columns).unionByName(document_hits(pdfs, phrase).select(columns)), "matches")
+
     def answering(self, asked: DataFrame, url: str) -> DataFrame:
         """asked with html, status_code, final_url, error of the page at its column url (canonical), nulls where there is none.
 
@@ -204,6 +218,8 @@ class Corpus:
 
 #: Rows that are sent to the scan of the pages instead of the pages to them.
 ASKED = 100_000
+#: Pages that one task scores.
+SCORED = 2_000
 
 
 def document_hits(documents: DataFrame, phrase: str) -> DataFrame:
@@ -288,7 +304,7 @@ def found_by_crawl(
         seeds = homes.unionByName(listed.join(homes.select("key", "base"), "base").select("key", "url", "base", "place"))
     visited = crawl(seeds, corpus.edges, settings.max_pages, depth, _allowed(settings, robots), corpus.fetched)
     opened = visited.where("opened").select("key", "final", "url", F.col("seq").alias("visit"))
-    match = corpus.matches(phrase).drop("seq", "url")
+    match = corpus.matches_at(phrase, opened.select(F.col("url").alias("at"))).drop("seq", "url")
     found = d.join(opened, F.col("key") == F.col("id")).join(match, F.col("url") == F.col("at")).select(*districts.columns, F.col("final").alias("url"), F.col("visit").alias("seq"), *_HIT[1:])
     found = first_per_key(found, ["id", "url"], [F.col("seq")])
     return Found(best_hits(found, ["id"], settings.max_results).withColumn("search_source", F.lit("crawler")), _read(visited, corpus))

@@ -17,12 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, rows: int = 20_000) -> DataFrame:
+def spread(df: DataFrame, rows: int = 20_000, *keys: str) -> DataFrame:
     """df in tasks of some `rows` rows: for work that costs much more than its rows' bytes, by which a scan is cut, tell.
 
-    A whole table of narrow rows is one task of a scan. The rows are counted for it.
+    A whole table of narrow rows is one task of a scan. The rows are counted for it. With keys they are dealt by these.
     """
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows)))
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows)), *keys)
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
