@@ -12,7 +12,7 @@ from pagequarry.operators import search as S
 from pagequarry.plans.base import PARSED, pages, query, sql_canonical, sql_core, sql_score
 from pagequarry.plans.reports import db_statistics
 from pagequarry.sources import crawl_rules
-from pagequarry.sources.tables import stored, table
+from pagequarry.sources.tables import spread, stored, table
 
 PHRASE = "the"
 
@@ -57,9 +57,10 @@ def run_methods(spark: SparkSession, d: str) -> DataFrame:
     """The hits of a run by each method that needs no profile, for all hosts."""
     p = pages(spark, d).select("page_id", "url", "html", F.col("page_id").alias("seq"))
     sites, sources = stored(_hosts(p), "sites"), RUN.Sources(answers=stored(_answers(p), "answers"))
+    corpus = S.Corpus(stored(spread(p, S.SCORED, "page_id").drop("page_id"), "corpus"))
     out = None
     for method in ("crawler", "brave", "hybrid"):
-        found = RUN.found_by(method, sites, p.drop("page_id"), PHRASE, S.SearchSettings(), sources)
+        found = RUN.found_by(method, sites, corpus, PHRASE, S.SearchSettings(), sources)
         found = found.select(F.lit(method).alias("method"), F.col("agency_name").alias("host"), "url", "score", "search_source", "result_rank")
         out = found if out is None else out.unionByName(found)
     return out
