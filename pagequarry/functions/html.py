@@ -10,8 +10,8 @@ from pyspark.sql import Column, functions as F
 from pagequarry.functions.text import collapse, let
 from pagequarry.functions.urls import join
 
-#: Elements whose content is not visible text.
-HIDDEN = ("script", "style", "noscript", "svg")
+#: Elements whose content is not visible text, in the order in which they go: those of most pages, and those of few.
+HIDDEN, RARE_HIDDEN = ("script", "style"), ("noscript", "svg")
 #: Characters of the named references of HTML 4, as a map that the optimizer makes a constant; a no-break space counts as a space.
 _NAMED = json.dumps({name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'", "nbsp": " "})
 
@@ -59,9 +59,19 @@ def start_tags(markup: Column, tag: str) -> Column:
 
 def visible(html: Column) -> Column:
     """The markup without hidden elements and comments."""
-    for tag in HIDDEN:
+    return let(_without(html, HIDDEN), _without_rare)
+
+
+def _without(html: Column, tags: tuple[str, ...]) -> Column:
+    for tag in tags:
         html = F.regexp_replace(html, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
-    return F.regexp_replace(html, "(?s)<!--.*?-->", "")
+    return html
+
+
+def _without_rare(html: Column) -> Column:
+    """One search tells that a page has no rare element, in place of one for each."""
+    shown = F.when(html.rlike(f"(?i)<(?:{'|'.join(RARE_HIDDEN)})"), _without(html, RARE_HIDDEN)).otherwise(html)
+    return let(shown, lambda x: F.when(x.contains("<!--"), F.regexp_replace(x, "(?s)<!--.*?-->", "")).otherwise(x))
 
 
 def runs(html: Column) -> Column:

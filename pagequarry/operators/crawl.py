@@ -55,7 +55,7 @@ def crawl(
     first = seeds.where("url <> ''").select("key", "url", place.alias("place"), F.nullif(U.core_host(base), F.lit("")).alias("scope"), F.lit(0).alias("pos"))
     first = _led(first_per_key(first, ["key", "url"], [F.col("place")]), fetched, "url")
     ends = _led(edges, fetched, "dst") if "final" not in edges.columns else edges
-    none = seeds.sparkSession.createDataFrame([], f"key {dict(seeds.dtypes)['key']}, url string, depth int, seq long, final string, opened boolean, scope string")
+    none = seeds.where("false").select("key", "url", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("seq"), F.col("url").alias("final"), F.lit(True).alias("opened"), F.col("url").alias("scope"))
     visited, level, n, d = None, None, 1, 0
     while n and (depth is None or d <= depth):
         if d == 0:

@@ -305,7 +305,7 @@ def found_by_profile(
     asked = districts.join(best, "id").withColumn("searched", U.search_url(F.col("search_url_template"), F.lit(phrase)))
     asked = asked.withColumns({"base": U.prefer_https(F.col("website")), "asked": U.canonical(F.col("searched")), "json": D.is_platform(F.col("provider_guess"), F.col("search_url_template"))})
     asked = stored(_permitted(asked, "searched", robots if settings.respect_robots else None), "asked")
-    answer = corpus.answering(asked, "asked").where("error IS NULL")
+    answer = stored(corpus.answering(asked, "asked"), "answers").where("error IS NULL")  # one scan of the pages, for links and JSON
     answer = answer.where((F.col("status_code") < 400) & ~D.is_challenge(F.col("status_code"), F.col("html"), F.col("final_url")))
     most = max(3 * settings.max_results, 10)
     links = stored(answered_links(answer, ["id"], F.lit(most), most), "links")

@@ -6,7 +6,7 @@ stopped is queued again, and running it again replaces its own results only.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import asdict, dataclass, field, replace
 from datetime import datetime, timezone
 
@@ -131,11 +131,14 @@ def _chosen(run: Run, districts: DataFrame) -> DataFrame:
     return listed(districts, run.max_districts, **run.wanted)
 
 
-def searched_by(method: str, chosen: DataFrame, pages: DataFrame | Corpus, phrase: str, settings: SearchSettings, sources: Sources = Sources()) -> Found:
+def searched_by(
+    method: str, chosen: DataFrame, pages: DataFrame | Corpus, phrase: str, settings: SearchSettings, sources: Sources = Sources(), known: dict[str, Found] | None = None
+) -> Found:
     """Ranked hits by a run's method, and what was read for them: the corpus or a crawl of it, an API's answers, or each site's own search.
 
     Hybrid methods take the crawler for organisations that have no hit else. Without a script engine the browser
-    methods find what the plain ones find.
+    methods find what the plain ones find. known: what other methods found for the same organisations, by what they
+    searched; it is not searched again, and what is searched for all of them is stored and added.
     """
     corpus = Corpus.of(pages, settings)
     columns = [c.split()[0] for c in _HITS.split(", ")]
@@ -149,19 +152,32 @@ def searched_by(method: str, chosen: DataFrame, pages: DataFrame | Corpus, phras
             return found_in_corpus(some, corpus, phrase, settings)
         return found_by_crawl(some, corpus, phrase, settings, sources.crawl_depth, sources.sitemaps, sources.robots)
 
+    def once(what: str, search: Callable[[], Found]) -> Found:
+        if known is None:
+            return search()
+        if what not in known:
+            found = search()
+            known[what] = Found(stored(found.hits, f"{what}-hits"), found.read)
+        return known[what]
+
     if method == "crawler":
-        return crawler(chosen)
+        return once("crawler", lambda: crawler(chosen))
     first, label = None, None
     if method in API_METHODS:
-        first = found_by_api(chosen, sources.answers, corpus, phrase, settings, sources.robots) if sources.answers is not None else None
+        first = once("api", lambda: found_by_api(chosen, sources.answers, corpus, phrase, settings, sources.robots)) if sources.answers is not None else None
     else:
-        first = found_by_profile(chosen, sources.profiles, corpus, phrase, settings, sources.robots) if sources.profiles is not None else None
+        first = once("profile", lambda: found_by_profile(chosen, sources.profiles, corpus, phrase, settings, sources.robots)) if sources.profiles is not None else None
         label = FALLBACK_LABEL
     first = first or Found(none(_HITS), none(_READ))
     if method not in FALLBACK_METHODS:
         return first
-    hits = stored(first.hits.select(*chosen.columns, *columns), "first-hits")
-    rest = crawler(chosen.join(hits.select("id").distinct(), "id", "left_anti").select(chosen.columns))
+    hits = first.hits.select(*chosen.columns, *columns)
+    hits = stored(hits, "first-hits") if known is None else hits
+    answered = hits.select("id").distinct()
+    if known is not None and "crawler" in known:
+        rest = Found(known["crawler"].hits, known["crawler"].read.join(answered, "id", "left_anti").select("id", "url", "error"))
+    else:
+        rest = crawler(chosen.join(answered, "id", "left_anti").select(chosen.columns))
     both = with_fallback(hits, rest.hits.select(*chosen.columns, *columns), "id", label)
     return Found(both, first.read.unionByName(rest.read))
 
@@ -170,6 +186,16 @@ def found_by(method: str, chosen: DataFrame, pages: DataFrame | Corpus, phrase:
     return searched_by(method, chosen, pages, phrase, settings, sources).hits
 
 
+def found_by_each(methods: Iterable[str], chosen: DataFrame, pages: DataFrame | Corpus, phrase: str, settings: SearchSettings, sources: Sources = Sources()) -> DataFrame:
+    """The hits of each method, with the method: what several of them search is searched once."""
+    corpus, known, out = Corpus.of(pages, settings), {}, None
+    for method in methods:
+        found = searched_by(method, chosen, corpus, phrase, settings, sources, known).hits
+        found = found.select(F.lit(method).alias("method"), *chosen.columns, *[c.split()[0] for c in _HITS.split(", ")])
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def _as_results(run: Run, found: DataFrame) -> DataFrame:
     """Hits as rows of RESULTS, with a copy of each organisation."""
     named = found.withColumn("search_run_id", F.lit(run.id)).withColumn("created_at", F.lit(now()))

@@ -340,7 +340,7 @@ def found_by_api(
     own = {"status_code": F.lit(None).cast("int"), "content_type": F.lit("search/api"), "search_source": F.lit("brave"), "matched_terms": F.array(F.lit(phrase))}
     api = stored(api.withColumns(own), "api")
     seeds = api.select(F.col("id").alias("key"), "url", "base", F.col("rank").alias("place"))
-    edges = corpus.edges if settings.follow_depth else districts.sparkSession.createDataFrame([], "src string, dst string, pos int")
+    edges = corpus.edges if settings.follow_depth else seeds.where("false").select(F.lit("").alias("src"), F.lit("").alias("dst"), F.lit(0).alias("pos"))
     visited = crawl(seeds, edges, settings.max_pages, settings.follow_depth, _allowed(settings, robots), corpus.fetched, moves=False)
     opened = visited.where("opened").select("key", "url", "final", "depth", F.col("seq").cast("int").alias("rank"))
     match = corpus.matches(phrase).drop("seq", "url")

@@ -58,12 +58,8 @@ def run_methods(spark: SparkSession, d: str) -> DataFrame:
     p = pages(spark, d).select("page_id", "url", "html", F.col("page_id").alias("seq"))
     sites, sources = stored(_hosts(p), "sites"), RUN.Sources(answers=stored(_answers(p), "answers"))
     corpus = S.Corpus(stored(spread(p, S.SCORED, "page_id").drop("page_id"), "corpus"))
-    out = None
-    for method in ("crawler", "brave", "hybrid"):
-        found = RUN.found_by(method, sites, corpus, PHRASE, S.SearchSettings(), sources)
-        found = found.select(F.lit(method).alias("method"), F.col("agency_name").alias("host"), "url", "score", "search_source", "result_rank")
-        out = found if out is None else out.unionByName(found)
-    return out
+    found = RUN.found_by_each(("crawler", "brave", "hybrid"), sites, corpus, PHRASE, S.SearchSettings(), sources)
+    return found.select("method", F.col("agency_name").alias("host"), "url", "score", "search_source", "result_rank")
 
 
 @query(
